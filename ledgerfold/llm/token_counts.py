@@ -2,104 +2,31 @@
 the pre-token frequencies of the documents.
 
 A pre-token here is a stretch that the tokenizer's own pre-tokens never leave: cut
-at each space that a non-space follows. Documents are taken in chunks; a chunk has
-a dictionary of its distinct pre-tokens and, for each document, which of them it
-holds and how often. Dictionary rows are shuffled by pre-token to meet the counts;
-the counts go back to their chunk. So what moves is a row for each pre-token of a
-chunk, not for each pre-token of a document.
+at each space that a non-space follows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import chunks
 from .bpe import encoder, small_batches
-from .common import materialize
-
-#: Distinct pre-tokens and bytes of text that close a chunk; pre-tokens of a dictionary row.
-CHUNK_PIECES, CHUNK_BYTES, PART = 1 << 18, 48 << 20, 4096
-
-
-def _squeeze(x: np.ndarray) -> bytes:
-    """Small unsigned numbers: byte planes, then zstd."""
-    return zstandard.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-
-
-def _expand(x: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(x, max_output_size=max(1, 4 * n)), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
-
-
-_ROW = "chunk long, part int, pieces array<string>, doc_ids array<long>, n_bytes array<long>, special array<long>, held array<long>, which binary, times binary"
-_SCHEMA = pa.schema(
-    [("chunk", pa.int64()), ("part", pa.int32()), ("pieces", pa.list_(pa.string())), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("special", pa.list_(pa.int64())), ("held", pa.list_(pa.int64())), ("which", pa.binary()), ("times", pa.binary())]
-)
-
-
-def _chunks(tokenizer: str):
-    def run(batches):
-        from pyspark import TaskContext
-
-        enc = encoder(tokenizer)
-        number, size = TaskContext.get().partitionId() << 32, 0
-        index: dict[str, int] = {}
-        docs: list[tuple] = []
-        which: list[np.ndarray] = []
-        times: list[np.ndarray] = []
-
-        def close():
-            nonlocal number, size, index, docs, which, times
-            own = {n: [d[i] for d in docs] for i, n in enumerate(("doc_ids", "n_bytes", "special", "held"))}
-            yield pa.RecordBatch.from_pylist([{"chunk": number, "which": _squeeze(np.concatenate(which)), "times": _squeeze(np.concatenate(times)), **own}], schema=_SCHEMA)
-            pieces = list(index)
-            for k in range(0, len(pieces), PART):
-                yield pa.RecordBatch.from_pylist([{"chunk": number, "part": k // PART, "pieces": pieces[k : k + PART]}], schema=_SCHEMA)
-            number, size, index, docs, which, times = number + 1, 0, {}, [], [], []
-
-        for b in small_batches(batches):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                after: Counter[str] = Counter()
-                keys, often = [], []
-                special = 0
-                for units, end in enc.segments(text or ""):
-                    special += end is not None
-                    after.update(units[1:])
-                    if units[0]:
-                        keys.append(units[0])
-                        often.append(1)
-                keys += [" " + u for u in after]
-                often = np.array([*often, *after.values()], np.int64)
-                places = np.fromiter((index.setdefault(k, len(index)) for k in keys), np.int64, len(keys))
-                order = np.argsort(places)
-                n = len((text or "").encode())
-                docs.append((doc, n, special, len(keys)))
-                which.append(np.diff(places[order], prepend=0))
-                times.append(often[order])
-                size += n
-                if len(index) >= CHUNK_PIECES or size >= CHUNK_BYTES:
-                    yield from close()
-        if docs:
-            yield from close()
-
-    return run
 
 
 def count_pieces(pieces: DataFrame, tokenizer: str) -> DataFrame:
-    """``piece, n`` for rows of distinct ``piece``."""
+    """``key, value``: tokens of each distinct pre-token."""
 
     def run(batches):
         enc = encoder(tokenizer)
         for b in small_batches(batches, 5000):
-            n = [len(x) // 4 for x in enc.encode_units(b.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["piece", "n"])
+            n = [len(x) / 4 for x in enc.encode_units(b.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.float64())], ["key", "value"])
 
-    return pieces.select("piece").mapInArrow(run, "piece string, n long")
+    return pieces.select("key").mapInArrow(run, "key string, value double")
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,32 +37,24 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     """
     if not encoder(tokenizer).cut:
         raise ValueError("this tokenizer's pre-tokens are not known to end at spaces")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = materialize(rows.mapInArrow(_chunks(tokenizer), _ROW))
-    dictionary = chunks.where("pieces is not null").select("chunk", "part", F.posexplode("pieces").alias("pos", "piece"))
-    entries = dictionary.select("chunk", "piece", (F.col("part") * PART + F.col("pos")).alias("place"))
-    counts = count_pieces(entries.select("piece").distinct(), tokenizer)
-    priced = entries.join(counts, "piece").select("chunk", F.col("place").cast("long").alias("place"), "n")
-    back = priced.groupBy(F.col("chunk").alias("own")).agg(F.collect_list(F.col("place") * (1 << 31) + F.col("n")).alias("prices"))
-    both = chunks.where("pieces is null").join(back, F.col("chunk") == F.col("own"), "left").select("doc_ids", "n_bytes", "special", "held", "which", "times", "prices")
 
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                ids, size, special, held = (np.array(b.column(k)[i].values, dtype=object if not k else np.int64) for k in range(4))
-                ends = np.cumsum(held)
-                which, times = (_expand(b.column(k)[i].as_py(), int(ends[-1])).astype(np.int64) for k in (4, 5))
-                priced = np.array(b.column(6)[i].values if b.column(6)[i].is_valid else [], np.int64)
-                price = np.zeros(len(priced), np.int64)
-                price[priced >> 31] = priced & ((1 << 31) - 1)
-                total = np.cumsum(which)
-                before = np.concatenate([[0], total])[ends - held]  # each document's places start anew from 0
-                place = total - np.repeat(before, held)
-                sums = np.concatenate([[0], np.cumsum(price[place] * times)])
-                n = sums[ends] - sums[ends - held] + special
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids.tolist(), pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)],
-                    ["doc_id", "n_bytes", "n_tokens", "over_limit"],
-                )
-
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    def keys_of():
+        enc = encoder(tokenizer)
+
+        def find(text: str):
+            after: Counter[str] = Counter()
+            first, special = [], 0
+            for units, end in enc.segments(text):
+                special += end is not None
+                after.update(units[1:])
+                if units[0]:
+                    first.append(units[0])
+            return first + [" " + u for u in after], [1] * len(first) + list(after.values()), special
+
+        return find
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    held = chunks.chunked(rows, keys_of, "string")
+    counts = count_pieces(chunks.entries(held).select("key").distinct(), tokenizer)
+    n = F.col("own") + F.col("total").cast("long")
+    return chunks.summed(held, counts).select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
