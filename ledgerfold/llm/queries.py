@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, token_counts, token_files
+from . import bpe, caps, licenses, mixing, pii, quality, token_counts, token_files, topk
 from .common import shared_dir, table
 
 
@@ -18,16 +19,32 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens"
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, _file("byte_bpe_50k.json"), end_id=2)
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", token_files.crc32_of("ids"))
 
 
+def op4_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.link(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), _file("byte_bpe_50k.json"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -36,7 +53,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), _file("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_token_files, op5_token_counts, op8_mixing, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_topk, op3_token_files, op4_caps, op5_token_counts, op6_licenses, op7_quality, op8_mixing, op9_bpe)}
 
 _OP8 = r"""
 with d as (
@@ -60,4 +77,27 @@ x as (
 select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::bigint as taken from x
 """
 
-ORACLE_SQL = {"op8_mixing": _OP8}
+_OP2 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as vec from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.vec, c.vec)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.vec) = len(c.vec) where q.vec_id % 50 = 0)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s
+qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
+"""
+
+_OP4 = """
+with recursive v as (
+  select vec_id, embedding::double[] as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) where list_cosine_similarity(a.x, b.x) >= 0.9),
+r as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as component_id from r group by a),
+n as (select a, count(*) as n from l group by a)
+select e.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join c on c.a = e.vec_id left join n on n.a = e.vec_id
+"""
+
+ORACLE_SQL = {"op2_topk": _OP2, "op4_caps": _OP4, "op6_licenses": licenses.oracle_sql(), "op8_mixing": _OP8}
