@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, caps, licenses, mixing, pii, quality, token_counts, token_files, topk
+from . import bpe, caps, jaccard, licenses, mixing, pii, quality, token_counts, token_files, topk
 from .common import shared_dir, table
 
 
@@ -53,7 +53,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), _file("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_topk, op3_token_files, op4_caps, op5_token_counts, op6_licenses, op7_quality, op8_mixing, op9_bpe)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_topk, op3_token_files, op4_caps, op5_token_counts, op6_licenses, op7_quality, op8_mixing, op9_bpe, op10_jaccard)}
 
 _OP8 = r"""
 with d as (
