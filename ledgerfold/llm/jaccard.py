@@ -80,20 +80,57 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[65:91] += 32
+_PLAIN[[9, 10, 11, 12, 13]] = 32
+
+
+def hashed_all(texts: list[str | None], n: int = N, at_once: int = 1 << 20) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each text.
+
+    Texts are laid end to end (about ``at_once`` bytes of them); a shingle's hash
+    is a difference of prefix sums over the bytes, with white space made single.
+    """
+    out: list[np.ndarray] = []
+    raws, size = [], 0
+    for i, t in enumerate(texts):
+        raws.append((t or "").encode())
+        size += len(raws[-1]) + 1
+        if size >= at_once or i == len(texts) - 1:
+            out += _hashed(raws, n)
+            raws, size = [], 0
+    return out
+
+
+def _hashed(raws: list[bytes], n: int) -> list[np.ndarray]:
+    x = _PLAIN[np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)]
+    space = x == 32
+    keep = np.ones(len(x), bool)
+    keep[1:] = ~(space[1:] & space[:-1])
+    y = x[keep]
+    space = y == 32
+    starts = np.nonzero(space[:-1] & ~space[1:])[0] + 1
+    ends = np.nonzero(~space[:-1] & space[1:])[0] + 1
+    # the document of each word: documents begin after the separators, in kept places
+    begins = 1 + np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])])[:-1]
+    kept = np.cumsum(keep)
+    doc = np.searchsorted(kept[begins - 1], starts, "right") - 1
+    count = np.bincount(doc, minlength=len(raws))
+    first = np.concatenate([[0], np.cumsum(count)])[:-1]
+    made = np.where(count >= n, count - n + 1, np.minimum(count, 1))
+    own = np.repeat(np.arange(len(raws)), made)
+    nth = np.arange(len(own)) - np.repeat(np.concatenate([[0], np.cumsum(made)])[:-1], made)
+    a = first[own] + nth
+    s, e = starts[a], ends[a + np.minimum(count[own], n) - 1]
+    up, down = _powers(len(y) + 1)
+    sums = np.zeros(len(y) + 1, np.uint64)
+    np.cumsum(_byte_values()[y] * up[: len(y)], out=sums[1:])
+    h = _mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(_SEED))
+    return [np.unique(p) for p in np.split(h, np.cumsum(made)[:-1])]
+
+
 def hashed(text: str | None, n: int = N) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles, by prefix sums over the bytes."""
-    own = words(text)
-    if not own:
-        return np.zeros(0, np.uint64)
-    raw = np.frombuffer(b" ".join(own), np.uint8)
-    ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(n, len(own))
-    starts, ends = starts[: len(own) - k + 1], ends[k - 1 :]
-    up, down = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_byte_values()[raw] * up[: len(raw)], out=sums[1:])
-    return np.unique(_mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_SEED)))
+    return hashed_all([text], n)[0]
 
 
 def most_different(r: int | np.ndarray, s: int | np.ndarray, percent: int = PERCENT):
@@ -137,11 +174,16 @@ def keys(h: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]
         full = np.nonzero(size > 0)[0]
         out.append(_mix(place[full] ^ subset[full]))
         deleted.append(np.zeros(len(full), bool))
-        for i in np.nonzero(size == 0)[0].tolist():
+        i = np.nonzero(size == 0)[0]
+        if len(i):
             j = (i + 1) % m
-            near = np.concatenate([subset[j : j + 1], subset[j] - value[edges[j] : edges[j + 1]]])
-            out.append(_mix(_mix(near + place[i] + np.uint64(_SEED)) + place[j]))
-            deleted.append(np.arange(len(near)) > 0)
+            held = 1 + size[j]  # the next subset itself, then without each of its elements
+            which = np.repeat(np.arange(len(i)), held)
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(held) - held, held)
+            gone = np.where(nth > 0, value[np.minimum(edges[j][which] + nth - 1, n - 1)], np.uint64(0))
+            near = subset[j][which] - gone
+            out.append(_mix(_mix(near + place[i][which] + np.uint64(_SEED)) + place[j][which]))
+            deleted.append(nth > 0)
     return (np.concatenate(out).view(np.int64), np.concatenate(deleted)) if out else (np.zeros(0, np.int64), np.zeros(0, bool))
 
 
@@ -157,7 +199,7 @@ def _class(h: np.ndarray) -> int:
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for b in small_batches(batches):
-            found = [hashed(t, n) for t in b.column(1).to_pylist()]
+            found = hashed_all(b.column(1).to_pylist(), n)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(h) for h in found], pa.int64()), pa.array([_class(h) for h in found], pa.int64()), pa.array([histogram(h) for h in found], pa.binary())],
                 ["doc_id", "n", "cls", "hist"],
@@ -173,8 +215,7 @@ def _index(docs: DataFrame, n: int, percent: int) -> DataFrame:
         seen: set[int] = set()
         for b in small_batches(batches):
             classes, found, marks = [], [], []
-            for t in b.column(1).to_pylist():
-                h = hashed(t, n)
+            for h in hashed_all(b.column(1).to_pylist(), n):
                 own = _class(h)
                 if own not in seen:
                     seen.add(own)
