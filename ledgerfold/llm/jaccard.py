@@ -354,3 +354,12 @@ def _texts(rows: DataFrame, classes: DataFrame, needed: DataFrame, n: int) -> Da
 
     found = rows.join(of, F.col("doc_id").eqNullSafe(F.col("of"))).select("cls", "text").mapInArrow(run, "cls long, text string")
     return found.groupBy("cls").agg(F.min("text").alias("text"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """One document of each group of linked ones, that of the smallest id, with its
+    columns. Rows that share an id stay or go together; rows with a null id go only
+    where their group has an id."""
+    found = join(docs, id_col=id_col, **options)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("gone")), "left_anti")
