@@ -31,7 +31,8 @@ def target_table(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epo
     share of the total is above ``max_epochs`` times its size, it stops there and
     the excess goes to the others by weight. In order of cap over weight, the
     capped sources come first, so one prefix sum finds them all: source k is
-    capped if the level that its predecessors leave is above its own ratio.
+    capped if the level that its predecessors leave is above its own ratio. The
+    first that is not capped has the level; those after it would have a lower one.
     """
     w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
     placed = sizes.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
@@ -47,7 +48,7 @@ def target_table(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epo
         F.sum("weight").over(after).alias("left"),
     ).withColumn("lambda", (F.col("all") - F.col("spent")) / F.col("left"))
     free = F.col("lambda") * F.col("weight") <= F.col("cap")
-    first = F.min(F.when(free, F.col("lambda"))).over(
+    first = F.max(F.when(free, F.col("lambda"))).over(
         order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
     return level.select(

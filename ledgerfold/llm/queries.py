@@ -70,7 +70,7 @@ l as (
     / sum(w) over (order by cap / w, place rows between current row and unbounded following) as level from r),
 t as (
   select source, source_size,
-    case when sum(source_size) over () = 0 then 0.0 else least(cap, coalesce(min(case when level * w <= cap then level end) over (), 0.0) * w) end::double as target
+    case when sum(source_size) over () = 0 then 0.0 else least(cap, coalesce(max(case when level * w <= cap then level end) over (), 0.0) * w) end::double as target
   from l),
 p as (
   select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as epochs from t),
