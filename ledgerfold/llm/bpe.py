@@ -2,8 +2,10 @@
 
 The tokenizers library does the encoding. Its pre-tokens never cross a space that
 a non-space follows, so a text is cut there and each distinct unit of a worker is
-encoded once, in a cache that starts anew when it is full. Every unit still goes
-through the library; texts that the cut is not proven for go through it whole.
+encoded once, in a cache that starts anew when it is full. Units of Latin letters
+and ASCII marks are two pre-tokens at most and go straight to the library's BPE
+model; all other units go through its whole pipeline, as do whole texts where the
+tokenizer is not known to cut at spaces.
 Decoding joins the bytes of the ids; characters that tokens split come together
 again in the bytes, and ``errors="replace"`` handles what stays incomplete.
 """
@@ -12,8 +14,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
 import re
+import struct
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,11 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Units that a worker's cache holds at most; documents that are looked at together.
-CACHE_UNITS = 300_000
+CACHE_UNITS = 1_000_000
 DOCS_AT_ONCE = 128
 #: Splits text as GPT-2 does; a fixed value that the ranks file goes with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Letters in every version of Unicode, then marks that are neither letters, digits, spaces nor apostrophes.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
+_LINES = re.compile(r"(\S+)\n(\S(?:.*\S)?)", re.S)
 _UNSURE = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
@@ -76,6 +83,25 @@ def tokenizer_from_ranks(path: str, pattern: str = PATTERN):
     return made
 
 
+_SHORT = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
+def pack(ids: list[int]) -> bytes:
+    return _SHORT[len(ids)](*ids) if len(ids) < 16 else array("I", ids).tobytes()
+
+
+class _Units(dict):
+    """Ids of units, each encoded when it is first asked for."""
+
+    def __init__(self, encoder: Encoder, lead: str):
+        self.encoder, self.lead = encoder, lead
+
+    def __missing__(self, unit: str) -> bytes:
+        got = self.encoder.encode_unit(self.lead, unit)
+        self[unit] = got
+        return got
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
@@ -92,8 +118,6 @@ class Encoder:
             self.tokenizer, self.cut = tokenizer_from_ranks(path), True
         else:
             self.tokenizer = Tokenizer.from_file(path)
-            import json
-
             spec = json.loads(self.tokenizer.to_str())
             pre = spec["pre_tokenizer"] or {}
             plain = all(not (x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]) for x in spec["added_tokens"])
@@ -102,19 +126,34 @@ class Encoder:
                 and plain and len(spec["added_tokens"]) <= 1
             )
             self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.model = self.tokenizer.model
         self.cache_units = cache_units
-        self.after_space: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def encode_units(self, units: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(units), 5000):
-            found = self.tokenizer.encode_batch_fast(units[i : i + 5000], add_special_tokens=False)
-            out += [array("I", x.ids).tobytes() for x in found]
-        return out
-
-    def _fill(self, cache: dict[str, bytes], new: list[str], lead: str) -> None:
-        cache.update(zip(new, self.encode_units([lead + u for u in new]), strict=True))
+        self.after_space, self.first = _Units(self, " "), _Units(self, "")
+        alphabet = byte_alphabet()
+        self.spell = str.maketrans({chr(b): c for b, c in alphabet.items()})
+        self.space = alphabet[32]
+        self.line_end = array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
+
+    def encode_unit(self, lead: str, unit: str) -> bytes:
+        if unit.isascii() and unit.isalpha():
+            return pack([x.id for x in self.model.tokenize(self.space + unit if lead else unit)])
+        plain = _PLAIN.fullmatch(unit)
+        if plain is None:
+            lines = _LINES.fullmatch(unit)
+            if lines:  # a line end between non-spaces is a pre-token of its own
+                return (self.after_space if lead else self.first)[lines[1]] + self.line_end + self.first[lines[2]]
+            return pack(self.tokenizer.encode(lead + unit, add_special_tokens=False).ids)
+        letters, marks = plain.groups()
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.spell)
+        found = self.model.tokenize(self.space + letters if lead else letters)
+        if marks:
+            found += self.model.tokenize(marks)
+        return pack([x.id for x in found])
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pre-tokens as ``segments`` gives them, with the space before them if any."""
+        return [self.encode_unit(" ", p[1:]) if p[:1] == " " else self.encode_unit("", p) for p in pieces]
 
     def segments(self, text: str) -> list[tuple[list[str], int | None]]:
         """Units of each stretch between special strings, with the id that ends it.
@@ -133,24 +172,17 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.cut:
-            return [x for i in range(0, len(texts), 16) for x in self.encode_units([t or "" for t in texts[i : i + 16]])]
-        if len(self.after_space) + len(self.first) > self.cache_units:
-            self.after_space.clear()
-            self.first.clear()
-        done = [self.segments(t or "") for t in texts]
-        rest: set[str] = set()
-        first: set[str] = set()
-        for segments in done:
-            for units, _ in segments:
-                rest.update(units[1:])
-                first.add(units[0])
-        self._fill(self.after_space, list(rest.difference(self.after_space)), " ")
-        self._fill(self.first, list(first.difference(self.first)), "")
+            whole = (self.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts)
+            return [array("I", ids).tobytes() for ids in whole]
         out = []
-        for segments in done:
+        for text in texts:
+            if len(self.after_space) + len(self.first) > self.cache_units:
+                self.after_space.clear()
+                self.first.clear()
             parts = []
-            for units, number in segments:
-                parts.append(self.first[units[0]])
+            for units, number in self.segments(text or ""):
+                if units[0]:
+                    parts.append(self.first[units[0]])
                 parts += map(self.after_space.__getitem__, units[1:])
                 if number is not None:
                     parts.append(array("I", [number]).tobytes())
@@ -218,8 +250,10 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encode, then decode the ids."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids``:
+    encode, then decode the ids. Null texts count as empty; rows are independent."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches):
         enc, table = encoder(path), byte_table(path)
@@ -231,11 +265,12 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     pa.array([len(x) // 4 for x in ids], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                     pa.array([hashlib.sha256(decode(x, table)).hexdigest() for x in ids], pa.string()),
+                    *[pa.array(ids, pa.binary())] * with_ids,
                 ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                names,
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     )

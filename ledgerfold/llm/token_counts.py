@@ -23,7 +23,7 @@ def count_pieces(pieces: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         enc = encoder(tokenizer)
         for b in small_batches(batches, 5000):
-            n = [len(x) / 4 for x in enc.encode_units(b.column(0).to_pylist())]
+            n = [len(x) / 4 for x in enc.encode_pieces(b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.float64())], ["key", "value"])
 
     return pieces.select("key").mapInArrow(run, "key string, value double")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bpe import encoder, small_batches
 
 BLOCK = 128
-SEGMENT_TOKENS = 1 << 18
+SEGMENT_TOKENS = 1 << 16
 PERCENTILE = 0.9
 MAGIC = b"PFR1"
 
@@ -45,7 +45,7 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     v -= base[:, None]
     at = min(BLOCK - 1, int(percentile * BLOCK))
     width = _bits(np.partition(v, at, axis=1)[:, at]) if blocks else np.zeros(0, np.uint8)
-    wide = (v.astype(np.uint64) >> width[:, None].astype(np.uint64)) != 0
+    wide = (v >> width[:, None].astype(np.uint32)) != 0
     where, pos = np.nonzero(wide)
     exceptions = v[where, pos]
     exc_start = np.concatenate([[0], np.cumsum(wide.sum(axis=1))]).astype("<u4")
