@@ -10,7 +10,7 @@ import gzip
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -183,7 +183,7 @@ def _seats(rows: DataFrame, house: str, name: Column, yomi: Column, group: Colum
 def lower_house_roster(pages: DataFrame, encoding: str = "shift_jis") -> DataFrame:
     """Seats of member pages: rows of five cells (name, reading, group, district, terms)."""
     rows = page_parts(pages, encoding=encoding).where("kind = 'row' and size(cells) >= 5 and not exists(heads, x -> x)")
-    cell = [F.col("cells")[i] for i in range(4)]
+    cell = [F.get("cells", F.lit(i)) for i in range(4)]
     return _seats(rows, "representatives", cell[0], cell[1], cell[2], C.lower_house_district(cell[3]))
 
 
@@ -192,7 +192,7 @@ def upper_house_roster(pages: DataFrame, encoding: str = "utf-8") -> DataFrame:
     rows = page_parts(pages, encoding=encoding).where("kind = 'row'")
     data = F.filter("cells", lambda x, i: ~F.get("heads", i))
     rows = rows.withColumn("cells", data).where("size(cells) >= 4")
-    cell = [F.col("cells")[i] for i in range(4)]
+    cell = [F.get("cells", F.lit(i)) for i in range(4)]
     return _seats(rows, "councillors", cell[0], cell[1], cell[2], C.upper_house_district(cell[3]))
 
 
@@ -203,7 +203,6 @@ def roll_calls(pages: DataFrame, encoding: str = "utf-8") -> tuple[DataFrame, Da
     a member is the last party heading before the member's row: in document order,
     the last value that is not null.
     """
-    from pyspark.sql import Window
 
     parts = page_parts(pages, encoding=encoding)
     joined = F.array_join("cells", " ")
@@ -219,6 +218,6 @@ def roll_calls(pages: DataFrame, encoding: str = "utf-8") -> tuple[DataFrame, Da
     carried = F.last(party, ignorenulls=True).over(Window.partitionBy("stream_id", "seq").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     rows = parts.withColumn("party", carried).where("kind = 'row' and size(cells) >= 3 and not exists(heads, x -> x)")
     votes = rows.select(
-        "stream_id", "seq", "place", C.vote_option(F.col("cells")[0], F.col("cells")[1]).alias("option"), C.one_space(F.col("cells")[2]).alias("voter_name"), C.name_key(F.col("cells")[2]).alias("name_key"), F.col("party").alias("parliamentary_group"),
+        "stream_id", "seq", "place", C.vote_option(F.get("cells", F.lit(0)), F.get("cells", F.lit(1))).alias("option"), C.one_space(F.get("cells", F.lit(2))).alias("voter_name"), C.name_key(F.get("cells", F.lit(2))).alias("name_key"), F.col("party").alias("parliamentary_group"),
     ).where("name_key <> ''")
     return events, votes
