@@ -104,4 +104,18 @@ select e.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, e.vec_id =
 from embeddings e join c on c.a = e.vec_id left join n on n.a = e.vec_id
 """
 
-ORACLE_SQL = {"op2_topk": _OP2, "op4_caps": _OP4, "op6_licenses": licenses.oracle_sql(), "op8_mixing": _OP8}
+_OP10 = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as x from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c, max(a.n) as na, max(b.n) as nb from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p where 100 * c >= 80 * (na + nb - c) union select b, a from p where 100 * c >= 80 * (na + nb - c)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as component_id from r group by a)
+select s.doc_id, len(sh)::bigint as n_shingles, component_id from s join c on c.a = s.doc_id
+"""
+
+ORACLE_SQL = {"op10_jaccard": _OP10, "op2_topk": _OP2, "op4_caps": _OP4, "op6_licenses": licenses.oracle_sql(), "op8_mixing": _OP8}
