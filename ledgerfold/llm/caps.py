@@ -60,8 +60,8 @@ class ProductCode:
             top_b, top_c = b.max(), c.max()
             low = min(t, a.max() + top_b + top_c)
             i = np.nonzero(a >= low - top_b - top_c)[0]
-            i, j = np.nonzero(a[i][:, None] + b[None, :] >= low - top_c)[0], np.nonzero(a[i][:, None] + b[None, :] >= low - top_c)[1]
-            i = np.nonzero(a >= low - top_b - top_c)[0][i]
+            r, j = np.nonzero(a[i][:, None] + b[None, :] >= low - top_c)
+            i = i[r]
             p, k = np.nonzero((a[i] + b[j])[:, None] + c[None, :] >= low - 1e-15)
             out.append(np.sort((i[p] * m + j[p]) * m + k).astype(np.int64))
         return out
@@ -72,11 +72,6 @@ def _codes(dims: dict[int, int], lists: float, per_filter: int) -> dict[int, Pro
     return {d: ProductCode(d, max(2, int(np.ceil((lists * n / per_filter) ** (1 / PARTS)))), lists) for d, n in dims.items()}
 
 
-def _unpack(column: pa.Array, lengths: np.ndarray, kind: str) -> np.ndarray:
-    raw = np.frombuffer(b"".join(column.to_pylist()), kind)
-    return raw.reshape(len(lengths), -1)
-
-
 def _shared_before(lists_a: list[np.ndarray], lists_b: list[np.ndarray], own: int) -> np.ndarray:
     """For each pair, whether it shares a filter numbered under ``own``."""
     a = [x[x < own] for x in lists_a]
