@@ -13,10 +13,11 @@ segment and its one-deletion neighbourhood go into the key as well. Which of the
 two a segment gets follows from its subset alone, so partners agree on it.
 
 Documents with equal sets are one class. Classes that share a key are compared
-with the key's smallest class, survivors of a sound size and histogram filter are
-verified on the n-grams themselves; what is not yet in one component but shares a
-key is compared pair by pair. So a group of near copies costs its size, not its
-square, and no link between components is lost.
+with the key's smallest class, and survivors of a sound size and histogram filter
+are verified on their whole sets. What shares a key and is not yet in one component
+is compared with the key's most central class, and at last what is still apart is
+compared pair by pair. So a group of near copies costs its size, not its square,
+and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ from .common import components, discard, materialize, shared_dir
 from .vectors import sorted_groups
 
 N, PERCENT = 5, 80
-BINS = 64
+#: Elements of a histogram bin on average, for sets beyond FINE and for smaller ones at most.
+PER_BIN, FINE = 4, 512
 _SEED = 0x9E3779B97F4A7C15
 
 
@@ -188,8 +190,18 @@ def keys(h: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]
 
 
 def histogram(h: np.ndarray) -> bytes:
-    """Elements in each of BINS ranges of the universe (capped counts stay sound for the filter)."""
-    return np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=BINS).astype("<u2").tobytes()
+    """Elements in equal ranges of the universe: a bin for each element up to FINE of
+    them, PER_BIN to a bin in large sets. Counts stop at 255, which only brings
+    histograms closer together."""
+    n = max(1, len(h))
+    bits = int(np.ceil(np.log2(max(n / PER_BIN, min(n, FINE)))))
+    bins = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+    return np.minimum(np.bincount(bins, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def folded(hist: bytes, size: int) -> np.ndarray:
+    """A histogram with fewer bins; their number is a power of two, so neighbours add up."""
+    return np.frombuffer(hist, np.uint8).reshape(size, -1).sum(axis=1, dtype=np.int32)
 
 
 def _class(h: np.ndarray) -> int:
@@ -231,10 +243,12 @@ def _index(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, cls long, deleted boolean")
 
 
-def may_link(ha: np.ndarray, hb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+def may_link(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
     """False where sizes or histograms prove that a pair is no link."""
-    apart = np.abs(ha.astype(np.int32) - hb.astype(np.int32)).sum(axis=-1)
-    return (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (apart <= most_different(na, nb, percent))
+    if min(na, nb) * 100 < max(na, nb) * percent:
+        return False
+    size = min(len(a), len(b))
+    return int(np.abs(folded(a, size) - folded(b, size)).sum()) <= most_different(na, nb, percent)
 
 
 def _filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -245,55 +259,82 @@ def _filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            hist = [np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, BINS) for k in ("h_a", "h_b")]
-            n = [np.asarray(b.column(k)) for k in ("n_a", "n_b")]
-            yield b.filter(pa.array(may_link(*hist, *n, percent))).select(["a", "b"])
+            rows = zip(*(b.column(k).to_pylist() for k in ("h_a", "h_b", "n_a", "n_b")), strict=True)
+            yield b.filter(pa.array([may_link(*r, percent) for r in rows], pa.bool_())).select(["a", "b"])
 
     return pairs.select("a", "b", "n_a", "n_b", "h_a", "h_b").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs whose texts link, compared by their shingles."""
+    """Pairs whose texts link, by their whole sets of hashes."""
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("cls").alias(f"c_{side}"), F.col("text").alias(f"t_{side}")), F.col(side) == F.col(f"c_{side}"))
 
     def run(batches):
-        last: tuple[int | None, set[bytes]] = (None, set())
         for b in small_batches(batches, 64):
             keep = []
-            for a, ta, tb in zip(*(b.column(k).to_pylist() for k in ("a", "t_a", "t_b")), strict=True):
-                if last[0] != a:
-                    last = (a, shingles(ta, n))
-                x, y = last[1], shingles(tb, n)
-                both = len(x & y)
+            for x, y in zip(*(hashed_all(b.column(k).to_pylist(), n) for k in ("t_a", "t_b")), strict=True):
+                both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return pairs.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
 
 
-def _rest(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a key and pass the filter."""
+def _unlinked(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of keys whose classes are in different components, with size and histogram.
+    Keys of two classes are done: their one pair was the first to be looked at."""
+    named = members.join(labels, F.col("cls") == F.col("node"), "left").select("key", "cls", "deleted", F.coalesce("component", "cls").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("k")).where("l < h and k > 2").select(F.col("key").alias("of"))
+    rest = named.join(mixed, F.col("key") == F.col("of"), "left_semi").distinct()
+    return rest.join(classes.select(F.col("cls").alias("own"), "n", "hist"), F.col("cls") == F.col("own"))
+
+
+def _grouped(rows: DataFrame, percent: int, pairs_of) -> DataFrame:
+    """Distinct pairs that ``pairs_of`` finds within each key and the filter allows.
+    ``pairs_of(cls, label, n, deleted, hist)`` yields index arrays of pairs."""
 
     def run(batches):
         for group in sorted_groups(batches, ["key"]):
             cls, label, n = (np.asarray(group.column(k)) for k in ("cls", "label", "n"))
             deleted = np.asarray(group.column("deleted"))
-            hist = np.frombuffer(b"".join(group.column("hist").to_pylist()), "<u2").reshape(-1, BINS)
-            for i in range(0, len(cls), 256):
-                own = slice(i, i + 256)
-                ok = (label[own, None] != label[None, :]) & (cls[own, None] < cls[None, :]) & ~(deleted[own, None] & deleted[None, :])
-                ok &= np.minimum(n[own, None], n[None, :]) * 100 >= np.maximum(n[own, None], n[None, :]) * percent
-                x, y = np.nonzero(ok)
-                for k in range(0, len(x), 1 << 16):
-                    p, q = x[k : k + (1 << 16)] + i, y[k : k + (1 << 16)]
-                    fine = may_link(hist[p], hist[q], n[p], n[q], percent)
-                    yield pa.RecordBatch.from_arrays([pa.array(cls[p[fine]]), pa.array(cls[q[fine]])], ["a", "b"])
-
-    grouped = members.repartition("key").sortWithinPartitions("key", "cls")
+            raw = group.column("hist").to_pylist()
+            size = min(map(len, raw))  # sizes under one key are near each other
+            hist = np.stack([folded(r, size) for r in raw]).astype(np.int16)
+            rough = hist.reshape(len(raw), -1, min(4, size)).sum(axis=2, dtype=np.int16)
+            for x, y in pairs_of(cls, label, n, deleted, hist):
+                apart = (label[x] != label[y]) & (cls[x] != cls[y]) & ~(deleted[x] & deleted[y])
+                apart &= np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
+                x, y = x[apart], y[apart]
+                step = max(256, (1 << 21) // size)
+                for k in range(0, len(x), step):
+                    p, q = x[k : k + step], y[k : k + step]
+                    for h in (rough, hist):  # few pass the rough one
+                        near = np.abs(h[p] - h[q]).sum(axis=1, dtype=np.int64) <= most_different(n[p], n[q], percent)
+                        p, q = p[near], q[near]
+                    p, q = cls[p], cls[q]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+    grouped = rows.repartition("key").sortWithinPartitions("key", "cls")
     return grouped.select("key", "cls", "deleted", "label", "n", "hist").mapInArrow(run, "a long, b long").distinct()
 
 
+def _central(cls, label, n, deleted, hist):
+    """The class nearest to the key's mean histogram, with each other one."""
+    mean = hist.mean(axis=0)
+    far = np.concatenate([np.abs(hist[i : i + 256] - mean).sum(axis=1) for i in range(0, len(cls), 256)])
+    hub = int(np.argmin(np.where(deleted, np.inf, far))) if not deleted.all() else 0
+    yield np.full(len(cls), hub), np.arange(len(cls))
+
+
+def _all_pairs(cls, label, n, deleted, hist):
+    for i in range(len(cls) - 1):
+        if i % 256 == 0:
+            block = np.arange(i, min(i + 256, len(cls)))
+            x, y = np.nonzero(block[:, None] < np.arange(len(cls))[None, :])
+            yield block[x], y
+
+
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id.
 
@@ -317,20 +358,16 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc
     members = materialize(shared.where("low < high and hub is not null").select("key", "cls", "deleted", "hub"), f"{path}/members")
     stars = members.where("cls <> hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
     near = materialize(_filtered(stars, classes, percent), f"{path}/near")
-    needed = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
-    texts = materialize(_texts(rows, classes, needed, n), f"{path}/texts")
+    texts = materialize(_texts(rows, classes, members.select("cls").distinct(), n), f"{path}/texts")
     links = materialize(_verified(near, texts, n, percent), f"{path}/links")
-    labels = components(links).select("node", "component")
-
-    named = members.join(labels, F.col("cls") == F.col("node"), "left").select("key", "cls", "deleted", F.coalesce("component", "cls").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select(F.col("key").alias("of"))
-    rest = named.join(mixed, F.col("key") == F.col("of"), "left_semi").distinct()
-    rest = rest.join(classes.select(F.col("cls").alias("own"), "n", "hist"), F.col("cls") == F.col("own"))
-    further = materialize(_rest(rest, percent).join(near, ["a", "b"], "left_anti"), f"{path}/further")
-    if further.limit(1).count():
-        more = further.select(F.col("a").alias("cls")).union(further.select("b")).distinct()
-        texts = texts.union(materialize(_texts(rows, classes, more.join(texts, "cls", "left_anti"), n), f"{path}/texts2"))
-        links = links.union(materialize(_verified(further, texts, n, percent), f"{path}/links2"))
+    labels = components(links)
+    for step, pairs_of in enumerate((_central, _all_pairs)):
+        rest = _unlinked(members, labels, classes)
+        new = materialize(_grouped(rest, percent, pairs_of).join(near, ["a", "b"], "left_anti"), f"{path}/near{step}")
+        if not new.limit(1).count():
+            continue
+        near = near.union(new)
+        links = links.union(materialize(_verified(new, texts, n, percent), f"{path}/links{step}"))
         labels = components(links)
     discard(spark, f"{path}/members")
 
