@@ -9,24 +9,11 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
-from .bpe import encoder, small_batches
-
-
-def count_pieces(pieces: DataFrame, tokenizer: str) -> DataFrame:
-    """``key, value``: tokens of each distinct pre-token."""
-
-    def run(batches):
-        enc = encoder(tokenizer)
-        for b in small_batches(batches, 5000):
-            n = [len(x) / 4 for x in enc.encode_pieces(b.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.float64())], ["key", "value"])
-
-    return pieces.select("key").mapInArrow(run, "key string, value double")
+from .bpe import encoder
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,6 +42,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = chunks.chunked(rows, keys_of, "string")
-    counts = count_pieces(chunks.entries(held).select("key").distinct(), tokenizer)
+
+    def value_of():
+        enc = encoder(tokenizer)
+        return lambda pieces: [len(x) / 4 for x in enc.encode_pieces(pieces)]
+
+    counts = chunks.valued(held, value_of)
     n = F.col("own") + F.col("total").cast("long")
     return chunks.summed(held, counts).select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
