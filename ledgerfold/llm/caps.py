@@ -2,9 +2,15 @@
 
 Filters are directions of a structured random product code: a random rotation,
 then in each of three parts of the vector one of ``m`` random codewords. A vector
-goes to all filters whose direction it exceeds a threshold on; the parts' products
-are sorted, so the list is decoded without trying all ``m ** 3`` filters. Vectors
-that share a filter are compared by exact cosine in double precision.
+goes to its ``lists`` best filters; the parts' products are sorted, so they are
+found without trying all ``m ** 3`` filters. Vectors that share a filter are
+compared by exact cosine in double precision.
+
+The rotation is random, so a pair of given cosine meets as often as random pairs of
+that cosine do, whatever the data. ``lists`` grows with the table until pairs at
+the very threshold meet as often as ``RECALL`` asks for; closer pairs meet more
+often. Where that many lists would compare as much as there is, one filter holds
+all vectors and nothing is missed.
 
 Equal vectors are one class, compared once. A pair of classes counts only in the
 first filter that both are in, and gives counts and a link to its group's root, so
@@ -14,6 +20,8 @@ size, and every pair of tiles meets, so one task never holds a whole hot filter.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,25 +31,30 @@ from .common import components, materialize
 from .vectors import finite, sorted_groups
 
 PARTS = 3
-#: Filters a vector is in on average; vectors a filter has on average; rows of a tile.
+#: Filters a vector is in at least; vectors a filter has on average; rows of a tile.
 LISTS, PER_FILTER, TILE = 32, 192, 1024
+#: Share of the pairs at the threshold that have to meet; pairs that it is measured on.
+RECALL, TRIALS = 0.998, 4000
 
 
 class ProductCode:
-    """Rotation, codewords and threshold, all from the seed; a few kilobytes."""
+    """Rotation and codewords, all from the seed; a few kilobytes."""
 
     def __init__(self, dim: int, m: int, lists: float, seed: int = 7):
-        rng = np.random.default_rng([seed, dim, m])
-        self.dim, self.m = dim, m
+        rng = self.rng = np.random.default_rng([seed, dim, m])
+        self.dim, self.m, self.lists = dim, m, lists
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.cuts = [dim * i // PARTS for i in range(PARTS + 1)]
         words = [rng.standard_normal((m, b - a)) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
         self.words = [w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12) / np.sqrt(PARTS) for w in words]
-        # the threshold that random directions exceed on ``lists`` filters in the mean
-        x = rng.standard_normal((512, dim))
+
+    @cached_property
+    def threshold(self) -> float:
+        """What random directions exceed on ``lists`` filters in the mean."""
+        x = self.rng.standard_normal((512, self.dim))
         a, b, c = self.products(x / np.linalg.norm(x, axis=1, keepdims=True))
-        sums = (a[:, :, None, None] + b[:, None, :, None] + c[:, None, None, :]).reshape(-1) if m <= 24 else self._sampled(a, b, c, rng)
-        self.threshold = float(np.quantile(sums, 1 - min(1.0, lists / m**PARTS)))
+        sums = (a[:, :, None, None] + b[:, None, :, None] + c[:, None, None, :]).reshape(-1) if self.m <= 24 else self._sampled(a, b, c, self.rng)
+        return float(np.quantile(sums, 1 - min(1.0, self.lists / self.m**PARTS)))
 
     @staticmethod
     def _sampled(a, b, c, rng) -> np.ndarray:
@@ -53,7 +66,7 @@ class ProductCode:
         return [r[:, a:b] @ w.T for a, b, w in zip(self.cuts, self.cuts[1:], self.words, strict=False)]
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """Sorted filter numbers of each unit vector; at least its best filter."""
+        """Sorted numbers of the filters that each unit vector exceeds the threshold on; at least its best filter."""
         out = []
         m, t = self.m, self.threshold
         for a, b, c in zip(*self.products(x), strict=True):
@@ -66,10 +79,45 @@ class ProductCode:
             out.append(np.sort((i[p] * m + j[p]) * m + k).astype(np.int64))
         return out
 
-
-def _codes(dims: dict[int, int], lists: float, per_filter: int) -> dict[int, ProductCode]:
-    """A code for each vector length, with filters in proportion to its vectors."""
-    return {d: ProductCode(d, max(2, int(np.ceil((lists * n / per_filter) ** (1 / PARTS)))), lists) for d, n in dims.items()}
+    def best(self, x: np.ndarray) -> np.ndarray:
+        """Sorted numbers of the ``lists`` best filters of each unit vector, of all if there are no more."""
+        m, n = self.m, int(np.ceil(self.lists))
+        # a filter whose ranks in the parts have a product over n has n better ones
+        ranks = np.array([(i, j, k) for i in range(min(m, n)) for j in range(min(m, n // (i + 1))) for k in range(min(m, n // ((i + 1) * (j + 1))))])
+        at_once = max(1, 2**22 // len(ranks))
+        out = [np.zeros((0, min(n, m**PARTS)), np.int64)]
+        for start in range(0, len(x), at_once):
+            sums, number = -1e-13 * np.arange(len(ranks)), 0  # equal sums go by rank
+            for part, rank in zip(self.products(x[start : start + at_once]), ranks.T, strict=True):
+                order = np.argsort(-part, axis=1, kind="stable")
+                sums = sums + np.take_along_axis(part, order, 1)[:, rank]
+                number = number * m + order[:, rank]
+            if sums.shape[1] > n:
+                number = np.take_along_axis(number, np.argpartition(-sums, n - 1, axis=1)[:, :n], 1)
+            out.append(np.sort(number, axis=1))
+        return np.concatenate(out)
+
+    def recall(self, cosine: float, trials: int = TRIALS, seed: int = 11) -> float:
+        """Share of random pairs of unit vectors with this cosine that share a filter."""
+        rng = np.random.default_rng([seed, self.dim])
+        x, y = rng.standard_normal((2, trials, self.dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+        cosine = min(1.0, max(-1.0, cosine))
+        y = cosine * x + np.sqrt(1 - cosine**2) * y
+        return float(np.mean([len(np.intersect1d(a, b, assume_unique=True)) > 0 for a, b in zip(self.best(x), self.best(y), strict=True)]))
+
+
+def code_for(dim: int, n: int, threshold: float, lists: float = LISTS, per_filter: int = PER_FILTER, target: float = RECALL) -> ProductCode:
+    """The code with the fewest lists, from ``lists`` on in steps of a quarter, by which
+    pairs at the threshold meet as often as the target asks for among ``n`` vectors."""
+    while lists * per_filter < n:
+        code = ProductCode(dim, max(2, int(np.ceil((lists * n / per_filter) ** (1 / PARTS)))), lists)
+        if code.recall(threshold) >= target:
+            return code
+        lists = np.ceil(lists * 1.25)
+    return ProductCode(dim, 1, 1)
 
 
 def _shared_before(lists_a: list[np.ndarray], lists_b: list[np.ndarray], own: int) -> np.ndarray:
@@ -104,12 +152,13 @@ def _roots(n: int, linked: np.ndarray) -> np.ndarray:
     return label
 
 
-def link(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", lists: float = LISTS, per_filter: int = PER_FILTER, tile: int = TILE) -> DataFrame:
+def link(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", lists: float = LISTS, per_filter: int = PER_FILTER, tile: int = TILE, recall: float = RECALL) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept.
 
     ``n_links`` counts the other rows whose cosine with it is at least
-    ``threshold``, as far as the filters find them (equal vectors always; see the
-    tests for the measured recall); ``component_id`` is the smallest id reachable
+    ``threshold``: all of them where ``lists * per_filter`` reaches the number of
+    vectors, else those that share a filter, which at the threshold itself is
+    ``recall`` of them (equal vectors always); ``component_id`` is the smallest id reachable
     by links. Vectors that are null, zero, or hold a component that is null or
     not finite link with nothing and are their own component, as are vectors of
     different lengths; rows that repeat an id count as rows. A null id is never a
@@ -134,7 +183,7 @@ def link(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec
         .withColumn("cls", F.xxhash64("digest"))
     )
     dims = {r["dim"]: r["n"] for r in classes.groupBy((F.length("raw") / 8).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    codes = _codes(dims, lists, per_filter)
+    codes = {d: code_for(d, n, threshold, lists, per_filter, recall) for d, n in dims.items()}
 
     def spread(batches):
         for b in batches:
@@ -145,7 +194,7 @@ def link(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec
                 own = np.nonzero(size == d)[0]
                 x = np.frombuffer(b"".join(raws[i] for i in own), "<f8").reshape(-1, d)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
-                for i, f in zip(own, codes[d].decode(x / np.linalg.norm(x, axis=1, keepdims=True)), strict=True):
+                for i, f in zip(own, codes[d].best(x / np.linalg.norm(x, axis=1, keepdims=True)), strict=True):
                     found[i] = f
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.list_(pa.int64()))], ["cls", "raw", "copies", "filters"])
 

@@ -131,6 +131,38 @@ def test_caps_decode_finds_all_filters():
         assert set(want) <= set(found) and (len(want) == len(found) or len(want) == 0)
 
 
+@pytest.mark.parametrize("n", [2_000, 10_000, 51_282, 1_000_000, 3_000_000])
+def test_caps_recall_holds_at_every_size(n):
+    code = caps.code_for(64, n, 0.9)
+    got = [code.recall(c, trials=1500, seed=3) for c in (0.9, 0.95, 0.99)]
+    assert min(got) >= 0.99 and (n > caps.LISTS * caps.PER_FILTER or min(got) == 1)
+    assert len({len(f) for f in code.best(np.eye(64))}) == 1
+
+
+def test_caps_best_filters():
+    code = caps.ProductCode(24, 9, 12)
+    x = np.random.default_rng(0).standard_normal((40, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b, c = code.products(x)
+    every = (a[:, :, None, None] + b[:, None, :, None] + c[:, None, None, :]).reshape(40, -1)
+    assert (code.best(x) == np.sort(np.argsort(-every, axis=1)[:, :12], axis=1)).all() and code.best(x[:0]).shape == (0, 12)
+
+
+def test_caps_links_at_the_threshold(spark):
+    """Pairs barely over the threshold, found by filters and, as few rows, without any."""
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal((2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.902 * x + np.sqrt(1 - 0.902**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    whole = {r.vec_id: r for r in caps.link(df).collect()}
+    assert all(r.n_links == 1 and r.component_id == r.vec_id % 1500 for r in whole.values())
+    some = caps.link(df, per_filter=20).collect()
+    assert sum(r.n_links for r in some) >= 0.99 * 3000 and all(r.n_links <= 1 for r in some)
+
+
 def test_topk(vectors):
     df, own = vectors
     got = {}
