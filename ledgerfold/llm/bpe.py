@@ -2,7 +2,8 @@
 
 The tokenizers library does the encoding. Its pre-tokens never cross a space that
 a non-space follows, so a text is cut there and each distinct unit of a worker is
-encoded once, in a cache that starts anew when it is full. Units of Latin letters
+encoded once, in a cache that starts anew when it is full; long units are not kept.
+A unit is cut again at its line ends. Units of Latin letters
 and ASCII marks are two pre-tokens at most and go straight to the library's BPE
 model; all other units go through its whole pipeline, as do whole texts where the
 tokenizer is not known to cut at spaces.
@@ -27,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Units that a worker's cache holds at most; documents that are looked at together.
-CACHE_UNITS = 1_000_000
+#: Units that a worker's cache holds at most, and their characters; documents that are looked at together.
+CACHE_UNITS, KEPT_CHARS = 1_000_000, 256
 DOCS_AT_ONCE = 128
 #: Splits text as GPT-2 does; a fixed value that the ranks file goes with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Letters in every version of Unicode, then marks that are neither letters, digits, spaces nor apostrophes.
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
-_LINES = re.compile(r"(\S+)\n(\S(?:.*\S)?)", re.S)
+_LINE_END = re.compile(r"(?<=\S)\n(?=\S)")
 _UNSURE = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
@@ -98,7 +99,8 @@ class _Units(dict):
 
     def __missing__(self, unit: str) -> bytes:
         got = self.encoder.encode_unit(self.lead, unit)
-        self[unit] = got
+        if len(unit) <= KEPT_CHARS:
+            self[unit] = got
         return got
 
 
@@ -139,9 +141,9 @@ class Encoder:
             return pack([x.id for x in self.model.tokenize(self.space + unit if lead else unit)])
         plain = _PLAIN.fullmatch(unit)
         if plain is None:
-            lines = _LINES.fullmatch(unit)
+            head, *lines = _LINE_END.split(unit)
             if lines:  # a line end between non-spaces is a pre-token of its own
-                return (self.after_space if lead else self.first)[lines[1]] + self.line_end + self.first[lines[2]]
+                return self.line_end.join([(self.after_space if lead else self.first)[head], *map(self.first.__getitem__, lines)])
             return pack(self.tokenizer.encode(lead + unit, add_special_tokens=False).ids)
         letters, marks = plain.groups()
         if not letters.isascii():
@@ -153,7 +155,16 @@ class Encoder:
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pre-tokens as ``segments`` gives them, with the space before them if any."""
-        return [self.encode_unit(" ", p[1:]) if p[:1] == " " else self.encode_unit("", p) for p in pieces]
+        out = []
+        for p in pieces:
+            self.make_room()
+            out.append(self.encode_unit(" ", p[1:]) if p[:1] == " " else self.encode_unit("", p))
+        return out
+
+    def make_room(self) -> None:
+        if len(self.after_space) + len(self.first) > self.cache_units:
+            self.after_space.clear()
+            self.first.clear()
 
     def segments(self, text: str) -> list[tuple[list[str], int | None]]:
         """Units of each stretch between special strings, with the id that ends it.
@@ -176,9 +187,7 @@ class Encoder:
             return [array("I", ids).tobytes() for ids in whole]
         out = []
         for text in texts:
-            if len(self.after_space) + len(self.first) > self.cache_units:
-                self.after_space.clear()
-                self.first.clear()
+            self.make_room()
             parts = []
             for units, number in self.segments(text or ""):
                 if units[0]:

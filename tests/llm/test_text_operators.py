@@ -92,6 +92,25 @@ def test_encoder_on_any_text(library, text):
     assert list(memoryview(bpe.encoder(RANKS).encode([text])[0]).cast("I")) == tik.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("end", ["", "\n", "\n\n", " tail\nline"])
+def test_encoder_on_many_lines_without_spaces(library, end):
+    hf, tik = library
+    lines = [f"word{i % 700},{i}" if i % 3 else "naïve日本" for i in range(5000)]
+    for text in ("\n".join(lines) + end, " " + "\n".join(lines[:2500]) + "\n\n" + "\r\n".join(lines[2500:]) + end):
+        for own, want in ((bpe.Encoder(JSON), hf.encode(text, add_special_tokens=False).ids), (bpe.Encoder(RANKS), tik.encode_ordinary(text))):
+            assert list(memoryview(own.encode([text])[0]).cast("I")) == want
+            kept = [*own.first, *own.after_space]
+            assert max(map(len, kept)) <= bpe.KEPT_CHARS and len(kept) <= 5100
+
+
+def test_encoder_of_pieces_clears_its_cache(library):
+    own = bpe.Encoder(JSON, cache_units=50)
+    pieces = [f"{i}\n{i + 1}\nx{i}" for i in range(500)]
+    got = own.encode_pieces(pieces)
+    assert [list(memoryview(x).cast("I")) for x in got] == [library[0].encode(p, add_special_tokens=False).ids for p in pieces]
+    assert len(own.first) + len(own.after_space) < 60
+
+
 def test_round_trip(docs, empty):
     got = bpe.round_trip(docs, RANKS, with_ids=True)
     sha = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect()}
