@@ -376,11 +376,15 @@ _WHO = (1, 4, 7, 10, 13)
 @query(_RECORD.format(", ".join(map(str, _WHO))))
 def legislator_votes(spark, sf):
     persons, cast, events, meetings = _record(spark, sf)
-    pages = [lookups.list_legislator_votes(persons, cast, events, meetings, str(w), n=200) for w in _WHO]
-    out = pages[0]
-    for p in pages[1:]:
-        out = out.unionByName(p)
-    return out.select("person_id", "name", "identity_confidence", "vote_event_id", "option")
+    own = F.col("person_id").isin([str(w) for w in _WHO])
+    return lookups.legislator_records(persons.where(own), cast.where(own), events, meetings).select("person_id", "name", "identity_confidence", "vote_event_id", "option")
+
+
+@query("""select c_custkey::varchar as person_id, c_name as name, case when c_acctbal > 5000 then 'high' else 'medium' end as identity_confidence, o.o_orderkey::varchar as vote_event_id, o_orderstatus as option
+ from customer left join orders o on o_custkey = c_custkey and c_acctbal > 5000""")
+def legislator_records(spark, sf):
+    """The record of every person."""
+    return lookups.legislator_records(*_record(spark, sf)).select("person_id", "name", "identity_confidence", "vote_event_id", "option")
 
 
 @query("""select o_orderkey::varchar as vote_event_id, o_orderdate::date::varchar as date, exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') as has_named_votes

@@ -69,12 +69,18 @@ def get_law_changes(changes: DataFrame, log: DataFrame, law_id: str, n: int = 0,
     return paging.offset_page(own.join(changes, F.col("seq") == F.col("change_id")), [F.desc("seq")], token, n)
 
 
-def list_legislator_votes(persons: DataFrame, cast: DataFrame, events: DataFrame, meetings: DataFrame, person_id: str, n: int = 0, token: str = "") -> DataFrame:
-    """The person, and the votes only if the identity is certain."""
-    own = persons.where(F.col("person_id") == _id(person_id)).select("person_id", "name", "identity_confidence")
-    record = cast.where(F.col("person_id") == person_id).drop("issue_id").join(events.select("vote_event_id", "issue_id", "motion", "result"), "vote_event_id").join(meetings.select("issue_id", "date", "house"), "issue_id")
+def legislator_records(persons: DataFrame, cast: DataFrame, events: DataFrame, meetings: DataFrame) -> DataFrame:
+    """Every person, and their votes only if the identity is certain."""
+    own = persons.select("person_id", "name", "identity_confidence")
+    record = cast.drop("issue_id").join(events.select("vote_event_id", "issue_id", "motion", "result"), "vote_event_id").join(meetings.select("issue_id", "date", "house"), "issue_id")
     sure = record.withColumn("_c", F.lit("high")).withColumnRenamed("person_id", "_p")
-    rows = own.join(sure, (F.col("person_id") == F.col("_p")) & (F.col("identity_confidence") == F.col("_c")), "left").drop("_p", "_c")
+    return own.join(sure, (F.col("person_id") == F.col("_p")) & (F.col("identity_confidence") == F.col("_c")), "left").drop("_p", "_c")
+
+
+def list_legislator_votes(persons: DataFrame, cast: DataFrame, events: DataFrame, meetings: DataFrame, person_id: str, n: int = 0, token: str = "") -> DataFrame:
+    """A page of one person's record."""
+    own = F.col("person_id") == _id(person_id)
+    rows = legislator_records(persons.where(own), cast.where(own), events, meetings)
     return paging.offset_page(rows, [F.col("date").desc_nulls_last(), F.col("vote_event_id")], token, n)
 
 
