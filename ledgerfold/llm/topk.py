@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import matrices, one_per_id
+from .vectors import matrices, usable
 
 QUERY_BLOCK, ROW_BLOCK = 512, 2048
 LEVELS = (1, 4, 16)
@@ -108,11 +108,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
     integer inner product of ``floor(scale * x)``; ties go to the smaller id.
 
     ``is_query`` is a condition on ``vec_id``. Vectors that are null or hold a
-    component that is null or not finite take no part, nor do null ids; rows that
-    share an id count as one (see ``one_per_id``); vectors of other lengths than
-    the query's are no candidates. Scores must fit in 64 bits.
+    component that is null or not finite take no part, nor do null ids; vectors of
+    other lengths than the query's are no candidates. Rows that repeat an id count
+    as rows: each is a candidate of other ids' queries, and a query's k rows are the
+    best of all its rows'. Scores must fit in 64 bits.
     """
-    rows = materialize(one_per_id(vectors, id_col, vector_col))
+    rows = materialize(usable(vectors, id_col, vector_col))
     held = materialize(blocks(rows, ROW_BLOCK, scale))
     asked = materialize(blocks(rows.where(is_query).coalesce(1 + rows.rdd.getNumPartitions() // 16), QUERY_BLOCK, scale))
     # each candidate block meets each query block of its length, a few candidate blocks to a salt

@@ -16,11 +16,10 @@ def finite(vector: Column) -> Column:
     return F.coalesce(good, F.lit(False)) & (F.size(vector) > 0)
 
 
-def one_per_id(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, vec`` with one row an id: of vectors that share an id, the greatest
-    (component by component). Null ids and vectors that are not finite are left out."""
+def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``vec_id, vec`` of all rows but those with a null id or a vector that is not finite."""
     own = rows.where(F.col(id_col).isNotNull() & finite(F.col(vector_col)))
-    return own.groupBy(F.col(id_col).cast("long").alias("vec_id")).agg(F.max(vector_col).alias("vec"))
+    return own.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vec"))
 
 
 def matrices(ids: pa.Array, vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

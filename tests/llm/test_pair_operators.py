@@ -1,8 +1,9 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import caps, common, jaccard, topk
+from ledgerfold.llm import caps, common, jaccard, queries, topk
 
 
 def groups(links, nodes):
@@ -175,6 +176,18 @@ def test_topk(vectors):
     assert not got and topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_on_repeated_rows(spark, tmp_path):
+    """Rows that share an id, equal and different, as candidates and as queries: what SQL gives."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(120)]
+    rows += rows[3:6] * 2 + [(i % 60, rng.standard_normal(8).tolist()) for i in range(90)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = queries.op2_topk(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(queries.ORACLE_SQL["op2_topk"]).project("query_id, rank, vec_id, score").fetchall())
+
+
 def test_topk_bounds_hold():
     rng = np.random.default_rng(3)
     q, x = rng.integers(-300, 300, (20, 30)).astype(float), rng.integers(-300, 300, (50, 30)).astype(float)
