@@ -7,36 +7,48 @@ band's largest size), so the hash universe is cut in H + 1 segments: two sets of
 linked pair agree on at least one segment, and by the stronger pigeonhole for
 rings, on one whose next segment differs in at most one element.
 
-A document indexes its subset of each segment. Segments that hold nothing are
-equal in many documents, so there the allocation is dearer: the subset of the next
-segment and its one-deletion neighbourhood go into the key as well. Which of the
-two a segment gets follows from its subset alone, so partners agree on it.
-
-Documents with equal sets are one class. Classes that share a key are compared
-with the key's smallest class, and survivors of a sound size and histogram filter
-are verified on their whole sets. What shares a key and is not yet in one component
-is compared with the key's most central class, and at last what is still apart is
-compared pair by pair. So a group of near copies costs its size, not its square,
-and no link between components is lost.
+A document indexes its subset of each segment: one key is the cheapest allocation
+that the bound admits. Segments that hold nothing are equal in many documents, so
+there the allocation is dearer: the subset of the next segment and its one-deletion
+neighbourhood go into the key as well. Which of the two a segment gets follows from
+its subset alone, so partners agree on it.
+
+Documents with equal sets are one class. Tasks sort the keys of many documents at
+once and deal them in packed ranges of the key space, so a key costs no row; what
+meets under a key is a group, and groups with the same classes are one. A key that
+is hot where it is made leaves there as groups of its own, and only a representative
+goes on to its range, so no task holds all of a hot key.
+
+Classes of a group are compared with its smallest class, and survivors of a sound
+size and histogram filter are verified on their whole sets. Groups that are not yet
+in one component are compared pair by pair if they are small, else with their most
+central class; what is still apart then is compared tile by tile. So a group of near
+copies costs its size, not its square, and no link between components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import small_batches
-from .common import components, discard, materialize, shared_dir
+from .common import components, discard, fresh_name, materialize, shared_dir
 from .vectors import sorted_groups
 
 N, PERCENT = 5, 80
 #: Elements of a histogram bin on average, for sets beyond FINE and for smaller ones at most.
 PER_BIN, FINE = 4, 512
+#: Keys that a task sorts at once; how many of them make a key hot; classes of a
+#: group in one row; groups compared pair by pair at once; ranges of the key space
+#: for each shuffle partition.
+KEYS_AT_ONCE, HOT, TILE, SMALL, RANGES = 1 << 21, 64, 1024, 64, 4
 _SEED = 0x9E3779B97F4A7C15
 
 
@@ -128,7 +140,11 @@ def _hashed(raws: list[bytes], n: int) -> list[np.ndarray]:
     sums = np.zeros(len(y) + 1, np.uint64)
     np.cumsum(_byte_values()[y] * up[: len(y)], out=sums[1:])
     h = _mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(_SEED))
-    return [np.unique(p) for p in np.split(h, np.cumsum(made)[:-1])]
+    for i, j in zip(np.cumsum(made) - made, np.cumsum(made), strict=True):
+        h[i:j].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+    return np.split(h[new], np.cumsum(np.bincount(own[new], minlength=len(raws)))[:-1])
 
 
 def hashed(text: str | None, n: int = N) -> np.ndarray:
@@ -149,44 +165,61 @@ def bands(percent: int = PERCENT) -> np.ndarray:
     return np.array(out)
 
 
-def keys(h: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a sorted set of hashes, and whether each is a deletion key.
+def keys_of_all(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of sorted sets of hashes, whether each is a deletion key, and the
+    place of its set.
 
     One key for each segment of the document's band and of the next one. Bands so
     small that linked sets are equal need none.
     """
-    n = len(h)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
+    n = np.array([len(h) for h in sets], np.int64)
     tops = bands(percent)
-    own = int(np.searchsorted(tops, n))
+    own = np.searchsorted(tops, n)
+    h = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    whose = np.repeat(np.arange(len(sets)), n)
     value = _mix(h + np.uint64(_SEED))
-    out, deleted = [], []
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+    out, deleted, owner = [], [], []
     for band in (own, own + 1):
-        m = most_different(int(tops[band]), int(tops[band]), percent) + 1
-        if m < 2:
+        m = np.where(n > 0, most_different(tops[band], tops[band], percent) + 1, 0)
+        m[m < 2] = 0
+        base = np.cumsum(m) - m
+        total = int(m.sum())
+        if not total:
             continue
         # the hashes are spread evenly and sorted, so segments are ranges of them
-        segment = ((h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        edges = np.searchsorted(segment, np.arange(m + 1))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-        subset = sums[edges[1:]] - sums[edges[:-1]]
-        size = np.diff(edges)
-        place = _mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 40))
+        at = (h >> np.uint64(32)) * m[whose].astype(np.uint64) >> np.uint64(32)
+        used = m[whose] > 0
+        size = np.bincount((base[whose] + at.astype(np.int64))[used], minlength=total)
+        of = np.repeat(np.arange(len(sets)), m)
+        skipped = (np.cumsum(np.where(m > 0, 0, n)))[of]  # elements of sets without segments
+        edges = np.cumsum(size) + skipped
+        subset = sums[edges] - sums[edges - size]
+        nth = np.arange(total) - base[of]
+        place = _mix(nth.astype(np.uint64) + (band[of].astype(np.uint64) << np.uint64(40)))
         full = np.nonzero(size > 0)[0]
         out.append(_mix(place[full] ^ subset[full]))
         deleted.append(np.zeros(len(full), bool))
+        owner.append(of[full])
         i = np.nonzero(size == 0)[0]
         if len(i):
-            j = (i + 1) % m
+            j = np.where(nth[i] + 1 < m[of[i]], i + 1, base[of[i]])
             held = 1 + size[j]  # the next subset itself, then without each of its elements
             which = np.repeat(np.arange(len(i)), held)
-            nth = np.arange(len(which)) - np.repeat(np.cumsum(held) - held, held)
-            gone = np.where(nth > 0, value[np.minimum(edges[j][which] + nth - 1, n - 1)], np.uint64(0))
+            k = np.arange(len(which)) - np.repeat(np.cumsum(held) - held, held)
+            first = edges[j] - size[j]
+            gone = np.where(k > 0, value[np.clip(first[which] + k - 1, 0, len(value) - 1)], np.uint64(0))
             near = subset[j][which] - gone
             out.append(_mix(_mix(near + place[i][which] + np.uint64(_SEED)) + place[j][which]))
-            deleted.append(nth > 0)
-    return (np.concatenate(out).view(np.int64), np.concatenate(deleted)) if out else (np.zeros(0, np.int64), np.zeros(0, bool))
+            deleted.append(k > 0)
+            owner.append(of[i][which])
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+    return np.concatenate(out).view(np.int64), np.concatenate(deleted), np.concatenate(owner)
+
+
+def keys(h: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    return keys_of_all([h], percent)[:2]
 
 
 def histogram(h: np.ndarray) -> bytes:
@@ -204,43 +237,164 @@ def folded(hist: bytes, size: int) -> np.ndarray:
     return np.frombuffer(hist, np.uint8).reshape(size, -1).sum(axis=1, dtype=np.int32)
 
 
+def _stacked(hists: pa.Array, size: int, to: int) -> np.ndarray:
+    """Histograms of ``size`` bins as rows of ``to`` bins."""
+    raw = np.frombuffer(b"".join(hists.to_pylist()), np.uint8).reshape(len(hists), to, -1)
+    return raw.sum(axis=2, dtype=np.int32)
+
+
 def _class(h: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    def run(batches):
-        for b in small_batches(batches):
-            found = hashed_all(b.column(1).to_pylist(), n)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(h) for h in found], pa.int64()), pa.array([_class(h) for h in found], pa.int64()), pa.array([histogram(h) for h in found], pa.binary())],
-                ["doc_id", "n", "cls", "hist"],
-            )
+_DEALT = pa.schema(
+    [("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("hist", pa.binary()), ("key", pa.int64()), ("tile", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("flags", pa.binary())]
+)
+_MET = pa.schema(
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("hist", pa.binary()), ("key", pa.int64()), ("tile", pa.int64()), ("many", pa.bool_()), ("s1", pa.int64()), ("s2", pa.int64()), ("n_whole", pa.int32()), ("members", pa.list_(pa.int64()))]
+)
+_DELETED, _SENT = 1, 2  # flags of a key: of a one-deletion neighbour; stands for a group that left already
+
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, hist binary")
+def _batch(schema: pa.Schema, rows: int, **columns) -> pa.RecordBatch:
+    made = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(made, schema=schema)
 
 
-def _index(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``key, cls, deleted``; a task indexes each class that it meets once."""
+def _runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    starts = np.nonzero(np.concatenate([[True], k[1:] != k[:-1]]))[0] if len(k) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(k)))
+
+
+def _dealt(rows: DataFrame, n: int, percent: int, ranges: int) -> DataFrame:
+    """Rows of documents (``doc_id, n, cls, hist``), of packed keys (``keys, owners,
+    flags``) and of groups of hot keys (``key, tile, owners, flags``), each with the
+    range it goes to. A task indexes each class that it meets once."""
 
     def run(batches):
+        from pyspark import TaskContext
+
+        tile = TaskContext.get().partitionId() << 32
         seen: set[int] = set()
-        for b in small_batches(batches):
-            classes, found, marks = [], [], []
-            for h in hashed_all(b.column(1).to_pylist(), n):
-                own = _class(h)
-                if own not in seen:
-                    seen.add(own)
-                    k, d = keys(h, percent)
-                    found.append(k)
-                    marks.append(d)
-                    classes.append(np.full(len(k), own, np.int64))
-            if found:
-                columns = [np.concatenate(x) for x in (found, classes, marks)]
-                for i in range(0, len(columns[0]), 65536):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 65536]) for c in columns], ["key", "cls", "deleted"])
-
-    return docs.mapInArrow(run, "key long, cls long, deleted boolean")
+        held: list = []
+        count = docs = 0
+
+        def deal():
+            nonlocal tile
+            k, c, f = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(k)
+            k, c, f = k[order], c[order], f[order]
+            keep = np.ones(len(k), bool)
+            starts, length = _runs(k)
+            for i, size in zip(starts[length >= HOT], length[length >= HOT], strict=True):
+                own = i + np.lexsort((c[i : i + size], f[i : i + size]))
+                for j in range(0, size, TILE):
+                    at = own[j : j + TILE]
+                    columns = {"owners": [c[at].tobytes()], "flags": [f[at].tobytes()], "key": [k[i]], "tile": [tile]}
+                    yield _batch(_DEALT, 1, part=[tile % ranges], **columns)
+                    tile += 1
+                keep[i : i + size] = False
+                keep[own[0]] = True
+                f[own[0]] |= _SENT
+            k, c, f = k[keep], c[keep], f[keep]
+            part = ((k.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            starts, length = _runs(part)
+            for at in np.array_split(np.arange(len(starts)), max(1, len(k) >> 20)):
+                cuts = [slice(i, i + size) for i, size in zip(starts[at], length[at], strict=True)]
+                packed = {name: [x[s].tobytes() for s in cuts] for name, x in (("keys", k), ("owners", c), ("flags", f))}
+                yield _batch(_DEALT, len(cuts), part=part[starts[at]].astype(np.int32), **packed)
+
+        for b in small_batches(batches, 512):
+            sets = hashed_all(b.column(1).to_pylist(), n)
+            cls = [_class(h) for h in sets]
+            part = (docs + np.arange(len(sets))) % ranges
+            docs += len(sets)
+            yield _batch(_DEALT, len(sets), part=part.astype(np.int32), doc_id=b.column(0), n=[len(h) for h in sets], cls=cls, hist=[histogram(h) for h in sets])
+            new = {c: h for c, h in zip(cls, sets, strict=True) if c not in seen and len(h)}
+            seen.update(new)
+            k, d, owner = keys_of_all(list(new.values()), percent)
+            held.append((k, np.array(list(new), np.int64)[owner], d.astype(np.uint8)))
+            count += len(k)
+            if count >= KEYS_AT_ONCE:
+                yield from deal()
+                held, count = [], 0
+        if count:
+            yield from deal()
+
+    kind = "part int, doc_id long, n long, cls long, hist binary, key long, tile long, keys binary, owners binary, flags binary"
+    return rows.mapInArrow(run, kind)
+
+
+def _unpacked(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column if x.is_valid] or [np.zeros(0, kind)])
+
+
+def _groups_of(k: np.ndarray, c: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Groups of the classes that share a key, of which one at least has it whole.
+    Of groups with the same classes one stays, unless others of its key left before."""
+    order = np.argsort(k)
+    k = k[order]
+    same = k[1:] == k[:-1]
+    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    k, own = k[shared], order[shared]
+    c, f = c[own], f[own]
+    order = np.lexsort((f & _DELETED, c, k))
+    k, c, f = k[order], c[order], f[order]
+    starts, length = _runs(k)
+    many = np.repeat(np.bitwise_or.reduceat(f, starts) & _SENT > 0, length) if len(k) else np.zeros(0, bool)
+    once = np.ones(len(k), bool)  # a class that has a key whole and by deletion has it whole
+    once[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    k, c, f, many = k[once], c[once], f[once] & _DELETED, many[once]
+    order = np.lexsort((c, f, k))
+    c, f = c[order], f[order]
+    starts, length = _runs(k)
+    whole = np.add.reduceat(1 - f.astype(np.int64), starts) if len(k) else np.zeros(0, np.int64)
+    mark = _mix(c.view(np.uint64) + f.astype(np.uint64))
+    s1, s2 = (np.add.reduceat(x, starts) if len(k) else x for x in (mark, _mix(mark + np.uint64(_SEED))))
+    good = (length > 1) & (whole > 0)
+    single = np.nonzero(good & ~many[starts])[0] if len(k) else np.zeros(0, np.int64)
+    order = single[np.lexsort((s2[single], s1[single]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
+    chosen = np.sort(np.concatenate([order[new], np.nonzero(good & many[starts])[0]])) if len(k) else order
+    big = length[chosen] > TILE
+    small = chosen[~big]
+    for i in range(0, len(small), 8192):
+        g = small[i : i + 8192]
+        ends = np.cumsum(length[g])
+        at = np.arange(ends[-1]) + np.repeat(starts[g] - ends + length[g], length[g])
+        members = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(c[at]))
+        yield _batch(_MET, len(g), key=k[starts[g]], tile=np.full(len(g), -1), many=many[starts[g]], s1=s1[g].view(np.int64), s2=s2[g].view(np.int64), n_whole=whole[g].astype(np.int32), members=members)
+    for g in chosen[big]:
+        for j in range(0, length[g], TILE):
+            at = np.arange(starts[g] + j, starts[g] + min(j + TILE, length[g]))
+            yield _fragment(int(k[starts[g]]), -2 - j, c[at], f[at])
+
+
+def _fragment(key: int, tile: int, c: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+    """One of the groups of a key that has many; smallest classes that have it whole come first."""
+    order = np.lexsort((c, f & _DELETED))
+    whole = int((f & _DELETED == 0).sum())
+    return _batch(_MET, 1, key=[key], tile=[tile], many=[True], n_whole=[whole], members=[c[order]])
+
+
+def _met(dealt: DataFrame) -> DataFrame:
+    """Rows of documents as they were, and of groups: ``key, tile, many`` (other rows
+    may have the same key), a signature of the classes, ``n_whole, members``."""
+
+    def run(batches):
+        for group in sorted_groups(batches, ["part"]):
+            docs = group.filter(group.column("n").is_valid()).select(["doc_id", "n", "cls", "hist"])
+            for b in docs.to_batches(1024):
+                yield _batch(_MET, b.num_rows, **{name: b.column(name) for name in ("doc_id", "n", "cls", "hist")})
+            hot = group.filter(group.column("key").is_valid()).select(["key", "tile", "owners", "flags"])
+            for row in hot.to_pylist():
+                yield _fragment(row["key"], row["tile"], np.frombuffer(row["owners"], np.int64), np.frombuffer(row["flags"], np.uint8))
+            yield from _groups_of(_unpacked(group.column("keys"), "<i8"), *(_unpacked(group.filter(group.column("keys").is_valid()).column(x), t) for x, t in (("owners", "<i8"), ("flags", "u1"))))
+
+    kind = "doc_id long, n long, cls long, hist binary, key long, tile long, many boolean, s1 long, s2 long, n_whole int, members array<long>"
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(run, kind)
 
 
 def may_link(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
@@ -259,50 +413,68 @@ def _filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = zip(*(b.column(k).to_pylist() for k in ("h_a", "h_b", "n_a", "n_b")), strict=True)
-            yield b.filter(pa.array([may_link(*r, percent) for r in rows], pa.bool_())).select(["a", "b"])
+            n_a, n_b = np.asarray(b.column("n_a")), np.asarray(b.column("n_b"))
+            sizes = [np.asarray(pc.binary_length(b.column(k)), np.int64) for k in ("h_a", "h_b")]
+            keep = np.zeros(b.num_rows, bool)
+            for size in np.unique(np.stack(sizes, 1), axis=0).tolist():
+                own = np.nonzero((sizes[0] == size[0]) & (sizes[1] == size[1]))[0]
+                few = [_stacked(b.column(k).take(pa.array(own)), s, min(size)) for k, s in zip(("h_a", "h_b"), size, strict=True)]
+                keep[own] = np.abs(few[0] - few[1]).sum(axis=1, dtype=np.int64) <= most_different(n_a[own], n_b[own], percent)
+            keep &= np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent
+            yield b.filter(pa.array(keep)).select(["a", "b"])
 
     return pairs.select("a", "b", "n_a", "n_b", "h_a", "h_b").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs whose texts link, by their whole sets of hashes."""
-    for side in ("a", "b"):
+    for side in ("b", "a"):  # pairs come out by their first class, whose text is then hashed once
         pairs = pairs.join(texts.select(F.col("cls").alias(f"c_{side}"), F.col("text").alias(f"t_{side}")), F.col(side) == F.col(f"c_{side}"))
 
     def run(batches):
-        for b in small_batches(batches, 64):
+        for b in small_batches(batches, 256):
+            names, texts = ([x for k in pair for x in b.column(k).to_pylist()] for pair in (("a", "b"), ("t_a", "t_b")))
+            once = dict(zip(names, texts, strict=True))
+            found = dict(zip(once, hashed_all(list(once.values()), n), strict=True))
             keep = []
-            for x, y in zip(*(hashed_all(b.column(k).to_pylist(), n) for k in ("t_a", "t_b")), strict=True):
-                both = len(x) + len(y) - len(np.union1d(x, y))
+            for x, y in zip(names[: b.num_rows], names[b.num_rows :], strict=True):
+                x, y = found[x], found[y]
+                both = len(x) + len(y) - len(_union(x, y))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return pairs.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
 
 
-def _unlinked(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of keys whose classes are in different components, with size and histogram.
-    Keys of two classes are done: their one pair was the first to be looked at."""
-    named = members.join(labels, F.col("cls") == F.col("node"), "left").select("key", "cls", "deleted", F.coalesce("component", "cls").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("k")).where("l < h and k > 2").select(F.col("key").alias("of"))
-    rest = named.join(mixed, F.col("key") == F.col("of"), "left_semi").distinct()
-    return rest.join(classes.select(F.col("cls").alias("own"), "n", "hist"), F.col("cls") == F.col("own"))
+def _union(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    both = np.sort(np.concatenate([x, y]))
+    return both[np.concatenate([[True], both[1:] != both[:-1]])]
+
 
+def _unlinked(groups: DataFrame, labels: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """Rows ``key, tile, cls, deleted, label, n, hist`` of the keys whose classes are in
+    different components; keys of at most ``least`` classes in all are done."""
+    each = groups.select("key", "tile", "many", "n_whole", F.posexplode("members").alias("pos", "cls")).select("key", "tile", "many", "cls", (F.col("pos") >= F.col("n_whole")).alias("deleted"))
+    named = each.join(labels, F.col("cls") == F.col("node"), "left").select("key", "tile", "many", "cls", "deleted", F.coalesce("component", "cls").alias("label"))
+    seen = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("k"), F.bool_or("many").alias("m"))
+    mixed = seen.where((F.col("l") < F.col("h")) & (F.col("m") | (F.col("k") > least))).select(F.col("key").alias("of"))
+    rest = named.drop("many").join(mixed, F.col("key") == F.col("of"), "left_semi")
+    return rest.join(classes.select(F.col("cls").alias("own"), "n", "hist"), F.col("cls") == F.col("own")).drop("own")
 
-def _grouped(rows: DataFrame, percent: int, pairs_of) -> DataFrame:
-    """Distinct pairs that ``pairs_of`` finds within each key and the filter allows.
-    ``pairs_of(cls, label, n, deleted, hist)`` yields index arrays of pairs."""
+
+def _grouped(rows: DataFrame, order: list[str], percent: int, pairs_of) -> DataFrame:
+    """Distinct pairs that ``pairs_of`` finds within each group of ``order`` and the
+    filter allows. ``pairs_of(side, deleted, hist)`` yields index arrays of pairs."""
 
     def run(batches):
-        for group in sorted_groups(batches, ["key"]):
-            cls, label, n = (np.asarray(group.column(k)) for k in ("cls", "label", "n"))
+        for group in sorted_groups(batches, order):
+            side, cls, label, n = (np.asarray(group.column(k)) for k in ("tile", "cls", "label", "n"))
             deleted = np.asarray(group.column("deleted"))
             raw = group.column("hist").to_pylist()
             size = min(map(len, raw))  # sizes under one key are near each other
             hist = np.stack([folded(r, size) for r in raw]).astype(np.int16)
-            rough = hist.reshape(len(raw), -1, min(4, size)).sum(axis=2, dtype=np.int16)
-            for x, y in pairs_of(cls, label, n, deleted, hist):
+            rough = hist.reshape(len(raw), -1, min(8, size)).sum(axis=2, dtype=np.int16)
+            for x, y in pairs_of(side, deleted, hist):
                 apart = (label[x] != label[y]) & (cls[x] != cls[y]) & ~(deleted[x] & deleted[y])
                 apart &= np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
                 x, y = x[apart], y[apart]
@@ -312,27 +484,40 @@ def _grouped(rows: DataFrame, percent: int, pairs_of) -> DataFrame:
                     for h in (rough, hist):  # few pass the rough one
                         near = np.abs(h[p] - h[q]).sum(axis=1, dtype=np.int64) <= most_different(n[p], n[q], percent)
                         p, q = p[near], q[near]
-                    p, q = cls[p], cls[q]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+                    if len(p):
+                        p, q = cls[p], cls[q]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
 
-    grouped = rows.repartition("key").sortWithinPartitions("key", "cls")
-    return grouped.select("key", "cls", "deleted", "label", "n", "hist").mapInArrow(run, "a long, b long").distinct()
+    grouped = rows.repartition(*order).sortWithinPartitions(*order, "cls")
+    names = [*order, *(c for c in ("tile", "cls", "deleted", "label", "n", "hist") if c not in order)]
+    return grouped.select(*names).mapInArrow(run, "a long, b long").distinct()
 
 
-def _central(cls, label, n, deleted, hist):
-    """The class nearest to the key's mean histogram, with each other one."""
+def _few_or_central(side, deleted, hist):
+    """All pairs of a small group; in others, the class nearest to the mean histogram with each other one."""
+    if len(hist) <= SMALL:
+        yield np.triu_indices(len(hist), 1)
+        return
     mean = hist.mean(axis=0)
-    far = np.concatenate([np.abs(hist[i : i + 256] - mean).sum(axis=1) for i in range(0, len(cls), 256)])
+    far = np.concatenate([np.abs(hist[i : i + 256] - mean).sum(axis=1) for i in range(0, len(hist), 256)])
     hub = int(np.argmin(np.where(deleted, np.inf, far))) if not deleted.all() else 0
-    yield np.full(len(cls), hub), np.arange(len(cls))
+    yield np.full(len(hist), hub), np.arange(len(hist))
+
+
+def _all_pairs(side, deleted, hist):
+    """All pairs of a tile, or all between two tiles."""
+    two = (side != side[0]).any()
+    for i in range(0, len(hist), 256):
+        block = np.arange(i, min(i + 256, len(hist)))
+        x, y = np.nonzero((block[:, None] < np.arange(len(hist))[None, :]) & (not two or side[block][:, None] != side[None, :]))
+        yield block[x], y
 
 
-def _all_pairs(cls, label, n, deleted, hist):
-    for i in range(len(cls) - 1):
-        if i % 256 == 0:
-            block = np.arange(i, min(i + 256, len(cls)))
-            x, y = np.nonzero(block[:, None] < np.arange(len(cls))[None, :])
-            yield block[x], y
+def _tiled(rest: DataFrame) -> DataFrame:
+    """Each row once for each tile that its own meets."""
+    tiles = rest.select(F.col("key").alias("of"), F.col("tile").alias("other")).distinct()
+    met = rest.join(tiles, F.col("key") == F.col("of"))
+    return met.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "cls", "deleted", "label", "n", "hist")
 
 
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,40 +533,53 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc
     spark = docs.sparkSession
     path = shared_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = materialize(_sets(rows, n), f"{path}/sets")
+    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = materialize(_met(_dealt(rows, n, percent, ranges)), f"{path}/met")
+    sets = met.where("n is not null").select("doc_id", "n", "cls", "hist")
     classes = materialize(
         sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("hist").alias("hist")), f"{path}/classes"
     )
-    per_key = Window.partitionBy("key")
-    whole = F.when(~F.col("deleted"), F.col("cls"))
-    shared = _index(rows, n, percent).select("*", F.min(whole).over(per_key).alias("hub"), F.min("cls").over(per_key).alias("low"), F.max("cls").over(per_key).alias("high"))
-    members = materialize(shared.where("low < high and hub is not null").select("key", "cls", "deleted", "hub"), f"{path}/members")
-    stars = members.where("cls <> hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+    groups = met.where("key is not null").select("key", "tile", "many", "s1", "s2", "n_whole", "members")
+    groups = materialize(groups.where("not many").dropDuplicates(["s1", "s2"]).union(groups.where("many")).drop("s1", "s2"), f"{path}/groups")
+    stars = groups.where("n_whole > 0").select(F.element_at("members", 1).alias("hub"), F.explode("members").alias("cls")).where("cls <> hub")
+    stars = stars.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
     near = materialize(_filtered(stars, classes, percent), f"{path}/near")
-    texts = materialize(_texts(rows, classes, members.select("cls").distinct(), n), f"{path}/texts")
-    links = materialize(_verified(near, texts, n, percent), f"{path}/links")
-    labels = components(links)
-    for step, pairs_of in enumerate((_central, _all_pairs)):
-        rest = _unlinked(members, labels, classes)
-        new = materialize(_grouped(rest, percent, pairs_of).join(near, ["a", "b"], "left_anti"), f"{path}/near{step}")
+    texts = materialize(_texts(rows, classes, near, n), f"{path}/texts")
+    labels = components(materialize(_verified(near, texts, n, percent), f"{path}/links"))
+    for step, (order, pairs_of, least) in enumerate(((["key", "tile"], _few_or_central, 2), (["key", "i", "j"], _all_pairs, SMALL))):
+        rest = _unlinked(groups, labels, classes, least)
+        new = _grouped(_tiled(materialize(rest, f"{path}/rest")) if step else rest, order, percent, pairs_of)
+        new = materialize(new.join(near, ["a", "b"], "left_anti"), f"{path}/near{step}")
         if not new.limit(1).count():
             continue
         near = near.union(new)
-        links = links.union(materialize(_verified(new, texts, n, percent), f"{path}/links{step}"))
-        labels = components(links)
-    discard(spark, f"{path}/members")
+        texts = materialize(_texts(rows, classes, new, n), f"{path}/texts{step}")
+        labels = _merged(labels, materialize(_verified(new, texts, n, percent), f"{path}/links{step}"))
+        labels = materialize(labels, f"{path}/labels{step}")
 
     whole_labels = classes.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("component", "cls").alias("label"))
-    whole_labels = materialize(whole_labels, f"{path}/labels")
+    whole_labels = materialize(whole_labels, f"{path}/whole")
     least = whole_labels.groupBy(F.col("label").alias("of")).agg(F.min("first").alias("component_id"))
     ids = whole_labels.join(least, F.col("label") == F.col("of")).select(F.col("cls").alias("own"), "component_id")
     out = sets.join(ids, (F.col("cls") == F.col("own")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _texts(rows: DataFrame, classes: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """``cls, text`` of the needed classes, from a document of each; ids may repeat
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: those between the components so far name them anew."""
+    for side in ("a", "b"):
+        own = labels.select(F.col("node").alias(f"n_{side}"), F.col("component").alias(f"l_{side}"))
+        links = links.join(own, F.col(side) == F.col(f"n_{side}"), "left").withColumn(f"l_{side}", F.coalesce(f"l_{side}", side))
+    new = components(links.select(F.col("l_a").alias("a"), F.col("l_b").alias("b"))).select(F.col("node").alias("was"), F.col("component").alias("is"))
+    old = labels.join(new, F.col("component") == F.col("was"), "left").select("node", F.coalesce("is", "component").alias("component"))
+    alone = new.join(labels, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("is").alias("component"))
+    return old.union(alone)
+
+
+def _texts(rows: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """``cls, text`` of the classes in ``pairs``, from a document of each; ids may repeat
     or be null, so the class of a text found by id is looked at again."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     of = classes.join(needed, "cls", "left_semi").select("cls", F.col("first").alias("of"))
 
     def run(batches):
@@ -398,5 +596,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     columns. Rows that share an id stay or go together; rows with a null id go only
     where their group has an id."""
     found = join(docs, id_col=id_col, **options)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("gone")), "left_anti")
+    name = fresh_name(docs, "gone")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[name]), "left_anti")
