@@ -22,14 +22,27 @@ goes on to its range, so no task holds all of a hot key.
 Classes of a group are compared with its smallest class, and survivors of a sound
 size and histogram filter are verified on their whole sets. Groups that are not yet
 in one component are compared pair by pair if they are small, else with their most
-central class; what is still apart then is compared tile by tile. So a group of near
-copies costs its size, not its square, and no link between components is lost.
+central class.
+
+Keys whose group is large and still apart are frequent: a passage that many texts
+share. For their classes the allocation is chosen anew by these frequencies: frequent
+subsets (and empty ones) are skipped, and the segments of the first half get the
+subset and its one-deletion neighbourhood. Say a pair has z equal segments, all of
+them skipped, and e segments that differ in one element but are skipped for their
+frequency. Differences add up to less than the number of segments, so of u segments
+at most u - z have any, and if 2 z + e <= u one of them has exactly one and is not
+skipped: there the pair meets, a whole subset with a deletion. Each class bounds its
+own z and e; only classes whose bound fails are compared with each other under their
+frequent keys, in tiles, one component against the others. So neither a group of near
+copies nor a passage in all texts costs its square, and no link between components is
+lost.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -165,13 +178,30 @@ def bands(percent: int = PERCENT) -> np.ndarray:
     return np.array(out)
 
 
-def keys_of_all(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index keys of sorted sets of hashes, whether each is a deletion key, and the
-    place of its set.
+@dataclass
+class _Segments:
+    """Segments of many sets in one band each, end to end: whose they are, their number
+    in their set, how many that has, size, end and subset, and a mark of band and number."""
 
-    One key for each segment of the document's band and of the next one. Bands so
-    small that linked sets are equal need none.
-    """
+    of: np.ndarray
+    nth: np.ndarray
+    m: np.ndarray
+    size: np.ndarray
+    edges: np.ndarray
+    subset: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+
+    def without_one(self, which: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Subsets of segments without their ``k``-th element, whole for 0."""
+        first = self.edges[which] - self.size[which]
+        gone = self.value[np.clip(first + k - 1, 0, len(self.value) - 1)]
+        return self.subset[which] - np.where(k > 0, gone, np.uint64(0))
+
+
+def _segments(sets: list[np.ndarray], percent: int) -> Iterator[_Segments]:
+    """For the sets' own bands, then for the next ones. Bands so small that linked sets
+    are equal have no segments."""
     n = np.array([len(h) for h in sets], np.int64)
     tops = bands(percent)
     own = np.searchsorted(tops, n)
@@ -179,49 +209,67 @@ def keys_of_all(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndar
     whose = np.repeat(np.arange(len(sets)), n)
     value = _mix(h + np.uint64(_SEED))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-    out, deleted, owner = [], [], []
     for band in (own, own + 1):
         m = np.where(n > 0, most_different(tops[band], tops[band], percent) + 1, 0)
         m[m < 2] = 0
-        base = np.cumsum(m) - m
-        total = int(m.sum())
-        if not total:
-            continue
+        base, total = np.cumsum(m) - m, int(m.sum())
         # the hashes are spread evenly and sorted, so segments are ranges of them
         at = (h >> np.uint64(32)) * m[whose].astype(np.uint64) >> np.uint64(32)
-        used = m[whose] > 0
-        size = np.bincount((base[whose] + at.astype(np.int64))[used], minlength=total)
+        size = np.bincount((base[whose] + at.astype(np.int64))[m[whose] > 0], minlength=total)
         of = np.repeat(np.arange(len(sets)), m)
-        skipped = (np.cumsum(np.where(m > 0, 0, n)))[of]  # elements of sets without segments
+        skipped = np.cumsum(np.where(m > 0, 0, n))[of] if total else np.zeros(0, np.int64)  # elements of sets without segments
         edges = np.cumsum(size) + skipped
-        subset = sums[edges] - sums[edges - size]
         nth = np.arange(total) - base[of]
         place = _mix(nth.astype(np.uint64) + (band[of].astype(np.uint64) << np.uint64(40)))
-        full = np.nonzero(size > 0)[0]
-        out.append(_mix(place[full] ^ subset[full]))
-        deleted.append(np.zeros(len(full), bool))
-        owner.append(of[full])
-        i = np.nonzero(size == 0)[0]
-        if len(i):
-            j = np.where(nth[i] + 1 < m[of[i]], i + 1, base[of[i]])
-            held = 1 + size[j]  # the next subset itself, then without each of its elements
-            which = np.repeat(np.arange(len(i)), held)
-            k = np.arange(len(which)) - np.repeat(np.cumsum(held) - held, held)
-            first = edges[j] - size[j]
-            gone = np.where(k > 0, value[np.clip(first[which] + k - 1, 0, len(value) - 1)], np.uint64(0))
-            near = subset[j][which] - gone
-            out.append(_mix(_mix(near + place[i][which] + np.uint64(_SEED)) + place[j][which]))
-            deleted.append(k > 0)
-            owner.append(of[i][which])
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
-    return np.concatenate(out).view(np.int64), np.concatenate(deleted), np.concatenate(owner)
+        yield _Segments(of, nth, m[of], size, edges, sums[edges] - sums[edges - size], place, value)
+
+
+def _each(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows repeated ``sizes`` times, and a count from 0 within each."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def keys_of_all(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of sorted sets of hashes, whether each is a deletion key, and the
+    place of its set: one key for each segment of the set's band and of the next one."""
+    out = []
+    for s in _segments(sets, percent):
+        full, i = np.nonzero(s.size > 0)[0], np.nonzero(s.size == 0)[0]
+        out.append((_mix(s.place[full] ^ s.subset[full]), np.zeros(len(full), bool), s.of[full]))
+        j = np.where(s.nth[i] + 1 < s.m[i], i + 1, i + 1 - s.m[i])
+        which, k = _each(1 + s.size[j])  # the next subset itself, then without each of its elements
+        near = s.without_one(j[which], k)
+        out.append((_mix(_mix(near + s.place[i][which] + np.uint64(_SEED)) + s.place[j][which]), k > 0, s.of[i][which]))
+    k, d, owner = (np.concatenate(x) for x in zip(*out, strict=True))
+    return k.view(np.int64), d, owner
 
 
 def keys(h: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     return keys_of_all([h], percent)[:2]
 
 
+def near_keys(sets: list[np.ndarray], frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The allocation by frequency: keys of the first half of the segments, their flags
+    (deletion, frequent, next band) and the places of their sets; and for each set and
+    band, how much of ``2 z + e <= u`` is left for segments that turn out to be skipped."""
+    out, room = [], []
+    for step, s in enumerate(_segments(sets, percent)):
+        plain = _mix(s.place ^ s.subset)
+        hot = (s.size > 0) & np.isin(plain.view(np.int64), frequent)
+        used, band = s.nth < (s.m + 1) // 2, np.uint8(_NEXT * step)
+        whole = np.nonzero(used & (s.size > 0))[0]
+        out.append((plain[whole], np.where(hot[whole], _SENT, 0).astype(np.uint8) | band, s.of[whole]))
+        some = np.nonzero(used & (s.size > 1))[0]
+        which, k = _each(s.size[some])
+        out.append((_mix(s.place[some][which] ^ s.without_one(some[which], k + 1)), np.full(len(which), _DELETED, np.uint8) | band, s.of[some][which]))
+        count = lambda mask, of=s.of: np.bincount(of[mask], minlength=len(sets))
+        skipped = count(hot | (s.size == 0))
+        room.append(count(used) - 3 * skipped - count(s.size == 1))
+    k, f, owner = (np.concatenate(x) for x in zip(*out, strict=True))
+    return k.view(np.int64), f, owner, np.stack(room, 1)
+
+
 def histogram(h: np.ndarray) -> bytes:
     """Elements in equal ranges of the universe: a bin for each element up to FINE of
     them, PER_BIN to a bin in large sets. Counts stop at 255, which only brings
@@ -247,13 +295,16 @@ def _class(h: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+#: Flags of a key: of a one-deletion neighbour; stands for a group that left already, or is frequent; of the next band.
+_DELETED, _SENT, _NEXT = 1, 2, 4
+_MET_ROW = "doc_id long, n long, cls long, hist binary, key long, tile long, many boolean, s1 long, s2 long, n_whole int, members array<long>"
 _DEALT = pa.schema(
     [("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("hist", pa.binary()), ("key", pa.int64()), ("tile", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("flags", pa.binary())]
 )
+_DEALT_ROW = "part int, doc_id long, n long, cls long, hist binary, key long, tile long, keys binary, owners binary, flags binary"
 _MET = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("hist", pa.binary()), ("key", pa.int64()), ("tile", pa.int64()), ("many", pa.bool_()), ("s1", pa.int64()), ("s2", pa.int64()), ("n_whole", pa.int32()), ("members", pa.list_(pa.int64()))]
 )
-_DELETED, _SENT = 1, 2  # flags of a key: of a one-deletion neighbour; stands for a group that left already
 
 
 def _batch(schema: pa.Schema, rows: int, **columns) -> pa.RecordBatch:
@@ -267,6 +318,16 @@ def _runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(k)))
 
 
+def _packed(k: np.ndarray, c: np.ndarray, f: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Sorted keys, one row for each range of them."""
+    part = ((k.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    starts, length = _runs(part)
+    for at in np.array_split(np.arange(len(starts)), max(1, len(k) >> 20)):
+        cuts = [slice(i, i + size) for i, size in zip(starts[at], length[at], strict=True)]
+        packed = {name: [x[s].tobytes() for s in cuts] for name, x in (("keys", k), ("owners", c), ("flags", f))}
+        yield _batch(_DEALT, len(cuts), part=part[starts[at]].astype(np.int32), **packed)
+
+
 def _dealt(rows: DataFrame, n: int, percent: int, ranges: int) -> DataFrame:
     """Rows of documents (``doc_id, n, cls, hist``), of packed keys (``keys, owners,
     flags``) and of groups of hot keys (``key, tile, owners, flags``), each with the
@@ -297,13 +358,7 @@ def _dealt(rows: DataFrame, n: int, percent: int, ranges: int) -> DataFrame:
                 keep[i : i + size] = False
                 keep[own[0]] = True
                 f[own[0]] |= _SENT
-            k, c, f = k[keep], c[keep], f[keep]
-            part = ((k.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-            starts, length = _runs(part)
-            for at in np.array_split(np.arange(len(starts)), max(1, len(k) >> 20)):
-                cuts = [slice(i, i + size) for i, size in zip(starts[at], length[at], strict=True)]
-                packed = {name: [x[s].tobytes() for s in cuts] for name, x in (("keys", k), ("owners", c), ("flags", f))}
-                yield _batch(_DEALT, len(cuts), part=part[starts[at]].astype(np.int32), **packed)
+            yield from _packed(k[keep], c[keep], f[keep], ranges)
 
         for b in small_batches(batches, 512):
             sets = hashed_all(b.column(1).to_pylist(), n)
@@ -322,8 +377,12 @@ def _dealt(rows: DataFrame, n: int, percent: int, ranges: int) -> DataFrame:
         if count:
             yield from deal()
 
-    kind = "part int, doc_id long, n long, cls long, hist binary, key long, tile long, keys binary, owners binary, flags binary"
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(run, _DEALT_ROW)
+
+
+def _keys_in(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    own = group.filter(group.column("keys").is_valid())
+    return tuple(_unpacked(own.column(x), t) for x, t in (("keys", "<i8"), ("owners", "<i8"), ("flags", "u1")))
 
 
 def _unpacked(column: pa.ChunkedArray, kind: str) -> np.ndarray:
@@ -391,10 +450,92 @@ def _met(dealt: DataFrame) -> DataFrame:
             hot = group.filter(group.column("key").is_valid()).select(["key", "tile", "owners", "flags"])
             for row in hot.to_pylist():
                 yield _fragment(row["key"], row["tile"], np.frombuffer(row["owners"], np.int64), np.frombuffer(row["flags"], np.uint8))
-            yield from _groups_of(_unpacked(group.column("keys"), "<i8"), *(_unpacked(group.filter(group.column("keys").is_valid()).column(x), t) for x, t in (("owners", "<i8"), ("flags", "u1"))))
+            yield from _groups_of(*_keys_in(group))
+
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(run, _MET_ROW)
+
+
+def _near_dealt(asked: DataFrame, n: int, percent: int, ranges: int) -> DataFrame:
+    """Packed keys by the allocation by frequency of ``cls, keys, text`` (the class's
+    frequent keys), and rows ``cls, n, doc_id``: what a class has left in a band (0, 1)."""
+
+    def run(batches):
+        held: list = []
+        count = docs = 0
+
+        def deal():
+            k, c, f = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((f & _SENT == 0, k))
+            k, c, f = k[order], c[order], f[order]
+            starts, length = _runs(k)
+            hot = np.repeat(f[starts] & _SENT > 0, length)  # frequent keys that are known to be so here stay here
+            yield from _marks(_DEALT, c[hot & (f & _SENT == 0)], f[hot & (f & _SENT == 0)], ranges)
+            keep = ~hot
+            keep[starts] = True
+            yield from _packed(k[keep], c[keep], f[keep], ranges)
+
+        for b in small_batches(batches, 256):
+            sets, cls = hashed_all(b.column("text").to_pylist(), n), np.asarray(b.column("cls"))
+            frequent = np.unique(np.asarray(b.column("keys").flatten()))
+            k, f, owner, room = near_keys(sets, frequent, percent)
+            for band in (0, 1):
+                yield _batch(_DEALT, len(cls), part=((docs + np.arange(len(cls))) % ranges).astype(np.int32), cls=cls, n=room[:, band], doc_id=np.full(len(cls), band))
+            docs += len(cls)
+            held.append((k, cls[owner], f))
+            count += len(k)
+            if count >= KEYS_AT_ONCE:
+                yield from deal()
+                held, count = [], 0
+        if count:
+            yield from deal()
+
+    return asked.select("cls", "keys", "text").mapInArrow(run, _DEALT_ROW)
+
 
-    kind = "doc_id long, n long, cls long, hist binary, key long, tile long, many boolean, s1 long, s2 long, n_whole int, members array<long>"
-    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(run, kind)
+def _marks(schema: pa.Schema, c: np.ndarray, f: np.ndarray, ranges: int = 1) -> Iterator[pa.RecordBatch]:
+    """One taken from what classes have left for each of their keys that are skipped."""
+    for band in (0, 1):
+        cls, times = np.unique(c[(f & _NEXT > 0) == band], return_counts=True)
+        for i in range(0, len(cls), 65536):
+            x = cls[i : i + 65536]
+            more = {"part": (np.arange(len(x)) % ranges).astype(np.int32)} if "part" in schema.names else {}
+            yield _batch(schema, len(x), cls=x, n=-times[i : i + 65536], doc_id=np.full(len(x), band), **more)
+
+
+def _near_met(dealt: DataFrame) -> DataFrame:
+    """``cls, n, doc_id`` as they come and for each key that is skipped, and groups of
+    the few classes that have a key whole (``n_whole``) with those that have it by deletion."""
+
+    def run(batches):
+        for group in sorted_groups(batches, ["part"]):
+            left = group.filter(group.column("n").is_valid()).select(["cls", "n", "doc_id"])
+            for b in left.to_batches(65536):
+                yield _batch(_MET, b.num_rows, **{name: b.column(name) for name in ("cls", "n", "doc_id")})
+            k, c, f = _keys_in(group)
+            order = np.lexsort((c, f & _DELETED, k))
+            k, c, f = k[order], c[order], f[order]
+            starts, length = _runs(k)
+            if not len(k):
+                continue
+            sent = np.bitwise_or.reduceat(f, starts) & _SENT > 0
+            whole = np.add.reduceat(((f & (_DELETED | _SENT)) == 0).astype(np.int64), starts)
+            skipped = np.repeat(sent | (whole > SMALL), length) & (f & _SENT == 0)
+            yield from _marks(_MET, c[skipped], f[skipped])
+            good = np.nonzero(~sent & (whole <= SMALL) & (whole > 0) & (whole < length))[0]
+            short = good[length[good] <= TILE]
+            for i in range(0, len(short), 8192):
+                g = short[i : i + 8192]
+                ends = np.cumsum(length[g])
+                at = np.arange(ends[-1]) + np.repeat(starts[g] - ends + length[g], length[g])
+                members = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(c[at]))
+                yield _batch(_MET, len(g), key=k[starts[g]], tile=np.full(len(g), -1), many=np.zeros(len(g), bool), n_whole=whole[g].astype(np.int32), members=members)
+            for g in good[length[good] > TILE]:
+                first = c[starts[g] : starts[g] + whole[g]]
+                for j in range(whole[g], length[g], TILE):
+                    rest = c[starts[g] + j : min(starts[g] + j + TILE, starts[g] + length[g])]
+                    yield _batch(_MET, 1, key=[k[starts[g]]], tile=[j], many=[False], n_whole=[whole[g]], members=[np.concatenate([first, rest])])
+
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(run, _MET_ROW)
 
 
 def may_link(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
@@ -451,15 +592,22 @@ def _union(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return both[np.concatenate([[True], both[1:] != both[:-1]])]
 
 
-def _unlinked(groups: DataFrame, labels: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """Rows ``key, tile, cls, deleted, label, n, hist`` of the keys whose classes are in
+def _members(groups: DataFrame) -> DataFrame:
+    each = groups.select("key", "tile", "many", "n_whole", F.posexplode("members").alias("pos", "cls"))
+    return each.select("key", "tile", "many", "cls", (F.col("pos") >= F.col("n_whole")).alias("deleted"))
+
+
+def _unlinked(members: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """Rows ``key, tile, cls, deleted, label`` of the keys whose classes are in
     different components; keys of at most ``least`` classes in all are done."""
-    each = groups.select("key", "tile", "many", "n_whole", F.posexplode("members").alias("pos", "cls")).select("key", "tile", "many", "cls", (F.col("pos") >= F.col("n_whole")).alias("deleted"))
-    named = each.join(labels, F.col("cls") == F.col("node"), "left").select("key", "tile", "many", "cls", "deleted", F.coalesce("component", "cls").alias("label"))
-    seen = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("k"), F.bool_or("many").alias("m"))
-    mixed = seen.where((F.col("l") < F.col("h")) & (F.col("m") | (F.col("k") > least))).select(F.col("key").alias("of"))
-    rest = named.drop("many").join(mixed, F.col("key") == F.col("of"), "left_semi")
-    return rest.join(classes.select(F.col("cls").alias("own"), "n", "hist"), F.col("cls") == F.col("own")).drop("own")
+    named = members.join(labels, F.col("cls") == F.col("node"), "left").select("key", "tile", "many", "cls", "deleted", F.coalesce("component", "cls").alias("label"))
+    seen = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("k"), F.bool_or("many").alias("m"), F.bool_and("deleted").alias("gone"))
+    mixed = seen.where((F.col("l") < F.col("h")) & (F.col("m") | (F.col("k") > least)) & ~F.col("gone")).select(F.col("key").alias("of"))
+    return named.drop("many").join(mixed, F.col("key") == F.col("of"), "left_semi")
+
+
+def _sized(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    return rows.join(classes.select(F.col("cls").alias("own"), "n", "hist"), F.col("cls") == F.col("own")).drop("own")
 
 
 def _grouped(rows: DataFrame, order: list[str], percent: int, pairs_of) -> DataFrame:
@@ -504,6 +652,12 @@ def _few_or_central(side, deleted, hist):
     yield np.full(len(hist), hub), np.arange(len(hist))
 
 
+def _across(side, deleted, hist):
+    """Those that have the key whole with those that have it by deletion."""
+    x, y = np.nonzero(~deleted)[0], np.nonzero(deleted)[0]
+    yield np.repeat(x, len(y)), np.tile(y, len(x))
+
+
 def _all_pairs(side, deleted, hist):
     """All pairs of a tile, or all between two tiles."""
     two = (side != side[0]).any()
@@ -514,10 +668,17 @@ def _all_pairs(side, deleted, hist):
 
 
 def _tiled(rest: DataFrame) -> DataFrame:
-    """Each row once for each tile that its own meets."""
-    tiles = rest.select(F.col("key").alias("of"), F.col("tile").alias("other")).distinct()
-    met = rest.join(tiles, F.col("key") == F.col("of"))
-    return met.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "cls", "deleted", "label", "n", "hist")
+    """Each row once for each tile that its own meets: ``i`` is one tile of a key, ``j``
+    the other. Tiles of the key's largest component (negative) meet those of all others,
+    which meet each other; what is in one component already is not compared."""
+    top = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("key").alias("of")).agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("k"))
+    met = rest.drop("tile").join(top, F.col("key") == F.col("of"))
+    main = F.col("label") == F.col("top")
+    mains, others = (F.greatest(F.lit(1), F.ceil(c / TILE)).cast("int") for c in (F.col("n_top"), F.col("k") - F.col("n_top")))
+    tile = F.when(main, -1 - F.pmod(F.hash("cls"), mains)).otherwise(F.pmod(F.hash("cls"), others))
+    there = F.when(main, F.sequence(F.lit(0), others - 1)).otherwise(F.sequence(-mains, others - 1)).cast("array<long>")
+    each = met.select("key", tile.cast("long").alias("tile"), F.explode(there).alias("other"), "cls", "deleted", "label")
+    return each.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "cls", "deleted", "label")
 
 
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -546,9 +707,21 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc
     near = materialize(_filtered(stars, classes, percent), f"{path}/near")
     texts = materialize(_texts(rows, classes, near, n), f"{path}/texts")
     labels = components(materialize(_verified(near, texts, n, percent), f"{path}/links"))
-    for step, (order, pairs_of, least) in enumerate(((["key", "tile"], _few_or_central, 2), (["key", "i", "j"], _all_pairs, SMALL))):
-        rest = _unlinked(groups, labels, classes, least)
-        new = _grouped(_tiled(materialize(rest, f"{path}/rest")) if step else rest, order, percent, pairs_of)
+    members, far = _members(groups), None
+    for step, pairs_of in enumerate((_few_or_central, _across, _all_pairs)):
+        if step == 0:
+            rest, order = _unlinked(members, labels, 2), ["key", "tile"]
+        elif step == 1:  # groups that are large and apart: allocation by frequency
+            large = materialize(_unlinked(members, labels, SMALL), f"{path}/large")
+            asked = large.groupBy("cls").agg(F.collect_set("key").alias("keys"))  # a class has as many as its text has segments
+            wanted = _texts(rows, classes, asked.select(F.col("cls").alias("a"), F.col("cls").alias("b")), n)
+            near_met = materialize(_near_met(_near_dealt(asked.join(wanted, "cls"), n, percent, ranges)), f"{path}/apart")
+            left = near_met.where("n is not null").groupBy("cls", "doc_id").agg(F.sum("n").alias("left"))
+            far = materialize(large.join(left.where("left < 0").select("cls").distinct(), "cls", "left_semi").select("key", "tile", F.lit(False).alias("many"), "cls", "deleted"), f"{path}/far")
+            rest = _unlinked(_members(near_met.where("key is not null")), labels, 1)
+        else:  # what that allocation has no bound for
+            rest, order = _tiled(materialize(_unlinked(far, labels, 1), f"{path}/rest")), ["key", "i", "j"]
+        new = _grouped(_sized(rest, classes), order, percent, pairs_of)
         new = materialize(new.join(near, ["a", "b"], "left_anti"), f"{path}/near{step}")
         if not new.limit(1).count():
             continue
