@@ -24,18 +24,18 @@ size and histogram filter are verified on their whole sets. Groups that are not
 in one component are compared pair by pair if they are small, else with their most
 central class.
 
-Keys whose group is large and still apart are frequent: a passage that many texts
-share. For their classes the allocation is chosen anew by these frequencies: frequent
-subsets (and empty ones) are skipped, and the segments of the first half get the
-subset and its one-deletion neighbourhood. Say a pair has z equal segments, all of
-them skipped, and e segments that differ in one element but are skipped for their
-frequency. Differences add up to less than the number of segments, so of u segments
-at most u - z have any, and if 2 z + e <= u one of them has exactly one and is not
-skipped: there the pair meets, a whole subset with a deletion. Each class bounds its
-own z and e; only classes whose bound fails are compared with each other under their
-frequent keys, in tiles, one component against the others. So neither a group of near
-copies nor a passage in all texts costs its square, and no link between components is
-lost.
+Groups that are larger and still apart are compared in tiles, their main component
+against the others, as long as that costs less than more keys would: up to LARGE
+classes. Keys with more are frequent: a passage that many texts share. For their
+classes the allocation is chosen anew: frequent subsets (and empty ones) are skipped,
+the other segments get the subset and its one-deletion neighbourhood. Say a pair has
+z of its m segments equal, all of them skipped, and e segments that differ in one
+element but are skipped for their frequency. Differences add up to less than m, so if
+2 z + e <= m one segment differs in exactly one element and is not skipped: there the
+pair meets, a whole subset with a deletion. Each class bounds its own z and e; only
+classes whose bound fails are compared with each other under their frequent keys, in
+tiles. So no link between components is lost, and neither a group of near copies nor
+a passage in all texts costs its square, unless the passage is most of each text.
 """
 
 from __future__ import annotations
@@ -59,9 +59,9 @@ N, PERCENT = 5, 80
 #: Elements of a histogram bin on average, for sets beyond FINE and for smaller ones at most.
 PER_BIN, FINE = 4, 512
 #: Keys that a task sorts at once; how many of them make a key hot; classes of a
-#: group in one row; groups compared pair by pair at once; ranges of the key space
-#: for each shuffle partition.
-KEYS_AT_ONCE, HOT, TILE, SMALL, RANGES = 1 << 21, 64, 1024, 64, 4
+#: group in one row; groups compared pair by pair at once; groups, and tiles of larger
+#: ones, that are compared in one task; ranges of the key space for each shuffle partition.
+KEYS_AT_ONCE, HOT, TILE, SMALL, LARGE, RANGES = 1 << 21, 64, 1024, 64, 4096, 4
 _SEED = 0x9E3779B97F4A7C15
 
 
@@ -250,22 +250,22 @@ def keys(h: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]
 
 
 def near_keys(sets: list[np.ndarray], frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The allocation by frequency: keys of the first half of the segments, their flags
-    (deletion, frequent, next band) and the places of their sets; and for each set and
-    band, how much of ``2 z + e <= u`` is left for segments that turn out to be skipped."""
+    """The allocation by frequency: keys of all segments, their flags (deletion, frequent,
+    next band) and the places of their sets; and for each set and band, how much of
+    ``2 z + e <= m`` is left for segments that turn out to be skipped."""
     out, room = [], []
     for step, s in enumerate(_segments(sets, percent)):
         plain = _mix(s.place ^ s.subset)
         hot = (s.size > 0) & np.isin(plain.view(np.int64), frequent)
-        used, band = s.nth < (s.m + 1) // 2, np.uint8(_NEXT * step)
-        whole = np.nonzero(used & (s.size > 0))[0]
+        band = np.uint8(_NEXT * step)
+        whole = np.nonzero(s.size > 0)[0]
         out.append((plain[whole], np.where(hot[whole], _SENT, 0).astype(np.uint8) | band, s.of[whole]))
-        some = np.nonzero(used & (s.size > 1))[0]
+        some = np.nonzero(s.size > 1)[0]
         which, k = _each(s.size[some])
         out.append((_mix(s.place[some][which] ^ s.without_one(some[which], k + 1)), np.full(len(which), _DELETED, np.uint8) | band, s.of[some][which]))
         count = lambda mask, of=s.of: np.bincount(of[mask], minlength=len(sets))
         skipped = count(hot | (s.size == 0))
-        room.append(count(used) - 3 * skipped - count(s.size == 1))
+        room.append(count(s.m > 0) - 2 * skipped - count(s.size == 1))
     k, f, owner = (np.concatenate(x) for x in zip(*out, strict=True))
     return k.view(np.int64), f, owner, np.stack(room, 1)
 
@@ -667,21 +667,22 @@ def _all_pairs(side, deleted, hist):
         yield block[x], y
 
 
-def _tiled(rest: DataFrame) -> DataFrame:
+def _tiled(rest: DataFrame, large: int) -> DataFrame:
     """Each row once for each tile that its own meets: ``i`` is one tile of a key, ``j``
     the other. Tiles of the key's largest component (negative) meet those of all others,
     which meet each other; what is in one component already is not compared."""
     top = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("key").alias("of")).agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("k"))
     met = rest.drop("tile").join(top, F.col("key") == F.col("of"))
     main = F.col("label") == F.col("top")
-    mains, others = (F.greatest(F.lit(1), F.ceil(c / TILE)).cast("int") for c in (F.col("n_top"), F.col("k") - F.col("n_top")))
-    tile = F.when(main, -1 - F.pmod(F.hash("cls"), mains)).otherwise(F.pmod(F.hash("cls"), others))
-    there = F.when(main, F.sequence(F.lit(0), others - 1)).otherwise(F.sequence(-mains, others - 1)).cast("array<long>")
+    mains, others = (F.greatest(F.lit(1), F.ceil(c / large)).cast("int") for c in (F.col("n_top"), F.col("k") - F.col("n_top")))
+    one = F.col("k") <= large
+    tile = F.when(one, 0).when(main, -1 - F.pmod(F.hash("cls"), mains)).otherwise(F.pmod(F.hash("cls"), others))
+    there = F.when(one, F.array(F.lit(0))).when(main, F.sequence(F.lit(0), others - 1)).otherwise(F.sequence(-mains, others - 1)).cast("array<long>")
     each = met.select("key", tile.cast("long").alias("tile"), F.explode(there).alias("other"), "cls", "deleted", "label")
     return each.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "cls", "deleted", "label")
 
 
-def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id.
 
     Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets
@@ -712,15 +713,19 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc
         if step == 0:
             rest, order = _unlinked(members, labels, 2), ["key", "tile"]
         elif step == 1:  # groups that are large and apart: allocation by frequency
-            large = materialize(_unlinked(members, labels, SMALL), f"{path}/large")
-            asked = large.groupBy("cls").agg(F.collect_set("key").alias("keys"))  # a class has as many as its text has segments
+            apart = materialize(_unlinked(members, labels, SMALL), f"{path}/large")
+            huge = apart.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > large).select("of")
+            middle = apart.join(huge, F.col("key") == F.col("of"), "left_anti")
+            often = apart.join(huge, F.col("key") == F.col("of"), "left_semi")
+            asked = often.groupBy("cls").agg(F.collect_set("key").alias("keys"))  # a class has as many as its text has segments
             wanted = _texts(rows, classes, asked.select(F.col("cls").alias("a"), F.col("cls").alias("b")), n)
-            near_met = materialize(_near_met(_near_dealt(asked.join(wanted, "cls"), n, percent, ranges)), f"{path}/apart")
+            near_met = materialize(_near_met(_near_dealt(asked.join(wanted, "cls"), n, percent, ranges)), f"{path}/allocated")
             left = near_met.where("n is not null").groupBy("cls", "doc_id").agg(F.sum("n").alias("left"))
-            far = materialize(large.join(left.where("left < 0").select("cls").distinct(), "cls", "left_semi").select("key", "tile", F.lit(False).alias("many"), "cls", "deleted"), f"{path}/far")
+            far = often.join(left.where("left < 0").select("cls").distinct(), "cls", "left_semi").select(*middle.columns).union(middle)
+            far = materialize(far.withColumn("many", F.lit(False)), f"{path}/far")
             rest = _unlinked(_members(near_met.where("key is not null")), labels, 1)
-        else:  # what that allocation has no bound for
-            rest, order = _tiled(materialize(_unlinked(far, labels, 1), f"{path}/rest")), ["key", "i", "j"]
+        else:  # what is not worth that allocation, or what it has no bound for
+            rest, order = _tiled(materialize(_unlinked(far, labels, 1), f"{path}/rest"), large), ["key", "i", "j"]
         new = _grouped(_sized(rest, classes), order, percent, pairs_of)
         new = materialize(new.join(near, ["a", "b"], "left_anti"), f"{path}/near{step}")
         if not new.limit(1).count():

@@ -67,6 +67,54 @@ def test_jaccard_chains_and_shared_passages(spark):
     assert {r.doc_id: r.component_id for r in jaccard.join(df).collect()} == component
 
 
+@pytest.mark.parametrize("large", [64, 4096])
+def test_jaccard_where_a_passage_is_in_all_texts(spark, large):
+    """Texts that share a passage, and near copies among them: by tiles, and by the
+    allocation for frequent keys with its rest in many tiles."""
+    rng = np.random.default_rng(3)
+    word = lambda k: [f"w{x}" for x in rng.integers(0, 10**9, k)]
+    shared, texts = word(40), []
+    for n in rng.integers(8, 120, 330).tolist():
+        own = shared + word(n)
+        texts.append(" ".join(own))
+        if rng.random() < 0.3:
+            for _ in range(int(rng.integers(1, 4))):
+                copy = list(own)
+                for at in rng.integers(0, len(copy), int(rng.integers(1, 1 + len(copy) // 30 + 1))):
+                    copy[at] = word(1)[0]
+                texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    _, component = brute(df.collect())
+    assert len(set(component.values())) < len(texts) - 40
+    assert {r.doc_id: r.component_id for r in jaccard.join(df, large=large).collect()} == component
+
+
+def test_frequent_keys_are_skipped_within_their_bound():
+    """Of linked sets that share skipped subsets only, those whose bound holds meet by a deletion."""
+    rng = np.random.default_rng(5)
+    tried = met = 0
+    for _ in range(600):
+        n = int(rng.integers(20, 300))
+        pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2)
+        a = np.unique(pool[:n])
+        k = max(2, len(a) // 5)
+        b = np.unique(np.concatenate([np.delete(a, rng.choice(len(a), k // 2, replace=False)), pool[n : n + k - k // 2]]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        (ka, da), (kb, db) = jaccard.keys(a), jaccard.keys(b)
+        same = np.intersect1d(ka[~da], kb[~db])
+        k, f, owner, room = jaccard.near_keys([a, b], same)
+        whole, gone = [set(k[(owner == i) & (f & 3 == 0)].tolist()) for i in (0, 1)], [set(k[(owner == i) & (f & 1 > 0)].tolist()) for i in (0, 1)]
+        found = bool(whole[0] & gone[1] or whole[1] & gone[0])
+        bands = [int(np.searchsorted(jaccard.bands(), len(x))) for x in (a, b)]
+        high = max(bands)  # the band in which the pair is due
+        if max(room[0][high - bands[0]], room[1][high - bands[1]]) >= 0:
+            tried += 1
+            met += found
+    assert tried > 50 and met == tried
+
+
 def test_keys_find_all_near_sets():
     rng = np.random.default_rng(2)
     missed = tried = 0
