@@ -63,5 +63,23 @@ def wire_hex() -> Column:
     return F.concat(facts_prefix(), text_field(11, F.col("log_prev_hash")))
 
 
+def verdict_prefix() -> Column:
+    """Hex of the facts of a review verdict but the hash before it, in the same form."""
+    parts = [
+        text_field(1, F.col("event_id")),
+        text_field(2, F.col("type")),
+        number_field(3, F.col("observation_seq")),
+        text_field(4, F.col("actor")),
+        text_field(5, utc_seconds(F.col("decided_at"))),
+        text_field(6, F.col("payload")),
+    ]
+    return F.concat(*parts)
+
+
+def chained(prefix: Column) -> Column:
+    """Hash of facts and of the hash before them."""
+    return F.sha2(F.unhex(F.concat(prefix, text_field(11, F.col("log_prev_hash")))), 256)
+
+
 def log_hash() -> Column:
     return F.sha2(F.unhex(wire_hex()), 256)

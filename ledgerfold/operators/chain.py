@@ -4,44 +4,47 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import checkpoint_body
-from ..functions.wire import GENESIS, facts_prefix, log_hash
+from ..functions.wire import GENESIS, chained, facts_prefix, log_hash, verdict_prefix
 
 ALGORITHM = "proto-linked-v1"
 
 
-def append(facts: DataFrame, chain_key: str = "source", heads: DataFrame | None = None) -> DataFrame:
+def append(facts: DataFrame, chain_key: str = "source", heads: DataFrame | None = None, prefix: Column | None = None) -> DataFrame:
     """Adds ``log_prev_hash`` and ``log_hash`` in ``seq`` order within each chain.
 
-    All bytes but the previous hash are made beforehand, in parallel; what is left
-    in order is one sha-256 a row over the narrow columns (seq, prefix). ``heads``:
-    chain_key, log_hash of what is stored. One constant chain key gives a single
-    chain for the whole log; large logs take a chain for each source or stream.
+    All bytes but the previous hash are made beforehand, in parallel. Rows are sorted
+    by chain and seq and pass in Arrow batches; what is left in order is one sha-256 a
+    row, and the last hash is all that is kept. ``heads``: chain_key, log_hash of what
+    is stored. One constant chain key gives a single chain for the whole log; large
+    logs take a chain for each source or stream. ``prefix``: hex of the facts, those of
+    observations unless others are given.
     """
-    rows = facts.withColumn("_prefix", facts_prefix())
-    narrow = rows.select(F.col(chain_key).alias("k"), "seq", "_prefix")
+    rows = facts.withColumn("_k", F.col(chain_key)).withColumn("_prefix", facts_prefix() if prefix is None else prefix)
     if heads is not None:
-        narrow = narrow.join(heads.select(F.col(chain_key).alias("k"), F.col("log_hash").alias("head")), "k", "left")
+        rows = rows.join(heads.select(F.col(chain_key).alias("_of"), F.col("log_hash").alias("_head")), F.col("_k") == F.col("_of"), "left").drop("_of")
     else:
-        narrow = narrow.withColumn("head", F.lit(None).cast("string"))
+        rows = rows.withColumn("_head", F.lit(None).cast("string"))
+    names = facts.columns
 
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        last = rows["head"].iloc[0] or GENESIS
-        before, own = [], []
-        for prefix in rows["_prefix"]:
-            before.append(last)
-            last = hashlib.sha256(bytes.fromhex(prefix) + b"\x5a\x40" + last.encode()).hexdigest()
-            own.append(last)
-        return pd.DataFrame({"k": rows["k"], "seq": rows["seq"], "log_prev_hash": before, "log_hash": own})
+    def link(batches):
+        chain, last, begun = None, GENESIS, False
+        for b in batches:
+            before, own = [], []
+            for key, prefix, head in zip(*(b.column(c).to_pylist() for c in ("_k", "_prefix", "_head")), strict=True):
+                if not begun or key != chain:
+                    chain, last, begun = key, head or GENESIS, True
+                before.append(last)
+                last = hashlib.sha256(bytes.fromhex(prefix) + b"\x5a\x40" + last.encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(before, pa.string()), pa.array(own, pa.string())], [*names, "log_prev_hash", "log_hash"])
 
-    kind = facts.schema[chain_key].dataType.simpleString()
-    linked = narrow.groupBy("k").applyInPandas(link, f"k {kind}, seq long, log_prev_hash string, log_hash string")
-    return rows.drop("_prefix").join(linked.select(F.col("seq").alias("_seq"), F.col("k").alias("_k"), "log_prev_hash", "log_hash"), (F.col("seq") == F.col("_seq")) & (F.col(chain_key) == F.col("_k"))).drop("_seq", "_k")
+    schema = facts.select("*", F.lit("").alias("log_prev_hash"), F.lit("").alias("log_hash")).schema
+    return rows.repartition("_k").sortWithinPartitions("_k", "seq").mapInArrow(link, schema)
 
 
 def recomputed(events: DataFrame) -> DataFrame:
@@ -127,6 +130,19 @@ def checkpoint_feed(checkpoints: DataFrame, limit: int = 0, origin: str = "ledge
     return checkpoints.orderBy(F.desc("through_seq")).limit(n).withColumn("body", checkpoint_body(F.lit(origin), F.col("tree_size"), F.col("root_hash")))
 
 
+def verdict_audit(verdicts: DataFrame) -> DataFrame:
+    """Violations of a log of review verdicts, a chain of its own by the same rules:
+    ``seq, problem`` (hash, gap, link, genesis)."""
+    bad = verdicts.where(F.col("log_hash") != chained(verdict_prefix())).select("seq", F.lit("hash").alias("problem"))
+    return bad.union(linkage(verdicts))
+
+
+def append_verdicts(verdicts: DataFrame, chain_key: str, heads: DataFrame | None = None) -> DataFrame:
+    """Verdicts (event_id, type, observation_seq, actor, decided_at, payload as canonical
+    JSON, seq) with their hashes."""
+    return append(verdicts, chain_key, heads, verdict_prefix())
+
+
 def masthead(watch: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """One row: watched resources and the newest checkpoint."""
     count = watch.agg(F.count_if("enabled").cast("long").alias("watched"))

@@ -28,6 +28,24 @@ def merged(stored: DataFrame | None, batch: DataFrame, key: str | list[str], ord
     return latest(batch if stored is None else stored.unionByName(batch), key, order)
 
 
+def replaced_children(stored: DataFrame | None, batch: DataFrame, parent: str, order: str = "seq") -> DataFrame:
+    """Stored children and a batch: each parent keeps the rows of its last event."""
+    return latest_children(batch if stored is None else stored.unionByName(batch), parent, order)
+
+
+def replaced_scope(stored: DataFrame, rows: DataFrame, scope: str) -> DataFrame:
+    """A table that several producers share: theirs stay, and the rows of the producers
+    in ``rows`` give way to these."""
+    return stored.join(rows.select(scope).distinct(), scope, "left_anti").select(*stored.columns).unionByName(rows)
+
+
+def merged_spans(stored: DataFrame, batch: DataFrame, key: list[str], attributes: list[str]) -> DataFrame:
+    """Spans (see ``spans``) of what is stored and of a batch as one: the first seq that
+    was seen stays, the last is the greater, attributes are those of the last."""
+    both = stored.unionByName(batch)
+    return both.groupBy(*key).agg(F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), *[F.max_by(a, "last_seq").alias(a) for a in attributes])
+
+
 def by_page(rows: DataFrame, page: str, key: str, order: str = "seq") -> DataFrame:
     """Roster fold: the latest rows of each page, then the last page that has a key."""
     return latest(latest_children(rows, page, order), key, order)

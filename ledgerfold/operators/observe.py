@@ -20,17 +20,26 @@ def usable(fetches: DataFrame, registry: DataFrame, key: str = "local_key") -> D
     return joined.withColumn("status", status).drop("listed")
 
 
-def transitions(observations: DataFrame, stream: str, order: list[str], content: str) -> DataFrame:
+def transitions(observations: DataFrame, stream: str, order: list[str], content: str, tail: DataFrame | None = None) -> DataFrame:
     """Observations that are events, with ``type``, ``prev_content_hash``, ``stream_seq``.
 
     ``content`` is null for an absence. One window over each stream: the raw value
     before and the last value that was not null decide, so no row needs the rows
     before it one by one. A stream's observations are sorted together in a task.
+    ``tail`` (see ``tail_state``) is what a stored log knows of the streams: they go
+    on from their last content and sequence, and content that came already gives nothing.
     """
     w = Window.partitionBy(stream).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     now, raw, last = F.col(content), F.lag(content).over(w), F.last(content, ignorenulls=True).over(before)
-    marked = observations.select("*", raw.alias("_raw"), last.alias("prev_content_hash"))
+    counted = F.lit(0).cast("long")
+    if tail is not None:
+        known = tail.select(F.col("stream_id").alias("_of"), F.when(F.col("last_type") != "vanished", F.col("last_content")).alias("_there"), F.col("last_content").alias("_last"), (F.col("next_seq") - 1).alias("_count"))
+        observations = observations.join(known, F.col(stream) == F.col("_of"), "left")
+        raw = F.when(F.row_number().over(w) == 1, F.col("_there")).otherwise(raw)
+        last = F.coalesce(last, F.col("_last"))
+        counted = F.coalesce("_count", counted)
+    marked = observations.select("*", raw.alias("_raw"), last.alias("prev_content_hash"), counted.alias("_counted"))
     kind = (
         F.when(now.isNull() & F.col("_raw").isNotNull(), "vanished")
         .when(now.isNull(), None)
@@ -38,8 +47,8 @@ def transitions(observations: DataFrame, stream: str, order: list[str], content:
         .when(F.col("_raw").isNull(), "restored")
         .when(now != F.col("prev_content_hash"), "changed")
     )
-    events = marked.withColumn("type", kind).where("type is not null").drop("_raw")
-    return events.withColumn("stream_seq", F.row_number().over(w).cast("long"))
+    events = marked.withColumn("type", kind).where("type is not null")
+    return events.withColumn("stream_seq", (F.row_number().over(w) + F.col("_counted")).cast("long")).drop("_raw", "_counted", "_of", "_there", "_last", "_count")
 
 
 def tail_state(events: DataFrame, content: str = "content_hash") -> DataFrame:
@@ -73,6 +82,14 @@ def new_only(rows: DataFrame, key: str, stored: DataFrame | None = None) -> Data
     return once if stored is None else once.join(stored.select(key), key, "left_anti")
 
 
+def watch_upsert(stored: DataFrame, refs: DataFrame) -> DataFrame:
+    """The watch list with the streams of ``refs`` (stream_id, url): new ones enabled,
+    stored ones with the new address and their own switch."""
+    new = refs.groupBy("stream_id").agg(F.max("url").alias("new_url"))
+    both = stored.select("stream_id", "url", "enabled").join(new, "stream_id", "full_outer")
+    return both.select("stream_id", F.coalesce("new_url", "url").alias("url"), F.coalesce("enabled", F.lit(True)).alias("enabled"))
+
+
 def revisions(events: DataFrame, content: str = "content_hash") -> DataFrame:
     """Pairs of consecutive contents: each event with the content before it."""
     before = Window.partitionBy("stream_id").orderBy("stream_seq").rowsBetween(Window.unboundedPreceding, -1)

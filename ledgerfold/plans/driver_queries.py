@@ -14,6 +14,7 @@ from ..functions import columns as C
 from ..functions import wire
 from ..operators import chain, diff, folds, observe, paging, people, rules, votes
 from ..sources import payloads
+from ..sources.store import shared_folder
 from ..streaming import folds as stream_folds
 from . import lookups, timeline
 
@@ -35,7 +36,7 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf: str) -> DataFrame:
-    found = observe.global_sequence(_events(spark, sf), _ORDER, F.date_trunc("day", "ts"))
+    found = observe.global_sequence(_events(spark, sf), _ORDER, F.date_trunc("hour", "ts"))
     return found.withColumn("observed_at", F.col("ts").cast("timestamp"))
 
 
@@ -175,14 +176,14 @@ def linkage_audit(spark, sf):
     return chain.linkage(log.where(F.col("seq") % 1009 != 0))
 
 
-def _timeline(spark: SparkSession, sf: str) -> DataFrame:
+def _timeline(spark: SparkSession, sf: str) -> timeline.Parts:
     log = _log(spark, sf)
     meetings = _t(spark, sf, "customer").where("c_custkey % 3 = 0").select(C.stream_id(F.lit("user"), F.col("c_custkey").cast("string")).alias("stream_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("issue"))
     laws = _t(spark, sf, "part").where("p_partkey % 3 <> 0").select(C.stream_id(F.lit("user"), F.col("p_partkey").cast("string")).alias("stream_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("law_num"), F.col("p_type").alias("category"))
     ops = F.filter(F.array(*[F.when(F.col("event_id") % m == 0, F.struct(F.lit(o).alias("op"))) for m, o in ((2, "added"), (3, "deleted"), (5, "modified"), (7, "moved"))]), lambda x: x.isNotNull())
     changed = log.where("type = 'changed'").select(F.col("seq").alias("observation_seq"), F.when(F.col("event_id") % 2 == 0, "substantive").otherwise("administrative").alias("classification"), F.lit("high").alias("class_confidence"), ops.alias("node_changes"))
     cast = log.where("event_id % 11 = 0").select(F.col("seq").alias("observation_seq"), F.explode(F.array(F.lit("b"), F.lit("a"))).alias("x")).select("observation_seq", F.concat_ws("#", F.col("observation_seq").cast("string"), "x").alias("vote_event_id"))
-    return timeline.enriched(log, meetings, laws, changed, cast)
+    return timeline.Parts(log, meetings, laws, changed, cast)
 
 
 _TL = """, tl as (select tr.seq, tr.stream_id, 'user' as source, tr.type, tr.ts as observed_at,
@@ -463,10 +464,7 @@ def stale_worklist(spark, sf):
 @query(_sql("select stream_id, event_id, type, content_hash, prev_content_hash from tr"))
 def stream_transitions(spark, sf):
     """The same events from the stateful stream, run over all that is there."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/ledgerfold-{uuid.uuid4().hex}"
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "stream")
     rows = _observations(spark, sf).select("stream_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "content_hash")
     rows.write.parquet(f"{path}/in")
     provider, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import or_empty, stream_source
+from ..functions.columns import law_link, or_empty, stream_source
 from ..operators import chain, paging, votes
 
 
@@ -15,13 +15,23 @@ def _id(value: str) -> str:
     return value
 
 
-def attributed(rows: DataFrame, log: DataFrame) -> DataFrame:
-    """Adds ``attribution`` (source, stream, seq, time, hashes) from the row's own event."""
-    facts = log.select(
-        F.col("seq").alias("_seq"),
-        F.struct(stream_source(F.col("stream_id")).alias("source"), "stream_id", "seq", F.col("observed_at").alias("fetched_at"), "content_hash", "log_hash").alias("attribution"),
-    )
-    return rows.join(facts, F.col("seq") == F.col("_seq"), "left").drop("_seq")
+def attributed(rows: DataFrame, log: DataFrame, watch: DataFrame | None = None, was_ocr: bool = False) -> DataFrame:
+    """Adds ``attribution`` (source, stream, seq, time, hashes, permalink, whether the
+    text was read from images) from the row's own event. The permalink is the row's own
+    ``url`` if it has one, else the watched address of its stream, else that of the law."""
+    stream = F.col("stream_id")
+    facts = log.select(F.col("seq").alias("_seq"), "stream_id", "seq", F.col("observed_at").alias("fetched_at"), "content_hash", "log_hash")
+    address = F.lit(None).cast("string")
+    if watch is not None:
+        facts = facts.join(watch.select(F.col("stream_id").alias("_of"), F.col("url").alias("_watched")), stream == F.col("_of"), "left")
+        address = F.col("_watched")
+    law = F.when(stream_source(stream) == "egov-law", law_link(F.substring_index(stream, ":", -1)))
+    known = facts.select("_seq", F.struct(stream_source(stream).alias("source"), "stream_id", "seq", "fetched_at", "content_hash", "log_hash", or_empty(F.coalesce(address, law)).alias("permalink"), F.lit(was_ocr).alias("was_ocr")).alias("attribution"))
+    out = rows.join(known, F.col("seq") == F.col("_seq"), "left").drop("_seq")
+    if "url" in rows.columns:
+        own = F.when(or_empty(F.col("url")) != "", F.col("url")).otherwise(F.col("attribution.permalink"))
+        out = out.withColumn("attribution", F.col("attribution").withField("permalink", own))
+    return out
 
 
 def newest_session(rows: DataFrame, session: int) -> DataFrame:
@@ -41,11 +51,16 @@ def list_meetings(meetings: DataFrame, session: int = 0, house: str = "", n: int
     return paging.offset_page(paging.optional(meetings, session=session, house=house), [F.col("date").desc_nulls_last(), F.col("issue_id")], token, n)
 
 
+def vote_event_rows(events: DataFrame, cast: DataFrame, meetings: DataFrame, seats: DataFrame) -> DataFrame:
+    """Events with their meetings, a row for each vote with the voter's district."""
+    own = events.join(meetings.select("issue_id", "name", "date"), "issue_id")
+    bound = cast.drop("issue_id").join(seats.select("person_id", "district_code", "district_name", "is_pr"), "person_id", "left")
+    return own.join(bound, "vote_event_id", "left")
+
+
 def get_vote_event(events: DataFrame, cast: DataFrame, meetings: DataFrame, seats: DataFrame, vote_event_id: str) -> DataFrame:
-    """The event with its meeting, a row for each vote with the voter's district."""
-    own = events.where(F.col("vote_event_id") == _id(vote_event_id)).join(meetings.select("issue_id", "name", "date"), "issue_id")
-    bound = cast.where(F.col("vote_event_id") == vote_event_id).drop("issue_id").join(seats.select("person_id", "district_code", "district_name", "is_pr"), "person_id", "left")
-    return own.join(bound, "vote_event_id", "left").orderBy("option", "voter_name")
+    own = F.col("vote_event_id") == _id(vote_event_id)
+    return vote_event_rows(events.where(own), cast.where(own), meetings, seats).orderBy("option", "voter_name")
 
 
 def list_vote_events(events: DataFrame, cast: DataFrame, meetings: DataFrame, session: int = 0, house: str = "", mappable_only: bool = False, n: int = 0, token: str = "") -> DataFrame:
@@ -97,14 +112,12 @@ def get_vote_map(cast: DataFrame, seats: DataFrame, vote_event_id: str, house: s
 
 
 def get_stream_verification(events: DataFrame, checkpoints: DataFrame, stream: str) -> DataFrame:
-    """Events of a stream in order, each with its own checks."""
+    """Events of a stream in order, each with its own checks, the checkpoint that covers
+    the stream's last one, and the verdict: whether every check holds."""
     own = chain.content_chain(chain.recomputed(events.where(F.col("stream_id") == stream)))
-    return own.select("seq", "stream_seq", "type", "log_hash", "hash_ok", "content_ok").orderBy("stream_seq")
-
-
-def first_votes(cast: DataFrame) -> DataFrame:
-    """The first vote event of each observation."""
-    return cast.withColumn("_i", F.row_number().over(Window.partitionBy("observation_seq").orderBy("vote_event_id"))).where("_i = 1").drop("_i")
+    whole = chain.covering(own.groupBy("stream_id").agg(F.max("seq").alias("max_seq"), F.bool_and(F.col("hash_ok") & F.coalesce("content_ok", F.lit(True))).alias("all_ok")), checkpoints)
+    marked = own.join(F.broadcast(whole.select(F.col("stream_id").alias("_of"), "covered_by", "all_ok")), F.col("stream_id") == F.col("_of"))  # one row
+    return marked.select("seq", "stream_seq", "type", "log_hash", "hash_ok", "content_ok", "covered_by", "all_ok").orderBy("stream_seq")
 
 
 def display_title(title: str, stream: str):

@@ -12,10 +12,10 @@ from ..sources import lawtree, payloads
 
 def log_scan(events: DataFrame, snapshots: DataFrame, after: int = 0, prefix: str = "") -> DataFrame:
     """Events with content after an offset, of one source, with their bytes. Events are
-    narrow; bytes are joined last, by content hash."""
+    narrow; bytes are joined last, by content hash, and unpacked."""
     own = events.where((F.col("seq") > after) & F.col("content_hash").isNotNull())
     own = own.where(F.col("stream_id").startswith(prefix)) if prefix else own
-    return own.join(snapshots.select("content_hash", "payload"), "content_hash")
+    return own.join(snapshots.select("content_hash", "payload"), "content_hash").withColumn("payload", payloads.plain_bytes(F.col("payload")))
 
 
 def minutes(events: DataFrame, snapshots: DataFrame) -> dict[str, DataFrame]:

@@ -1,7 +1,15 @@
-"""The timeline: the log with what read models know of each event, filtered and paged."""
+"""The timeline: the log with what read models know of each event, filtered and paged.
+
+Filters on the log's own columns, and the cursor, apply to the narrow log; a class
+filter is a semi-join with the changes; only a keyword needs titles before the page
+is cut. A page has 201 rows at most, so its rows are looked up in the read models by
+their keys, which reach the scans, and a count joins nothing that no filter reads.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +20,17 @@ from ..operators.diff import op_count
 SEARCHED = ["title", "subtitle", "category", "stream_id"]
 
 
+@dataclass(frozen=True)
+class Parts:
+    """The log and the read models that its events are shown with (columns: see ``enriched``)."""
+
+    log: DataFrame
+    meetings: DataFrame
+    laws: DataFrame
+    changes: DataFrame
+    votes: DataFrame
+
+
 def enriched(log: DataFrame, meetings: DataFrame, laws: DataFrame, changes: DataFrame, votes: DataFrame) -> DataFrame:
     """The log joined to meetings and laws by stream, to changes and first votes by seq.
 
@@ -20,17 +39,13 @@ def enriched(log: DataFrame, meetings: DataFrame, laws: DataFrame, changes: Data
     node_changes; ``votes``: observation_seq, vote_event_id. Left joins; only the
     ``op`` of each node change is read.
     """
+    return _shown(_titled(log, meetings, laws), changes, votes)
+
+
+def _titled(log: DataFrame, meetings: DataFrame, laws: DataFrame) -> DataFrame:
     m = meetings.select(F.col("stream_id").alias("m_stream"), F.col("name").alias("m_name"), F.col("issue").alias("m_issue"))
     w = laws.select(F.col("stream_id").alias("w_stream"), F.col("title").alias("w_title"), F.col("law_num").alias("w_num"), "category")
-    counts = [op_count(F.col("node_changes"), op).alias(op) for op in ("added", "deleted", "modified")]
-    c = changes.select(F.col("observation_seq").alias("c_seq"), "classification", "class_confidence", *counts)
-    v = votes.groupBy(F.col("observation_seq").alias("v_seq")).agg(F.min("vote_event_id").alias("vote_event_id"))
-    rows = (
-        log.join(m, F.col("stream_id") == F.col("m_stream"), "left")
-        .join(w, F.col("stream_id") == F.col("w_stream"), "left")
-        .join(c, F.col("seq") == F.col("c_seq"), "left")
-        .join(v, F.col("seq") == F.col("v_seq"), "left")
-    )
+    rows = log.join(m, F.col("stream_id") == F.col("m_stream"), "left").join(w, F.col("stream_id") == F.col("w_stream"), "left")
     meeting, law = F.col("m_stream").isNotNull(), F.col("w_stream").isNotNull()
     return rows.select(
         "seq",
@@ -42,6 +57,16 @@ def enriched(log: DataFrame, meetings: DataFrame, laws: DataFrame, changes: Data
         F.when(meeting, or_empty(F.col("m_name"))).when(law, or_empty(F.col("w_title"))).otherwise("").alias("title"),
         F.when(meeting, or_empty(F.col("m_issue"))).when(law, or_empty(F.col("w_num"))).otherwise("").alias("subtitle"),
         or_empty(F.col("category")).alias("category"),
+    )
+
+
+def _shown(titled: DataFrame, changes: DataFrame, votes: DataFrame) -> DataFrame:
+    counts = [op_count(F.col("node_changes"), op).alias(op) for op in ("added", "deleted", "modified")]
+    c = changes.select(F.col("observation_seq").alias("c_seq"), "classification", "class_confidence", *counts)
+    v = votes.groupBy(F.col("observation_seq").alias("v_seq")).agg(F.min("vote_event_id").alias("vote_event_id"))
+    rows = titled.join(c, F.col("seq") == F.col("c_seq"), "left").join(v, F.col("seq") == F.col("v_seq"), "left")
+    return rows.select(
+        *titled.columns,
         or_empty(F.col("classification")).alias("classification"),
         or_empty(F.col("class_confidence")).alias("class_confidence"),
         *[F.coalesce(op, F.lit(0)).cast("long").alias(op) for op in ("added", "deleted", "modified")],
@@ -49,16 +74,29 @@ def enriched(log: DataFrame, meetings: DataFrame, laws: DataFrame, changes: Data
     )
 
 
-def filtered(rows: DataFrame, source: str = "", event_type: str = "", classification: str = "", since: str = "", until: str = "", word: str = "", sources: list[str] | None = None) -> DataFrame:
-    rows = paging.optional(rows, source=source, type=event_type, classification=classification)
-    rows = paging.optional(rows, source=sources or [])
-    return paging.keyword(paging.time_range(rows, "observed_at", since, until), SEARCHED, word)
+def filtered(parts: Parts, source: str = "", event_type: str = "", classification: str = "", since: str = "", until: str = "", word: str = "", sources: list[str] | None = None) -> DataFrame:
+    """Events that pass, as rows of the log; with titles if a keyword asks for them."""
+    rows = paging.optional(parts.log.withColumn("source", stream_source(F.col("stream_id"))), source=source, type=event_type)
+    rows = paging.time_range(paging.optional(rows, source=sources or []), "observed_at", since, until)
+    if classification:
+        own = parts.changes.where(F.col("classification") == classification).select(F.col("observation_seq").alias("seq"))
+        rows = rows.join(own, "seq", "left_semi")
+    if word.strip():
+        rows = paging.keyword(_titled(rows, parts.meetings, parts.laws), SEARCHED, word)
+    return rows.select("seq", "stream_id", "type", "observed_at", "content_hash")
 
 
-def page(rows: DataFrame, token: str = "", n: int = 0, **filters) -> DataFrame:
-    """A page of the timeline, newest first. ``rows`` come from ``enriched``."""
-    return paging.keyset_page(filtered(rows, **filters), token, n)
+def page(parts: Parts, token: str = "", n: int = 0, **filters) -> DataFrame:
+    """A page of the timeline, newest first. Its at most 201 rows come to the driver,
+    and the read models are asked for their streams and seqs only."""
+    cut = paging.keyset_page(filtered(parts, **filters), token, n)
+    found = cut.collect()
+    log = parts.log.sparkSession.createDataFrame(found, cut.schema)
+    streams, seqs = sorted({r.stream_id for r in found}), [r.seq for r in found]
+    of_stream, of_seq = F.col("stream_id").isin(streams), F.col("observation_seq").isin(seqs)
+    shown = enriched(log.drop("extra"), parts.meetings.where(of_stream), parts.laws.where(of_stream), parts.changes.where(of_seq), parts.votes.where(of_seq))
+    return shown.join(F.broadcast(log.select("seq", "extra")), "seq").orderBy(F.desc("seq"))  # a page
 
 
-def count(rows: DataFrame, cursor: int = 0, n: int = 0, **filters) -> DataFrame:
-    return paging.bounded_count(filtered(rows, **filters), cursor, n)
+def count(parts: Parts, cursor: int = 0, n: int = 0, **filters) -> DataFrame:
+    return paging.bounded_count(filtered(parts, **filters), cursor, n)

@@ -7,6 +7,7 @@ payload at a time, spread as the snapshots are; payload bytes never shuffle.
 from __future__ import annotations
 
 import gzip
+import zlib
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -23,16 +24,34 @@ LAWS = f"struct<total_count:int,count:int,next_offset:int,laws:array<{_LAW}>>"
 _UPDATED = "array<struct<LawId:string,EnforcementFlg:string>>"
 
 
-def plain_bytes(payload: Column) -> Column:
-    """Gzip payloads unpacked, told by their first two bytes; others as they are."""
+def unpacked(blob: bytes | None) -> bytes | None:
+    """A gzip payload unpacked, told by its first two bytes; others as they are. A
+    damaged one has no content, so it costs no other row anything."""
+    if blob is None or bytes(blob[:2]) != b"\x1f\x8b":
+        return None if blob is None else bytes(blob)
+    try:
+        return gzip.decompress(blob)
+    except (OSError, EOFError, zlib.error):
+        return None
+
 
+def plain_bytes(payload: Column) -> Column:
     @F.pandas_udf("binary")
     def unpack(blobs: pd.Series) -> pd.Series:
-        return blobs.map(lambda b: b if b is None or bytes(b[:2]) != b"\x1f\x8b" else gzip.decompress(b))
+        return blobs.map(unpacked)
 
     return unpack(payload)
 
 
+def decoded(raw: bytes | None, encoding: str = "utf-8") -> str:
+    """Text of stored bytes, packed or not: UTF-8 where they are that, else ``encoding``."""
+    plain = unpacked(raw) or b""
+    try:
+        return plain.decode("utf-8")
+    except UnicodeDecodeError:
+        return plain.decode(encoding, "replace")
+
+
 def canonical_xml(payload: Column) -> Column:
     """The same document always as the same bytes; null if it does not parse."""
 
@@ -92,8 +111,11 @@ def _refs(rows: DataFrame, source: str, limit: int) -> DataFrame:
     return once.orderBy("local_key").limit(limit) if limit else once
 
 
-def updated_laws(files: DataFrame) -> DataFrame:
-    """Law ids of update lists (``day``, ``payload``) in any of their shapes, only those in force."""
+def updated_laws(files: DataFrame, since: str = "", until: str = "") -> DataFrame:
+    """Law ids of update lists (``day``, ``payload``) in any of their shapes, only those
+    in force; of the lists of the days from ``since`` to ``until``, both included."""
+    for day, inside in ((since, F.col("day").__ge__ if since else None), (until, F.col("day").__le__ if until else None)):
+        files = files.where(inside(F.lit(day).cast("date"))) if day else files
     text = F.col("payload").cast("string")
     shapes = [F.from_json(text, _UPDATED)] + [F.from_json(text, f"struct<{path}>") for path in (f"result:struct<LawList:{_UPDATED}>", f"ApplData:struct<LawList:{_UPDATED}>", f"laws:{_UPDATED}")]
     found = [shapes[0], shapes[1].result.LawList, shapes[2].ApplData.LawList, shapes[3].laws]
@@ -161,7 +183,7 @@ def page_parts(pages: DataFrame, key: str = "stream_id", encoding: str = "utf-8"
             out = []
             for k, seq, payload in zip(df[key], df["seq"], df["payload"], strict=True):
                 parser = _Cells()
-                parser.feed(bytes(payload or b"").decode(encoding, "replace"))
+                parser.feed(decoded(payload, encoding))
                 parser._end_row()
                 for place, (kind, cells) in enumerate(parser.out):
                     split = [c.partition("\t") if kind == "row" else ("", "", c) for c in cells]
@@ -181,7 +203,8 @@ def _seats(rows: DataFrame, house: str, name: Column, yomi: Column, group: Colum
 
 
 def lower_house_roster(pages: DataFrame, encoding: str = "shift_jis") -> DataFrame:
-    """Seats of member pages: rows of five cells (name, reading, group, district, terms)."""
+    """Seats of member pages: rows of five cells (name, reading, group, district, terms).
+    Stored pages are UTF-8; ``encoding`` is that of pages as the house serves them."""
     rows = page_parts(pages, encoding=encoding).where("kind = 'row' and size(cells) >= 5 and not exists(heads, x -> x)")
     cell = [F.get("cells", F.lit(i)) for i in range(4)]
     return _seats(rows, "representatives", cell[0], cell[1], cell[2], C.lower_house_district(cell[3]))
