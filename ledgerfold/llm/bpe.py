@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Units that a worker's cache holds at most, and their characters; documents that are looked at together.
-CACHE_UNITS, KEPT_CHARS = 1_000_000, 256
+#: Memory that a worker's cache takes at most, about; what a unit takes besides its characters;
+#: characters of the longest unit that is kept; documents that are looked at together.
+CACHE_BYTES, UNIT_BYTES, KEPT_CHARS = 192 << 20, 160, 256
 DOCS_AT_ONCE = 128
 #: Splits text as GPT-2 does; a fixed value that the ranks file goes with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -101,6 +102,7 @@ class _Units(dict):
         got = self.encoder.encode_unit(self.lead, unit)
         if len(unit) <= KEPT_CHARS:
             self[unit] = got
+            self.encoder.cached += UNIT_BYTES + 2 * len(unit) + len(got)
         return got
 
 
@@ -111,7 +113,7 @@ class Encoder:
     the library's default) or a ``.tiktoken`` ranks file (no special strings).
     """
 
-    def __init__(self, path: str, cache_units: int = CACHE_UNITS):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -129,7 +131,7 @@ class Encoder:
             )
             self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.model = self.tokenizer.model
-        self.cache_units = cache_units
+        self.cache_bytes, self.cached = cache_bytes, 0
         self.after_space, self.first = _Units(self, " "), _Units(self, "")
         alphabet = byte_alphabet()
         self.spell = str.maketrans({chr(b): c for b, c in alphabet.items()})
@@ -162,9 +164,10 @@ class Encoder:
         return out
 
     def make_room(self) -> None:
-        if len(self.after_space) + len(self.first) > self.cache_units:
+        if self.cached > self.cache_bytes:
             self.after_space.clear()
             self.first.clear()
+            self.cached = 0
 
     def segments(self, text: str) -> list[tuple[list[str], int | None]]:
         """Units of each stretch between special strings, with the id that ends it.

@@ -37,14 +37,14 @@ def _expand(x: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
 
 
-def chunked(docs: DataFrame, keys_of: Callable[[], Callable[[str], tuple[list, np.ndarray, int]]], key_type: str) -> DataFrame:
+def chunked(docs: DataFrame, keys_of: Callable[[], Callable[[str], tuple[list, np.ndarray, int]]]) -> DataFrame:
     """Chunks of ``docs`` (doc_id long, text string), written to shared storage.
 
     ``keys_of()`` is called once a task and gives a function from a text to its
     keys, how often it holds each, and one number of the document's own.
     """
     schema = pa.schema(
-        [("chunk", pa.int64()), ("part", pa.int32()), ("start", pa.int32()), ("keys", pa.list_(pa.int64())), ("packed", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("held", pa.list_(pa.int64())), ("which", pa.binary()), ("times", pa.binary())]
+        [("chunk", pa.int64()), ("part", pa.int32()), ("start", pa.int32()), ("packed", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("held", pa.list_(pa.int64())), ("which", pa.binary()), ("times", pa.binary())]
     )
 
     lists_of_all = LISTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -63,8 +63,7 @@ def chunked(docs: DataFrame, keys_of: Callable[[], Callable[[str], tuple[list, n
             nonlocal number, size, index, held, which, times
             # the dictionary anew: by list, sorted inside, so that a list is a range of places
             keys = list(index)
-            deal = (zlib.crc32(k.encode()) for k in keys) if key_type == "string" else keys
-            part = np.fromiter(deal, np.int64, len(keys)) % lists_of_all
+            part = np.fromiter((zlib.crc32(k.encode()) for k in keys), np.int64, len(keys)) % lists_of_all
             order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
             order = order[np.argsort(part[order], kind="stable")]
             place = np.empty(len(keys), np.int64)
@@ -81,8 +80,7 @@ def chunked(docs: DataFrame, keys_of: Callable[[], Callable[[str], tuple[list, n
             for own in np.split(order, np.nonzero(np.diff(part[order]))[0] + 1):
                 if len(own):
                     mine = [keys[i] for i in own]
-                    row = {"chunk": number, "part": int(part[own[0]]), "start": at}
-                    row |= {"packed": zstandard.compress(_END.join(k.encode() for k in mine), 3)} if key_type == "string" else {"keys": mine}
+                    row = {"chunk": number, "part": int(part[own[0]]), "start": at, "packed": zstandard.compress(_END.join(k.encode() for k in mine), 3)}
                     yield pa.RecordBatch.from_pylist([row], schema=schema)
                     at += len(own)
             number, size, index, held, which, times = number + 1, 0, {}, [], [], []
@@ -101,32 +99,92 @@ def chunked(docs: DataFrame, keys_of: Callable[[], Callable[[str], tuple[list, n
         if held:
             yield from close()
 
-    row = "chunk long, part int, start int, keys array<long>, packed binary, doc_ids array<long>, n_bytes array<long>, own array<long>, held array<long>, which binary, times binary"
+    row = "chunk long, part int, start int, packed binary, doc_ids array<long>, n_bytes array<long>, own array<long>, held array<long>, which binary, times binary"
     return materialize(docs.select("doc_id", "text").mapInArrow(run, row))
 
 
-def entries(chunks: DataFrame) -> DataFrame:
-    """``chunk, place, key``: the dictionary entries of long keys as rows."""
-    rows = chunks.where("keys is not null").select("chunk", "start", F.posexplode("keys").alias("pos", "key"))
-    return rows.select("chunk", (F.col("start") + F.col("pos")).alias("place"), "key")
+def numbered(docs: DataFrame, grams_of: Callable[[], Callable[[list], tuple]]) -> DataFrame:
+    """Chunks of ``docs`` (doc_id long, text string) whose keys are triples of numbers.
+
+    ``grams_of()`` is called once a task and gives a function from texts to the rows
+    of ``a, b, c`` that they ask for, a 64-bit key of each row, the text of each row, and
+    one number of each text's own.
+    """
+    schema = pa.schema(
+        [("chunk", pa.int64()), ("start", pa.int32()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("held", pa.list_(pa.int64())), ("which", pa.binary()), ("times", pa.binary())]
+    )
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        find = grams_of()
+        number = TaskContext.get().partitionId() << 32
+        parts: list[tuple] = []
+        size = 0
+
+        def close():
+            nonlocal number, parts, size
+            ids, owns, helds, keys, grams, often = (np.concatenate(x) for x in zip(*parts, strict=True))
+            one, first, place = np.unique(keys, return_index=True, return_inverse=True)
+            ends = np.cumsum(helds)
+            steps = np.diff(place, prepend=0)  # the keys of a document are in order, so places only grow
+            firsts = (ends - helds)[helds > 0]
+            steps[firsts] = place[firsts]
+            lists = {"doc_ids": [ids], "n_bytes": [np.zeros(len(ids), np.int64)], "own": [owns], "held": [helds]}
+            row = {"chunk": [number], "which": [_squeeze(steps)], "times": [_squeeze(often)], **lists}
+            yield pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) if f.name in row else pa.nulls(1, f.type) for f in schema], schema=schema)
+            for i in range(0, len(one), 65536):
+                part = grams[first[i : i + 65536]]
+                row = {"chunk": [number], "start": [i], **{name: [part[:, j]] for j, name in enumerate("abc")}}
+                yield pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) if f.name in row else pa.nulls(1, f.type) for f in schema], schema=schema)
+            number, parts, size = number + 1, [], 0
+
+        for b in small_batches(batches):
+            texts = b.column(1).to_pylist()
+            grams, keys, whose, own = find(texts)
+            order = np.lexsort((keys, whose))
+            keys, whose, grams = keys[order], whose[order], grams[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (whose[1:] != whose[:-1])
+            often = np.diff(np.append(np.nonzero(new)[0], len(keys)))
+            ids = np.array(b.column(0).to_pylist(), object)
+            parts.append((ids, np.asarray(own), np.bincount(whose[new], minlength=len(texts)), keys[new], grams[new], often))
+            size += int(new.sum())
+            if size >= 8 * CHUNK_KEYS:
+                yield from close()
+        if parts:
+            yield from close()
+
+    row = "chunk long, start int, a array<long>, b array<long>, c array<long>, doc_ids array<long>, n_bytes array<long>, own array<long>, held array<long>, which binary, times binary"
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, row))
+
+
+def gram_entries(chunks: DataFrame) -> DataFrame:
+    """``chunk, place, a, b, c``: the dictionary entries of triples as rows."""
+    rows = chunks.where("a is not null").select("chunk", "start", F.posexplode(F.arrays_zip("a", "b", "c")).alias("pos", "g"))
+    return rows.select("chunk", (F.col("start") + F.col("pos")).alias("place"), "g.a", "g.b", "g.c")
 
 
 def valued(chunks: DataFrame, value_of: Callable[[], Callable[[list[str]], list[float]]]) -> DataFrame:
     """``chunk, start, values``: a value for each text key of a dictionary, made once
-    for each distinct one. All lists of a part come to one task, which keeps what it has seen."""
+    for each distinct one. All lists of a part come to one task one after the other, and
+    what has been seen is kept for that part only."""
 
     def run(batches):
         made = value_of()
         seen: dict = {}
+        last = None
         for b in batches:
             for i in range(b.num_rows):
+                if b.column(1)[i].as_py() != last:
+                    last, seen = b.column(1)[i].as_py(), {}
                 keys = _keys(b.column(3)[i].as_py())
                 new = [k for k in keys if k not in seen]
                 seen.update(zip(new, made(new), strict=True))
                 values = pa.array([list(map(seen.__getitem__, keys))], pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(2).slice(i, 1), values], ["chunk", "start", "values"])
 
-    lists = chunks.where("packed is not null").select("chunk", "part", "start", "packed").repartition("part")
+    lists = chunks.where("packed is not null").select("chunk", "part", "start", "packed").repartition("part").sortWithinPartitions("part")
     return lists.mapInArrow(run, "chunk long, start int, values array<float>")
 
 

@@ -41,7 +41,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
         return find
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    held = chunks.chunked(rows, keys_of, "string")
+    held = chunks.chunked(rows, keys_of)
 
     def value_of():
         enc = encoder(tokenizer)

@@ -1,9 +1,12 @@
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import public_tokenizers as P
 from hypothesis import given, settings
@@ -74,7 +77,7 @@ def test_pii_query(docs, empty):
 def test_encoder_equals_libraries(docs, library):
     hf, tik = library
     texts = [t or "" for (t,) in docs.select("text").collect()]
-    own, ranks = bpe.Encoder(JSON, cache_units=50), bpe.Encoder(RANKS)
+    own, ranks = bpe.Encoder(JSON, cache_bytes=9000), bpe.Encoder(RANKS)
     table = bpe.byte_table(RANKS)
     for t, a, b in zip(texts, own.encode(texts), ranks.encode(texts), strict=True):
         assert list(memoryview(a).cast("I")) == hf.encode(t, add_special_tokens=False).ids
@@ -104,7 +107,7 @@ def test_encoder_on_many_lines_without_spaces(library, end):
 
 
 def test_encoder_of_pieces_clears_its_cache(library):
-    own = bpe.Encoder(JSON, cache_units=50)
+    own = bpe.Encoder(JSON, cache_bytes=9000)
     pieces = [f"{i}\n{i + 1}\nx{i}" for i in range(500)]
     got = own.encode_pieces(pieces)
     assert [list(memoryview(x).cast("I")) for x in got] == [library[0].encode(p, add_special_tokens=False).ids for p in pieces]
@@ -221,15 +224,75 @@ def test_quality_held_out(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
-def test_quality_probabilities_sum_to_one(spark):
-    sample = spark.createDataFrame([("the cat sat. The dog ran!",), ("the dog sat, the cat ran.",), (None,)], "text string")
-    names = quality.fit_classes(spark.createDataFrame([("the cat. The dog! ran, ran. Ran sat the the the cat cat cat",)] * 3, "text string"))
-    model = quality.fit(sample, names)
-    n = model["size"]
-    for a, b in ((0, 0), (5, 6), (4, 4)):
-        keys = spark.range(n).select((F.lit((a * n + b) * n) + F.col("id")).alias("key"))
-        total = quality.surprise(keys, model).agg(F.sum(F.pow(F.lit(2.0), -F.col("value")))).first()[0]
-        assert total == pytest.approx(1.0, abs=1e-6)
+def plain_model(texts, least=2):
+    """Interpolated modified Kneser-Ney, counted one by one: a function from a text to its bits."""
+    count = Counter(w for t in texts for w in (t or "").split())
+    known = {w for w, n in count.items() if n >= least}
+    makes = [f"<{i}>" for i in range(5)]
+    rare = {f"<{i}>": max(1, sum(quality.make(w) == i for w in count if w not in known)) for i in range(5)}
+
+    def walk(text):
+        own, out = (text or "").split(), ["<s>", "<s>"]
+        for i, w in enumerate(own):
+            runs = any(i > k and own[i - k] == w and own[i - 1 - k] == own[i - 1] for k in (1, 2, 3))
+            out.append("<run>" if runs else "<same>" if i and own[i - 1] == w else w if w in known else f"<{quality.make(w)}>")
+        return [tuple(out[i - 2 : i + 1]) for i in range(2, len(out))]
+
+    tri = Counter(g for t in texts for g in walk(t) if g[-1] != "<run>")
+    bi = Counter(g[1:] for g in tri)
+    uni = Counter(g[1:] for g in bi)
+
+    def discount(counts):
+        n = [max(1, sum(v == i for v in counts.values())) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [max(0.05, min(i - 0.05, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)]
+
+    d = {3: discount(tri), 2: discount(bi)}
+    size, whole = len(known) + 7, sum(uni.values())
+    after = {n: {} for n in (2, 3)}
+    for n, counts in ((3, tri), (2, bi)):
+        for g, v in counts.items():
+            after[n].setdefault(g[:-1], []).append(v)
+
+    def p(g):
+        if len(g) == 1:
+            return (uni[g] + 1 / size) / (whole + 1)
+        n, counts = len(g), (tri if len(g) == 3 else bi)
+        all_of = after[n].get(g[:-1])
+        if not all_of:
+            return p(g[1:])
+        off = lambda v: d[n][min(v, 3) - 1]
+        own = (counts[g] - off(counts[g])) / sum(all_of) if counts[g] else 0.0
+        return own + sum(min(off(v), v) for v in all_of) / sum(all_of) * p(g[1:])
+
+    def bits(text):
+        return sum(-math.log2(p(g) / rare.get(g[-1], 1)) for g in walk(text))
+
+    return bits, p, [*sorted(known), *makes, "<same>", "<run>"]
+
+
+def test_quality_equals_plain_kneser_ney(spark, docs):
+    rng = random.Random(9)
+    vocabulary = [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 60))) for _ in range(80)] + [None, "", "w1 w1 w1 w1 w1", "Ab cd, XY a-b a1 ## a b a b a b", "p q r p q r p q r"]
+    bits, p, names = plain_model(texts)
+    assert sum(p(("w1", "w1", w)) for w in names) == pytest.approx(1) and sum(p(("w2", "nowhere", w)) for w in names) == pytest.approx(1)
+    sample = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    known, rare = quality.fit_words(sample)
+    model = quality.fit(sample, known, rare)
+    other = [(i, t) for i, t in enumerate([*texts, "never seen at all", "Never SEEN a7 !! x_y don't 日本 É", "w1 unseen w1 w2 w1 w2", "w2 w3 " * 4000])] + [(1000 + r.doc_id, r.text) for r in docs.where("doc_id < 13").collect()]
+    rows = spark.createDataFrame(other, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in quality.totals(rows, model, known).collect()}
+    for i, t in other:
+        assert got[i].n_tokens == len((t or "").split()) and got[i].total == pytest.approx(bits(t), rel=1e-6, abs=1e-6)
+    # what the bit filter lets pass by mistake has the same sum
+    grams, whose, n = quality._trigrams(quality._Ids(), known, [t for _, t in other])
+    parts, of = quality.asked(np.full(quality.FILTER_BITS // 8, 255, np.uint8), grams)
+    assert len(parts) == len(grams) and (parts == grams).all()
+    found = quality.surprise(spark.createDataFrame(pd.DataFrame(np.unique(grams, axis=0), columns=["a", "b", "c"])), model).collect()
+    value = {(r.a, r.b, r.c): r.value for r in found}
+    sums = np.bincount(whose, [value[tuple(g)] for g in grams.tolist()], len(other))
+    assert [got[i].total for i, _ in other] == pytest.approx(list(sums), rel=1e-9, abs=1e-9)
 
 
 def test_quality_edges(docs, empty, spark):
