@@ -27,12 +27,12 @@ CHUNK_KEYS, CHUNK_BYTES, LISTS = 1 << 19, 64 << 20, 4
 _END = b"\xff"  # no UTF-8 text holds it
 
 
-def _squeeze(x: np.ndarray) -> bytes:
+def squeeze(x: np.ndarray) -> bytes:
     """Small unsigned numbers: byte planes, then zstd."""
     return zstandard.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def _expand(x: bytes, n: int) -> np.ndarray:
+def expand(x: bytes, n: int) -> np.ndarray:
     raw = np.frombuffer(zstandard.decompress(x, max_output_size=max(1, 4 * n)), np.uint8)
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
 
@@ -75,7 +75,7 @@ def chunked(docs: DataFrame, keys_of: Callable[[], Callable[[str], tuple[list, n
             firsts = (np.cumsum(n) - n)[n > 0]
             steps[firsts] = whose[by_doc][firsts] & 0xFFFFFFFF
             lists = {k: [d[i] for d in held] for i, k in enumerate(("doc_ids", "n_bytes", "own", "held"))}
-            yield pa.RecordBatch.from_pylist([{"chunk": number, "which": _squeeze(steps), "times": _squeeze(np.concatenate(times)[by_doc]), **lists}], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"chunk": number, "which": squeeze(steps), "times": squeeze(np.concatenate(times)[by_doc]), **lists}], schema=schema)
             at = 0
             for own in np.split(order, np.nonzero(np.diff(part[order]))[0] + 1):
                 if len(own):
@@ -103,68 +103,6 @@ def chunked(docs: DataFrame, keys_of: Callable[[], Callable[[str], tuple[list, n
     return materialize(docs.select("doc_id", "text").mapInArrow(run, row))
 
 
-def numbered(docs: DataFrame, grams_of: Callable[[], Callable[[list], tuple]]) -> DataFrame:
-    """Chunks of ``docs`` (doc_id long, text string) whose keys are triples of numbers.
-
-    ``grams_of()`` is called once a task and gives a function from texts to the rows
-    of ``a, b, c`` that they ask for, a 64-bit key of each row, the text of each row, and
-    one number of each text's own.
-    """
-    schema = pa.schema(
-        [("chunk", pa.int64()), ("start", pa.int32()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("held", pa.list_(pa.int64())), ("which", pa.binary()), ("times", pa.binary())]
-    )
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        find = grams_of()
-        number = TaskContext.get().partitionId() << 32
-        parts: list[tuple] = []
-        size = 0
-
-        def close():
-            nonlocal number, parts, size
-            ids, owns, helds, keys, grams, often = (np.concatenate(x) for x in zip(*parts, strict=True))
-            one, first, place = np.unique(keys, return_index=True, return_inverse=True)
-            ends = np.cumsum(helds)
-            steps = np.diff(place, prepend=0)  # the keys of a document are in order, so places only grow
-            firsts = (ends - helds)[helds > 0]
-            steps[firsts] = place[firsts]
-            lists = {"doc_ids": [ids], "n_bytes": [np.zeros(len(ids), np.int64)], "own": [owns], "held": [helds]}
-            row = {"chunk": [number], "which": [_squeeze(steps)], "times": [_squeeze(often)], **lists}
-            yield pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) if f.name in row else pa.nulls(1, f.type) for f in schema], schema=schema)
-            for i in range(0, len(one), 65536):
-                part = grams[first[i : i + 65536]]
-                row = {"chunk": [number], "start": [i], **{name: [part[:, j]] for j, name in enumerate("abc")}}
-                yield pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) if f.name in row else pa.nulls(1, f.type) for f in schema], schema=schema)
-            number, parts, size = number + 1, [], 0
-
-        for b in small_batches(batches):
-            texts = b.column(1).to_pylist()
-            grams, keys, whose, own = find(texts)
-            order = np.lexsort((keys, whose))
-            keys, whose, grams = keys[order], whose[order], grams[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (whose[1:] != whose[:-1])
-            often = np.diff(np.append(np.nonzero(new)[0], len(keys)))
-            ids = np.array(b.column(0).to_pylist(), object)
-            parts.append((ids, np.asarray(own), np.bincount(whose[new], minlength=len(texts)), keys[new], grams[new], often))
-            size += int(new.sum())
-            if size >= 8 * CHUNK_KEYS:
-                yield from close()
-        if parts:
-            yield from close()
-
-    row = "chunk long, start int, a array<long>, b array<long>, c array<long>, doc_ids array<long>, n_bytes array<long>, own array<long>, held array<long>, which binary, times binary"
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, row))
-
-
-def gram_entries(chunks: DataFrame) -> DataFrame:
-    """``chunk, place, a, b, c``: the dictionary entries of triples as rows."""
-    rows = chunks.where("a is not null").select("chunk", "start", F.posexplode(F.arrays_zip("a", "b", "c")).alias("pos", "g"))
-    return rows.select("chunk", (F.col("start") + F.col("pos")).alias("place"), "g.a", "g.b", "g.c")
-
-
 def valued(chunks: DataFrame, value_of: Callable[[], Callable[[list[str]], list[float]]]) -> DataFrame:
     """``chunk, start, values``: a value for each text key of a dictionary, made once
     for each distinct one. All lists of a part come to one task one after the other, and
@@ -194,11 +132,9 @@ def _keys(packed: bytes) -> list[str]:
 
 def summed(chunks: DataFrame, values: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, own, times, total``: for each document, the number of keys
-    with repeats and the sum of their values. ``values``: ``chunk``, then ``start,
-    values`` (lists, each a range of places) or ``place, value``."""
-    listed = "start" in values.columns
-    pair = F.struct("start", "values") if listed else F.struct("place", "value")
-    back = values.groupBy(F.col("chunk").alias("of")).agg(F.collect_list(pair).alias("prices"))
+    with repeats and the sum of their values. ``values``: ``chunk, start, values``
+    (lists, each a range of places)."""
+    back = values.groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("start", "values")).alias("prices"))
     own = chunks.where("doc_ids is not null").select("chunk", "doc_ids", "n_bytes", "own", "held", "which", "times")
     both = own.join(back, F.col("chunk") == F.col("of"), "left").select("doc_ids", "n_bytes", "own", "held", "which", "times", "prices")
 
@@ -207,18 +143,13 @@ def summed(chunks: DataFrame, values: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 size, own, held = (np.array(b.column(k)[i].values, np.int64) for k in (1, 2, 3))
                 ends = np.cumsum(held)
-                which, times = (_expand(b.column(k)[i].as_py(), int(ends[-1])).astype(np.int64) for k in (4, 5))
+                which, times = (expand(b.column(k)[i].as_py(), int(ends[-1])).astype(np.int64) for k in (4, 5))
                 price = np.zeros(1)
                 if b.column(6)[i].is_valid:
                     prices = b.column(6)[i].values
-                    if listed:
-                        order = np.argsort(np.asarray(prices.field("start")))
-                        parts = prices.field("values")
-                        price = np.concatenate([np.asarray(parts[int(k)].values, np.float64) for k in order])
-                    else:
-                        place = np.asarray(prices.field("place"))
-                        price = np.zeros(int(place.max(initial=0)) + 1)
-                        price[place] = np.asarray(prices.field("value"))
+                    order = np.argsort(np.asarray(prices.field("start")))
+                    parts = prices.field("values")
+                    price = np.concatenate([np.asarray(parts[int(k)].values, np.float64) for k in order])
                 walk = np.concatenate([[0], np.cumsum(which)])
                 place = walk[1:] - np.repeat(walk[ends - held], held)  # places start anew from 0 in each document
                 value = np.concatenate([[0.0], np.cumsum(price[place] * times)])
