@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, scratch, shared_dir
 from .vectors import finite, sorted_groups
 
 PARTS = 3
@@ -167,75 +167,78 @@ def link(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vec"))
     good = finite(F.col("vec")) & F.exists("vec", lambda x: x != 0)
 
-    def key(batches):
-        for b in batches:
-            v = b.column(1).to_pylist()
-            raw = [None if x is None else (np.array(x, "<f8") + 0.0).tobytes() for x in v]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["vec_id", "raw"])
-
-    keyed = materialize(
-        rows.select("vec_id", F.when(good, F.col("vec").cast("array<double>")).alias("vec"))
-        .mapInArrow(key, "vec_id long, raw binary")
-        .select("vec_id", "raw", F.sha2("raw", 256).alias("digest"))
-    )
-    classes = materialize(
-        keyed.where("raw is not null").groupBy("digest").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw"))
-        .withColumn("cls", F.xxhash64("digest"))
-    )
-    dims = {r["dim"]: r["n"] for r in classes.groupBy((F.length("raw") / 8).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    codes = {d: code_for(d, n, threshold, lists, per_filter, recall) for d, n in dims.items()}
-
-    def spread(batches):
-        for b in batches:
-            raws = b.column(1).to_pylist()
-            found: list = [None] * len(raws)
-            size = np.array([len(r) // 8 for r in raws])
-            for d in np.unique(size).tolist():
-                own = np.nonzero(size == d)[0]
-                x = np.frombuffer(b"".join(raws[i] for i in own), "<f8").reshape(-1, d)
+    spark = vectors.sparkSession
+    with scratch(spark):
+        def key(batches):
+            for b in batches:
+                v = b.column(1).to_pylist()
+                raw = [None if x is None else (np.array(x, "<f8") + 0.0).tobytes() for x in v]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["vec_id", "raw"])
+
+        keyed = materialize(
+            rows.select("vec_id", F.when(good, F.col("vec").cast("array<double>")).alias("vec"))
+            .mapInArrow(key, "vec_id long, raw binary")
+            .select("vec_id", "raw", F.sha2("raw", 256).alias("digest")),
+            shared_dir(spark),
+        )
+        classes = materialize(
+            keyed.where("raw is not null").groupBy("digest").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw"))
+            .withColumn("cls", F.xxhash64("digest"))
+        )
+        dims = {r["dim"]: r["n"] for r in classes.groupBy((F.length("raw") / 8).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        codes = {d: code_for(d, n, threshold, lists, per_filter, recall) for d, n in dims.items()}
+
+        def spread(batches):
+            for b in batches:
+                raws = b.column(1).to_pylist()
+                found: list = [None] * len(raws)
+                size = np.array([len(r) // 8 for r in raws])
+                for d in np.unique(size).tolist():
+                    own = np.nonzero(size == d)[0]
+                    x = np.frombuffer(b"".join(raws[i] for i in own), "<f8").reshape(-1, d)
+                    x = x / np.abs(x).max(axis=1, keepdims=True)
+                    for i, f in zip(own, codes[d].best(x / np.linalg.norm(x, axis=1, keepdims=True)), strict=True):
+                        found[i] = f
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.list_(pa.int64()))], ["cls", "raw", "copies", "filters"])
+
+        spread_out = materialize(classes.select("cls", "raw", "copies").mapInArrow(spread, "cls long, raw binary, copies long, filters array<long>"))
+        in_filter = spread_out.select((F.length("raw") / 8).cast("int").alias("dim"), F.explode("filters").alias("filter"))
+        tiles = in_filter.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("dim").alias("of_dim"), F.col("filter").alias("of"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+        each = spread_out.select("*", (F.length("raw") / 8).cast("int").alias("dim"), F.explode("filters").alias("filter"))
+        placed = each.join(tiles, (F.col("filter") == F.col("of")) & (F.col("dim") == F.col("of_dim"))).withColumn("tile", F.pmod(F.hash("cls"), F.col("tiles")))
+        met = placed.select("dim", "filter", "tile", "cls", "raw", "copies", "filters", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
+            "dim", "filter", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "cls", "raw", "copies", "filters"
+        )
+        order = ["dim", "filter", "i", "j"]
+        grouped = met.repartition(*order).sortWithinPartitions(*order, "tile", "cls")
+
+        def compare(batches):
+            for group in sorted_groups(batches, order):
+                d, f, i, j = (group.column(k)[0].as_py() for k in order)
+                side = np.asarray(group.column("tile"))
+                x = np.frombuffer(b"".join(group.column("raw").to_pylist()), "<f8").reshape(-1, d)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
-                for i, f in zip(own, codes[d].best(x / np.linalg.norm(x, axis=1, keepdims=True)), strict=True):
-                    found[i] = f
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.list_(pa.int64()))], ["cls", "raw", "copies", "filters"])
-
-    spread_out = materialize(classes.select("cls", "raw", "copies").mapInArrow(spread, "cls long, raw binary, copies long, filters array<long>"))
-    in_filter = spread_out.select((F.length("raw") / 8).cast("int").alias("dim"), F.explode("filters").alias("filter"))
-    tiles = in_filter.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("dim").alias("of_dim"), F.col("filter").alias("of"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    each = spread_out.select("*", (F.length("raw") / 8).cast("int").alias("dim"), F.explode("filters").alias("filter"))
-    placed = each.join(tiles, (F.col("filter") == F.col("of")) & (F.col("dim") == F.col("of_dim"))).withColumn("tile", F.pmod(F.hash("cls"), F.col("tiles")))
-    met = placed.select("dim", "filter", "tile", "cls", "raw", "copies", "filters", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
-        "dim", "filter", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "cls", "raw", "copies", "filters"
-    )
-    order = ["dim", "filter", "i", "j"]
-    grouped = met.repartition(*order).sortWithinPartitions(*order, "tile", "cls")
-
-    def compare(batches):
-        for group in sorted_groups(batches, order):
-            d, f, i, j = (group.column(k)[0].as_py() for k in order)
-            side = np.asarray(group.column("tile"))
-            x = np.frombuffer(b"".join(group.column("raw").to_pylist()), "<f8").reshape(-1, d)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            norm = np.linalg.norm(x, axis=1)
-            cls, copies = np.asarray(group.column("cls")), np.asarray(group.column("copies"))
-            linked = (x @ x.T) / (norm[:, None] * norm[None, :]) >= threshold
-            np.fill_diagonal(linked, False)
-            if i != j:
-                linked &= side[:, None] != side[None, :]
-            busy = np.nonzero(linked.any(axis=1))[0]
-            if not len(busy):
-                continue
-            linked = linked[np.ix_(busy, busy)]
-            own = [np.array(group.column("filters")[int(r)].values, np.int64) for r in busy]
-            first = linked & ~_shared_before(own, own, f)
-            n = first @ copies[busy]
-            roots = _roots(len(busy), linked)
-            yield pa.RecordBatch.from_arrays([pa.array(cls[busy]), pa.array(n.astype(np.int64)), pa.array(cls[busy][roots])], ["cls", "n", "root"])
-
-    found = materialize(grouped.mapInArrow(compare, "cls long, n long, root long"))
-    n = found.groupBy("cls").agg(F.sum("n").alias("n"))
-    labels = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
-    named = classes.select("cls", "digest", "first", "copies").join(n, "cls", "left").join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
-    named = materialize(named.withColumn("component", F.coalesce("component", "cls")))
+                norm = np.linalg.norm(x, axis=1)
+                cls, copies = np.asarray(group.column("cls")), np.asarray(group.column("copies"))
+                linked = (x @ x.T) / (norm[:, None] * norm[None, :]) >= threshold
+                np.fill_diagonal(linked, False)
+                if i != j:
+                    linked &= side[:, None] != side[None, :]
+                busy = np.nonzero(linked.any(axis=1))[0]
+                if not len(busy):
+                    continue
+                linked = linked[np.ix_(busy, busy)]
+                own = [np.array(group.column("filters")[int(r)].values, np.int64) for r in busy]
+                first = linked & ~_shared_before(own, own, f)
+                n = first @ copies[busy]
+                roots = _roots(len(busy), linked)
+                yield pa.RecordBatch.from_arrays([pa.array(cls[busy]), pa.array(n.astype(np.int64)), pa.array(cls[busy][roots])], ["cls", "n", "root"])
+
+        found = materialize(grouped.mapInArrow(compare, "cls long, n long, root long"))
+        n = found.groupBy("cls").agg(F.sum("n").alias("n"))
+        labels = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
+        named = classes.select("cls", "digest", "first", "copies").join(n, "cls", "left").join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
+        named = materialize(named.withColumn("component", F.coalesce("component", "cls")), shared_dir(spark))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_class = named.join(least, "component").select("digest", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = keyed.select("vec_id", F.col("digest").alias("own")).join(by_class, F.col("own") == F.col("digest"), "left")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +14,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and
+    Spark runs in local mode, as in tests, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ledgerfold-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/ledgerfold-{uuid.uuid4().hex}"
@@ -24,9 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to shared storage and read it back: lineage ends here and
-    a lost executor costs no recomputation of what came before."""
+    a lost executor costs no recomputation of what came before. Without ``path``, within
+    ``scratch``, the table lasts as long as that."""
     spark = df.sparkSession
-    path = path or shared_dir(spark)
+    path = path or (f"{_SCRATCH[-1]}/{uuid.uuid4().hex}" if _SCRATCH else shared_dir(spark))
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -34,6 +39,22 @@ def materialize(df: DataFrame, path: str | None = None, partition_by: list[str]
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A shared folder for tables that are not needed once the block ends; it is deleted
+    then, after failures too. What the block returns must be written elsewhere."""
+    path = shared_dir(spark)
+    _SCRATCH.append(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.pop()
+        discard(spark, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a materialized folder that no later step reads."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -66,7 +87,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     one = edges.where("a is not null and b is not null and a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     ).distinct()
-    path = shared_dir(spark)
+    path = f"{_SCRATCH[-1]}/{uuid.uuid4().hex}" if _SCRATCH else shared_dir(spark)
     links = materialize(one, f"{path}/edges")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialize(
@@ -88,7 +109,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         new = seen.join(jump, seen.label == jump.root).select("node", "label", F.least("best", "to").alias("new"))
         new = materialize(new, f"{path}/n{i}")
         moved = new.where("label <> new").limit(1).count()
+        for old in (f"s{i}", f"h{i}", f"n{i - 1}" if i else "l0"):
+            discard(spark, f"{path}/{old}")
         labels = new.select("node", F.col("new").alias("label"))
         if not moved:
+            discard(spark, f"{path}/edges")
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError("components did not settle")

@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import small_batches
-from .common import components, discard, fresh_name, materialize, shared_dir
+from .common import components, fresh_name, materialize, scratch, shared_dir
 from .vectors import sorted_groups
 
 N, PERCENT = 5, 80
@@ -698,45 +698,46 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc
     ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = materialize(_met(_dealt(rows, n, percent, ranges)), f"{path}/met")
     sets = met.where("n is not null").select("doc_id", "n", "cls", "hist")
-    classes = materialize(
-        sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("hist").alias("hist")), f"{path}/classes"
-    )
-    groups = met.where("key is not null").select("key", "tile", "many", "s1", "s2", "n_whole", "members")
-    groups = materialize(groups.where("not many").dropDuplicates(["s1", "s2"]).union(groups.where("many")).drop("s1", "s2"), f"{path}/groups")
-    stars = groups.where("n_whole > 0").select(F.element_at("members", 1).alias("hub"), F.explode("members").alias("cls")).where("cls <> hub")
-    stars = stars.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-    near = materialize(_filtered(stars, classes, percent), f"{path}/near")
-    texts = materialize(_texts(rows, classes, near, n), f"{path}/texts")
-    labels = components(materialize(_verified(near, texts, n, percent), f"{path}/links"))
-    members, far = _members(groups), None
-    for step, pairs_of in enumerate((_few_or_central, _across, _all_pairs)):
-        if step == 0:
-            rest, order = _unlinked(members, labels, 2), ["key", "tile"]
-        elif step == 1:  # groups that are large and apart: allocation by frequency
-            apart = materialize(_unlinked(members, labels, SMALL), f"{path}/large")
-            huge = apart.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > large).select("of")
-            middle = apart.join(huge, F.col("key") == F.col("of"), "left_anti")
-            often = apart.join(huge, F.col("key") == F.col("of"), "left_semi")
-            asked = often.groupBy("cls").agg(F.collect_set("key").alias("keys"))  # a class has as many as its text has segments
-            wanted = _texts(rows, classes, asked.select(F.col("cls").alias("a"), F.col("cls").alias("b")), n)
-            near_met = materialize(_near_met(_near_dealt(asked.join(wanted, "cls"), n, percent, ranges)), f"{path}/allocated")
-            left = near_met.where("n is not null").groupBy("cls", "doc_id").agg(F.sum("n").alias("left"))
-            far = often.join(left.where("left < 0").select("cls").distinct(), "cls", "left_semi").select(*middle.columns).union(middle)
-            far = materialize(far.withColumn("many", F.lit(False)), f"{path}/far")
-            rest = _unlinked(_members(near_met.where("key is not null")), labels, 1)
-        else:  # what is not worth that allocation, or what it has no bound for
-            rest, order = _tiled(materialize(_unlinked(far, labels, 1), f"{path}/rest"), large), ["key", "i", "j"]
-        new = _grouped(_sized(rest, classes), order, percent, pairs_of)
-        new = materialize(new.join(near, ["a", "b"], "left_anti"), f"{path}/near{step}")
-        if not new.limit(1).count():
-            continue
-        near = near.union(new)
-        texts = materialize(_texts(rows, classes, new, n), f"{path}/texts{step}")
-        labels = _merged(labels, materialize(_verified(new, texts, n, percent), f"{path}/links{step}"))
-        labels = materialize(labels, f"{path}/labels{step}")
-
-    whole_labels = classes.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("component", "cls").alias("label"))
-    whole_labels = materialize(whole_labels, f"{path}/whole")
+    with scratch(spark) as tmp:
+        classes = materialize(
+            sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("hist").alias("hist")), f"{tmp}/classes"
+        )
+        groups = met.where("key is not null").select("key", "tile", "many", "s1", "s2", "n_whole", "members")
+        groups = materialize(groups.where("not many").dropDuplicates(["s1", "s2"]).union(groups.where("many")).drop("s1", "s2"), f"{tmp}/groups")
+        stars = groups.where("n_whole > 0").select(F.element_at("members", 1).alias("hub"), F.explode("members").alias("cls")).where("cls <> hub")
+        stars = stars.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+        near = materialize(_filtered(stars, classes, percent), f"{tmp}/near")
+        texts = materialize(_texts(rows, classes, near, n), f"{tmp}/texts")
+        labels = components(materialize(_verified(near, texts, n, percent), f"{tmp}/links"))
+        members, far = _members(groups), None
+        for step, pairs_of in enumerate((_few_or_central, _across, _all_pairs)):
+            if step == 0:
+                rest, order = _unlinked(members, labels, 2), ["key", "tile"]
+            elif step == 1:  # groups that are large and apart: allocation by frequency
+                apart = materialize(_unlinked(members, labels, SMALL), f"{tmp}/large")
+                huge = apart.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > large).select("of")
+                middle = apart.join(huge, F.col("key") == F.col("of"), "left_anti")
+                often = apart.join(huge, F.col("key") == F.col("of"), "left_semi")
+                asked = often.groupBy("cls").agg(F.collect_set("key").alias("keys"))  # a class has as many as its text has segments
+                wanted = _texts(rows, classes, asked.select(F.col("cls").alias("a"), F.col("cls").alias("b")), n)
+                near_met = materialize(_near_met(_near_dealt(asked.join(wanted, "cls"), n, percent, ranges)), f"{tmp}/allocated")
+                left = near_met.where("n is not null").groupBy("cls", "doc_id").agg(F.sum("n").alias("left"))
+                far = often.join(left.where("left < 0").select("cls").distinct(), "cls", "left_semi").select(*middle.columns).union(middle)
+                far = materialize(far.withColumn("many", F.lit(False)), f"{tmp}/far")
+                rest = _unlinked(_members(near_met.where("key is not null")), labels, 1)
+            else:  # what is not worth that allocation, or what it has no bound for
+                rest, order = _tiled(materialize(_unlinked(far, labels, 1), f"{tmp}/rest"), large), ["key", "i", "j"]
+            new = _grouped(_sized(rest, classes), order, percent, pairs_of)
+            new = materialize(new.join(near, ["a", "b"], "left_anti"), f"{tmp}/near{step}")
+            if not new.limit(1).count():
+                continue
+            near = near.union(new)
+            texts = materialize(_texts(rows, classes, new, n), f"{tmp}/texts{step}")
+            labels = _merged(labels, materialize(_verified(new, texts, n, percent), f"{tmp}/links{step}"))
+            labels = materialize(labels, f"{tmp}/labels{step}")
+
+        whole_labels = classes.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("component", "cls").alias("label"))
+        whole_labels = materialize(whole_labels, f"{path}/whole")
     least = whole_labels.groupBy(F.col("label").alias("of")).agg(F.min("first").alias("component_id"))
     ids = whole_labels.join(least, F.col("label") == F.col("of")).select(F.col("cls").alias("own"), "component_id")
     out = sets.join(ids, (F.col("cls") == F.col("own")) & (F.col("n") > 0), "left")
