@@ -238,15 +238,23 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = DOCS_AT_ONCE) -
             yield batch.slice(i, rows)
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids`` (binary, little-endian unsigned 32-bit). Null texts have no ids.
-    Rows are independent and no row moves."""
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_offsets: bool = False) -> DataFrame:
+    """``doc_id, ids`` (binary, little-endian unsigned 32-bit), and with ``with_offsets``
+    (for a ranks file) ``starts, ends`` of each token in code points; a token that holds a
+    part of a character covers that character. Null texts have no ids. Rows are
+    independent and no row moves."""
 
     def run(batches):
         for b in small_batches(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encoder(path).encode(b.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids binary")
+            ids = encoder(path).encode(b.column(1).to_pylist())
+            columns = {"doc_id": b.column(0), "ids": pa.array(ids, pa.binary())}
+            if with_offsets:
+                found = [char_offsets(x, byte_table(path)) for x in ids]
+                columns |= {name: pa.array([[o[i] for o in each] for each in found], pa.list_(pa.int32())) for i, name in enumerate(("starts", "ends"))}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    kind = f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids binary" + ", starts array<int>, ends array<int>" * with_offsets
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kind)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

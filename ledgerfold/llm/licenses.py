@@ -9,7 +9,10 @@ happens inside a row; only texts with a cue word are cut at all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Known licence sentences, normalised (small letters and digits, single spaces), and their identifiers.
@@ -76,42 +79,65 @@ CUES = "licen|permi|software|distribut|rights reserved"
 LINE_ENDS, SENTENCE_ENDS = r"[\n\r]+", r"[.!?;:]+[ \t\n\r]+|\n[ \t\r]*\n"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-if bad := [s for s in SENTENCES if not any(c in s for c in CUES.split("|"))]:
-    raise AssertionError(f"without a cue: {bad}")
+
+def normalised(sentence: str) -> str:
+    """Small letters and digits with single spaces, and ``*`` where any words may stand."""
+    return " ".join(re.sub("[^a-z0-9*]+", " ", sentence.lower()).split())
+
+
+def read_tables(spark: SparkSession, sentences: str, rules: str) -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
+    """Tables from JSON lines: ``sentence, id``, and ``place, licence, ids`` (rules by place).
+    They are what every task matches with, so they come to the driver."""
+    known = {normalised(r.sentence): r.id for r in spark.read.schema("sentence string, id string").json(sentences).collect()}
+    ordered = spark.read.schema("place long, licence string, ids array<string>").json(rules).orderBy("place").collect()
+    return known, [(r.licence, tuple(r.ids)) for r in ordered]
 
 
-def known(text: Column, ends: str) -> Column:
+def cues_of(sentences: dict[str, str]) -> str:
+    """Pattern of which every known sentence holds a part: the cues, and the longest word of those without any."""
+    rest = {max(s.replace("*", " ").split(), key=len) for s in sentences if not any(c in s for c in CUES.split("|"))}
+    return "|".join([CUES, *sorted(rest)])
+
+
+def known(text: Column, ends: str, sentences: dict[str, str] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     parts = F.split(F.translate(text, UPPER, LOWER), ends)
     plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    found = F.filter(plain, lambda s: s.isin(list(SENTENCES)))
-    ids = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    return F.transform(found, lambda s: ids[s])
+    fixed = {s: i for s, i in sentences.items() if "*" not in s}
+    open_ = {"^" + s.replace("*", "[a-z0-9]+( [a-z0-9]+){0,7}") + "$": i for s, i in sentences.items() if "*" in s}
+    ids = F.create_map(*[F.lit(x) for pair in fixed.items() for x in pair]) if fixed else F.lit(None).cast("map<string,string>")
+
+    def name(s: Column) -> Column:
+        return reduce(lambda c, pattern: F.coalesce(c, F.when(s.rlike(pattern), open_[pattern])), open_, ids[s])
+
+    if not open_:
+        return F.transform(F.filter(plain, lambda s: s.isin(list(fixed))), lambda s: ids[s])
+    return F.filter(F.transform(plain, name), lambda i: i.isNotNull())
 
 
-def matched(ids: Column) -> Column:
+def matched(ids: Column, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> Column:
     """Licences that the rules find in a sequence of identifiers, in order of place."""
     sequence = F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
-    for licence, rule in RULES:
+    for licence, rule in rules:
         sequence = F.replace(sequence, F.lit("".join(f"<{i}>" for i in rule)), F.lit(f"[{licence}]"))
     return F.regexp_extract_all(sequence, F.lit(r"\[([^\]]+)\]"), F.lit(1))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
     """Per document: doc_id, licenses (comma-joined, by name), n_sentences (known
     sentences, the larger of both ways to cut), sentence_ids (of the line cut).
-    Null texts have none; rows are independent."""
+    Null and empty texts have none; rows are independent, repeated ones too."""
     text = F.col(text_col)
-    cue = F.coalesce(F.translate(text, UPPER, LOWER).rlike(CUES), F.lit(False))
+    cue = F.coalesce(F.translate(text, UPPER, LOWER).rlike(cues_of(sentences)), F.lit(False))
     none = F.array().cast("array<string>")
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.when(cue, known(text, LINE_ENDS)).otherwise(none).alias("lines"),
-        F.when(cue, known(text, SENTENCE_ENDS)).otherwise(none).alias("sentences"),
+        F.when(cue, known(text, LINE_ENDS, sentences)).otherwise(none).alias("lines"),
+        F.when(cue, known(text, SENTENCE_ENDS, sentences)).otherwise(none).alias("sentences"),
     )
     return rows.select(
         "doc_id",
-        F.array_join(F.array_sort(F.array_union(matched(F.col("lines")), matched(F.col("sentences")))), ",").alias("licenses"),
+        F.array_join(F.array_sort(F.array_union(matched(F.col("lines"), rules), matched(F.col("sentences"), rules))), ",").alias("licenses"),
         F.greatest(F.size("lines"), F.size("sentences")).cast("long").alias("n_sentences"),
         F.array_join("lines", ",").alias("sentence_ids"),
     )

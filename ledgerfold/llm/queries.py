@@ -16,44 +16,54 @@ def _file(name: str) -> str:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document (see ``pii.find_pii``): one row a row, null texts as empty."""
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other rows of every vector whose id is divisible by 50 (see ``topk.search``)."""
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, written to segment files and read back (see ``token_files``)."""
     path = f"{shared_dir(spark)}/tokens"
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, _file("byte_bpe_50k.json"), end_id=2)
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", token_files.crc32_of("ids"))
 
 
 def op4_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.9 (see ``caps.link``)."""
     return caps.link(table(spark, sf_dir, "embeddings"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document (see ``token_counts.count_tokens``)."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), _file("byte_bpe_50k.json"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document states (see ``licenses.scan_licenses``)."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surprise of every document by trusted text, its limit, and whether it is kept (see ``quality.classify``)."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document (see ``mixing.mix``)."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of what they decode to (see ``bpe.round_trip``)."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), _file("byte_bpe_50k.tiktoken"))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents (see ``jaccard.join``)."""
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 

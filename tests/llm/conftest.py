@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Awkward texts: none, empty, blank, very long, odd spaces, other scripts, special strings.
-ODD = [None, "", "   ", "\n\n", "a", "word " * 3000, "x" * 5000, "tab\tnew\x0bline  two   spaces \n\n end ", "日本語 テキスト ١٢٣ ½ é̀", "<|endoftext|> in <|endoftext|>text  <|endoftext|>", "it's we'll I'M 12ab ab12 …—!?", "　full wide\xa0spaces \x1c", "🙂🙃 emoji👍🏽"]
+ODD = [None, "", "   ", "\n\n", "a", "word " * 3000, "x" * 5000, "tab\tnew\x0bline  two   spaces \n\n end ", "日本語 テキスト ١٢٣ ½ é̀", "<|endoftext|> in <|endoftext|>text  <|endoftext|>", "it's we'll I'M 12ab ab12 …—!?", "　full wide\xa0spaces \x1c", "🙂🙃 emoji👍🏽", "\n".join(f"line{i},{i}" for i in range(3000)), "nospace" * 20000]
 
 
 @pytest.fixture(scope="session")

@@ -47,7 +47,9 @@ def test_jaccard(docs, empty):
     assert len(got) == docs.count()
     assert {r.doc_id: r.n_shingles for r in got} == size and {r.doc_id: r.component_id for r in got} == component
     assert jaccard.join(empty).count() == 0 and jaccard.keep_one(docs).columns == docs.columns
-    assert {r.doc_id for r in jaccard.keep_one(docs).collect()} == {d for d, c in component.items() if d == c}
+    clash = docs.withColumns({"gone": F.lit(1), "component_id": F.lit(2)})
+    kept = jaccard.keep_one(clash)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {d for d, c in component.items() if d == c}
 
 
 def test_jaccard_chains_and_shared_passages(spark):

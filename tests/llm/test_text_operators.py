@@ -71,6 +71,23 @@ def test_pii_query(docs, empty):
     assert got.where("doc_id = 0").first().base_sha256 == none
 
 
+def test_pii_columns_equal_plain_spans(spark):
+    """Counts, digest and order of spans of whole documents, against patterns one by one."""
+    rng = random.Random(2)
+    bits = ["a.b@c-d.org", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "4111111111111112", "+49 (30) 1234-567", "+12", "word", "é", "\n", "GB82 WEST 1234 5698 7654 32", "x@y"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(0, 40))) for _ in range(60)] + [None, "", PII, PII * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    base = ("email", "ip", "card", "phone")
+    for r in pii.find_pii(df).collect():
+        want = base_spans(texts[r.doc_id] or "")
+        assert [r[f"n_{k}"] for k in base] == [sum(s[0] == k for s in want) for k in base]
+        line = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        every = [x.split(":") for x in r.spans.split(",") if x]
+        assert [x for x in every if x[0] in base] == [x.split(":") for x in line.split(",") if x]
+        assert [(pii.KINDS.index(k), int(s)) for k, s, _ in every] == sorted((pii.KINDS.index(k), int(s)) for k, s, _ in every)
+
+
 # --- token ids ---------------------------------------------------------------
 
 
@@ -114,6 +131,19 @@ def test_encoder_of_pieces_clears_its_cache(library):
     assert len(own.first) + len(own.after_space) < 60
 
 
+def test_offsets_of_documents(spark):
+    """Each token covers the characters that its bytes are part of; together all of the text."""
+    texts = ["naïve 日本語 🙂 end", "a\nb\n" * 300, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = bpe.byte_table(RANKS)
+    for r in bpe.encode_documents(df, RANKS, with_offsets=True).collect():
+        text, ids = texts[r.doc_id] or "", list(memoryview(bytes(r.ids)).cast("I"))
+        assert len(r.starts) == len(r.ends) == len(ids) and (not ids or (r.starts[0], r.ends[-1]) == (0, len(text)))
+        for i, s, e in zip(ids, r.starts, r.ends, strict=True):
+            assert table[i] in text[s:e].encode() and (s == 0 or table[i] not in text[s + 1 : e].encode() or len(text[s:e].encode()) > len(table[i]) or s + 1 > e)
+        assert all(b <= e for b, e in zip(r.starts[1:], r.ends[:-1], strict=True)) or all(x - y <= 1 for x, y in zip(r.starts[1:], r.ends[:-1], strict=True))
+
+
 def test_round_trip(docs, empty):
     got = bpe.round_trip(docs, RANKS, with_ids=True)
     sha = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect()}
@@ -156,6 +186,19 @@ def test_token_counts(docs, empty, library):
 # --- licences ----------------------------------------------------------------
 
 
+def test_licence_tables_can_be_given(spark, tmp_path):
+    """Sentences and rules from files, with words left open for names and years."""
+    lines = [("Copyright * by *.", "holder"), ("This text is under the Plain Licence", "plain"), ("You may keep it", "keep")]
+    spark.createDataFrame(lines, "sentence string, id string").write.json(f"{tmp_path}/s")
+    spark.createDataFrame([(2, "Kept", ["keep"]), (1, "Plain", ["holder", "plain"])], "place long, licence string, ids array<string>").write.json(f"{tmp_path}/r")
+    sentences, rules = licenses.read_tables(spark, f"{tmp_path}/s", f"{tmp_path}/r")
+    assert rules == [("Plain", ("holder", "plain")), ("Kept", ("keep",))]
+    texts = ["Copyright 2019-2024 by Ann B. Other\nThis text is under the Plain licence.", "copyright by\nthis text is under the plain licence", "You may keep it!\nYOU MAY KEEP IT", "Copyright " + "x " * 9 + "by y\nThis text is under the plain licence", "keep", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.n_sentences) for r in licenses.scan_licenses(df, sentences=sentences, rules=rules).collect()}
+    assert got == {0: ("Plain", 2), 1: ("", 1), 2: ("Kept", 2), 3: ("", 1), 4: ("", 0), 5: ("", 0), 6: ("", 0)}
+
+
 def test_licenses(spark, docs, empty):
     mit = "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,\nand to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n"
     texts = ["x\nReleased under the MIT License.\ny", "Licensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0.", mit, "we talk about the MIT License and licensing", None]
@@ -302,4 +345,6 @@ def test_quality_edges(docs, empty, spark):
     assert got.count() == docs.count() and got.where("n_tokens = 0 and not kept").count() == 0
     assert quality.classify(docs, labels.limit(0)).where("not kept").count() == 0
     assert quality.classify(empty, labels).count() == 0
-    assert quality.keep_good(docs, labels).columns == docs.columns
+    clash = docs.withColumns({"judged": F.lit(1), "Gone": F.lit("x"), "kept": F.lit(2), "score": F.lit(0)})
+    good = quality.keep_good(clash, labels)
+    assert good.columns == clash.columns and good.where("judged <> 1").count() == 0
