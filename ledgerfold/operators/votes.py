@@ -86,11 +86,12 @@ def review_queue(events: DataFrame) -> DataFrame:
     return events.where("needs_review").orderBy(rank, "vote_event_id")
 
 
-def tally(votes: DataFrame, seats: DataFrame, on: str = "name_key") -> DataFrame:
-    """District code and name with yes, no and abstain, from votes that meet a seat.
-    Namesakes in the seats fan out, as in the roster itself; codes stay text."""
+def tally(votes: DataFrame, seats: DataFrame, on: str = "name_key", by: tuple[str, ...] = ()) -> DataFrame:
+    """District code and name with yes, no and abstain, from votes that meet a seat, for
+    each value of ``by`` (vote_event_id, say). Namesakes in the seats fan out, as in the
+    roster itself; codes stay text."""
     joined = votes.join(seats.where("not is_pr"), on)
-    return joined.groupBy("district_code", "district_name").agg(*[F.count_if(F.col("option") == o).cast("long").alias(o) for o in ("yes", "no", "abstain")])
+    return joined.groupBy(*by, "district_code", "district_name").agg(*[F.count_if(F.col("option") == o).cast("long").alias(o) for o in ("yes", "no", "abstain")])
 
 
 def category() -> Column:

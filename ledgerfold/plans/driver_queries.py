@@ -360,6 +360,14 @@ def district_category(spark, sf):
     return votes.map_codes(tally).select("code", "district_name", "category")
 
 
+@query("""with cast_ as (select 'v' || o_orderkey % 5 as vote_event_id, o_custkey, case o_orderstatus when 'F' then 'yes' when 'O' then 'no' else 'abstain' end as option from orders),
+ seats as (select c_custkey, case when n_nationkey = 7 then '7,8' else n_nationkey::varchar end as district_code, n_name as district_name from customer join nation on c_nationkey = n_nationkey where c_acctbal > 0 and n_regionkey <> 0)
+ select vote_event_id, district_code, district_name, (count(*) filter (option = 'yes'))::bigint as yes, (count(*) filter (option = 'no'))::bigint as no, (count(*) filter (option = 'abstain'))::bigint as abstain from cast_ join seats on o_custkey = c_custkey group by 1, 2, 3""")
+def vote_tallies(spark, sf):
+    """The tally of every vote event."""
+    return votes.tally(_cast(spark, sf), _seats(spark, sf), by=("vote_event_id",))
+
+
 def _record(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     persons = _t(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("person_id"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") > 5000, "high").otherwise("medium").alias("identity_confidence"))
     orders = _t(spark, sf, "orders")
@@ -461,6 +469,15 @@ def stale_worklist(spark, sf):
     return observe.stalest(watched, health, F.col("now"), 40).select("stream_id", "next_due")
 
 
+@query(f"""{_POLLS}, n as (select max(ts) + interval 6 hour as now from events), w as (select concat('user:', c_custkey) as stream_id, c_acctbal > 0 as enabled from customer)
+ select w.stream_id, next_due from w left join q using (stream_id) cross join n where enabled and (next_due is null or next_due <= now) and (backoff_until is null or backoff_until <= now) order by next_due nulls first, stream_id limit 40""")
+def stalest_of_all(spark, sf):
+    """The streams of the whole watch list that have waited longest."""
+    watch = _t(spark, sf, "customer").select(C.stream_id(F.lit("user"), F.col("c_custkey").cast("string")).alias("stream_id"), (F.col("c_acctbal") > 0).alias("enabled"))
+    now = _t(spark, sf, "events").agg((F.max("ts") + F.expr("INTERVAL 6 HOURS")).alias("now"))
+    return observe.stalest(watch.crossJoin(F.broadcast(now)), observe.poll_health(_polls(spark, sf)), F.col("now"), 40).select("stream_id", "next_due")  # one row of now
+
+
 @query(_sql("select stream_id, event_id, type, content_hash, prev_content_hash from tr"))
 def stream_transitions(spark, sf):
     """The same events from the stateful stream, run over all that is there."""
