@@ -296,6 +296,7 @@ def plain_model(texts, least=2):
     for n, counts in ((3, tri), (2, bi)):
         for g, v in counts.items():
             after[n].setdefault(g[:-1], []).append(v)
+    stays = {3: lambda v: v >= quality.MIN_TRIGRAM, 2: lambda v: True}
 
     def p(g):
         if len(g) == 1:
@@ -305,8 +306,8 @@ def plain_model(texts, least=2):
         if not all_of:
             return p(g[1:])
         off = lambda v: d[n][min(v, 3) - 1]
-        own = (counts[g] - off(counts[g])) / sum(all_of) if counts[g] else 0.0
-        return own + sum(min(off(v), v) for v in all_of) / sum(all_of) * p(g[1:])
+        own = (counts[g] - off(counts[g])) / sum(all_of) if counts[g] and stays[n](counts[g]) else 0.0
+        return own + (1 - sum(v - off(v) for v in all_of if stays[n](v)) / sum(all_of)) * p(g[1:])
 
     def bits(text):
         return sum(-math.log2(p(g) / rare.get(g[-1], 1)) for g in walk(text))
