@@ -7,10 +7,20 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Finaliser that spreads 64-bit hashes evenly (splitmix64)."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the folder that driver and executors share.
 

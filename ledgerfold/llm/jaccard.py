@@ -53,6 +53,7 @@ from pyspark.sql import functions as F
 
 from .bpe import small_batches
 from .common import components, fresh_name, materialize, scratch, shared_dir
+from .common import mix64 as _mix
 from .vectors import sorted_groups
 
 N, PERCENT = 5, 80
@@ -77,15 +78,6 @@ def shingles(text: str | None, n: int = N) -> set[bytes]:
     return {b" ".join(own[i : i + n]) for i in range(len(own) - n + 1)}
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser that spreads 64-bit hashes evenly (splitmix64)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 @lru_cache(maxsize=1)
 def _byte_values() -> np.ndarray:
     return np.random.default_rng(_SEED).integers(1, 1 << 63, 256, dtype=np.uint64)

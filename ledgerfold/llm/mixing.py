@@ -33,6 +33,7 @@ def target_table(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epo
     capped sources come first, so one prefix sum finds them all: source k is
     capped if the level that its predecessors leave is above its own ratio. The
     first that is not capped has the level; those after it would have a lower one.
+    Sources are a few numbers each and meet in one task: millions of them will do.
     """
     w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
     placed = sizes.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
