@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, caps, jaccard, licenses, mixing, pii, quality, token_counts, token_files, topk
+from . import bpe, caps, importance, jaccard, licenses, merkle, mixing, pii, quality, repeats, token_counts, token_files, topk
 from .common import shared_dir, table
 
 
@@ -67,7 +67,25 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_topk, op3_token_files, op4_caps, op5_token_counts, op6_licenses, op7_quality, op8_mixing, op9_bpe, op10_jaccard)}
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain counts of every document, and whether what it repeats lets it stay (see ``repeats.rules``)."""
+    return repeats.rules(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight by the words of the benchmark, and its rank if it is drawn (see ``importance.resample``)."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, its proof, and whether it still folds to the root after line
+    feeds of half the documents are gone (see ``merkle.manifest``)."""
+    half = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    text = F.when(half, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), changed={"text": text})
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_topk, op3_token_files, op4_caps, op5_token_counts, op6_licenses, op7_quality, op8_mixing, op9_bpe, op10_jaccard, op11_repeats, op12_resample, op13_manifest)}
 
 _OP8 = r"""
 with d as (
@@ -128,4 +146,67 @@ c as (select a, min(b) as component_id from r group by a)
 select s.doc_id, len(sh)::bigint as n_shingles, component_id from s join c on c.a = s.doc_id
 """
 
-ORACLE_SQL = {"op10_jaccard": _OP10, "op2_topk": _OP2, "op4_caps": _OP4, "op6_licenses": licenses.oracle_sql(), "op8_mixing": _OP8}
+#: Unsigned crc-32 of every ``k`` of a table ``keys``, byte by byte.
+_CRC = """
+codes as (
+  with recursive t(b, i, c) as (
+    select range, 0, range::bigint from range(256) union all
+    select b, i + 1, case when c % 2 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end from t where i < 8)
+  select b::bigint as b, c from t where i = 8),
+crc as (
+  with recursive r(k, h, i, c) as (
+    select k, hex(k), 0, 4294967295::bigint from keys union all
+    select k, h, i + 1, xor(r.c >> 8, codes.c) from r join codes on codes.b = xor(r.c & 255, ('0x' || substr(h, 2 * i + 1, 2))::bigint)
+    where i < length(h) // 2)
+  select k, xor(c, 4294967295::bigint) as crc from r where i = length(h) // 2)
+"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP12 = f"""
+with d as (select doc_id, row_number() over () as r, {_WORDS} as w from documents),
+f as (select r, unnest(w) as k from d), g as (select unnest({_WORDS}) as k from benchmark),
+keys as (select k from f union select k from g), {_CRC},
+s as (select crc % 10000 as b, count(*) as n from f join crc using (k) group by 1),
+t as (select crc % 10000 as b, count(*) as n from g join crc using (k) group by 1),
+gain as (
+  select range as b, floor(1000 * ln(((coalesce(t.n, 0) + 1) * ((select count(*) from f) + 10000))::double / ((coalesce(s.n, 0) + 1) * ((select count(*) from g) + 10000))::double))::bigint as gain
+  from range(10000) left join s on s.b = range left join t on t.b = range),
+w as (select r, floor(sum(gain)::double / count(*))::bigint as weight from f join crc using (k) join gain on gain.b = crc % 10000 group by r),
+x as (
+  select doc_id, d.r, len(d.w)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from d left join w using (r)),
+y as (select r, row_number() over (order by score desc, doc_id nulls first, n_features)::bigint as rank from x where n_features >= 20)
+select doc_id, n_features, weight, score::bigint as score, case when rank <= (select count(*) from y) * 10 // 100 then rank end as rank from x left join y using (r)
+"""
+
+_TOLD = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_TOLD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_UP = """
+  select {0}, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from {1} where n > 1 group by {0}, level, pos // 3, n"""
+_BESIDE = """
+  select a.nr, 1000 * {1} + a.level as level, coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos < a.pos), '') as before, coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos > a.pos), '') as behind
+  from {2} a join {0} b on b.k = a.k and b.level = a.level and b.pos // 3 = a.pos // 3 where b.n > 1 group by a.nr, a.level"""
+
+_OP13 = f"""
+with recursive keys as (select distinct doc_id::varchar as k from documents where doc_id is not null), {_CRC},
+d as (
+  select doc_id, coalesce('s' || source, '') as k, {_LEAF.format("text")} as leaf, {_LEAF.format("(case when crc % 2 = 0 then replace(text, chr(10), '') else text end)")} as now, row_number() over () as nr
+  from documents left join crc on crc.k = doc_id::varchar),
+p as (select *, row_number() over (partition by k order by doc_id nulls first, leaf, nr) - 1 as pos, count(*) over (partition by k) as n from d),
+t(k, level, pos, n, h) as (select k, 0, pos, n, leaf from p union all {_UP.format("k", "t")}),
+sub as (select k, h, row_number() over (order by k) - 1 as pos, count(*) over () as n from t where n = 1),
+u(k, level, pos, n, h) as (select '', 0, pos, n, h from sub union all {_UP.format("k", "u")}),
+root as (select h as root from u where n = 1),
+own as (select p.nr, t.k, t.level, t.pos from p join t on t.k = p.k and t.pos = p.pos // (3::bigint ** t.level)::bigint where t.n > 1),
+over as (select p.nr, u.k, u.level, u.pos from p join sub on sub.k = p.k join u on u.pos = sub.pos // (3::bigint ** u.level)::bigint where u.n > 1),
+path as (select *, row_number() over (partition by nr order by level) as step from ({_BESIDE.format("t", 0, "own")} union all {_BESIDE.format("u", 1, "over")})),
+fold(nr, step, h) as (select nr, 0::bigint, now from p union all select f.nr, f.step + 1, sha256(before || h || behind) from fold f join path on path.nr = f.nr and path.step = f.step + 1),
+folded as (select nr, max_by(h, step) as folded_root from fold group by nr),
+proof as (select nr, sha256(string_agg(before || behind, '' order by step)) as proof_sha256 from path group by nr)
+select doc_id, leaf, sub.h as subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root, folded_root = root as verified
+from p join sub using (k) join folded using (nr) left join proof using (nr), root
+"""
+
+ORACLE_SQL = {"op12_resample": _OP12, "op13_manifest": _OP13, "op10_jaccard": _OP10, "op2_topk": _OP2, "op4_caps": _OP4, "op6_licenses": licenses.oracle_sql(), "op8_mixing": _OP8}
