@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ..operators import folds
+from .models import ReadModels, Table
 
 EVENT = "stream_id string, at long, event_id long, type string, content_hash string, prev_content_hash string"
 
@@ -52,74 +53,25 @@ def transitions(observations: DataFrame) -> DataFrame:
     return observations.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=Transitions(), outputStructType=EVENT, outputMode="Append", timeMode="None")
 
 
-class Fold:
-    """A read model that a stream keeps up to date, in buckets of its key.
+class Fold(ReadModels):
+    """A read model of one table. With ``children``, ``key`` is a parent whose rows are
+    replaced together by those of its last event; ``heads`` gives the last event of every
+    parent of a batch (those that ``derive`` found rows for, without it)."""
 
-    A batch rewrites only the buckets that its keys fall in, then a manifest names the
-    folder of every bucket, so readers never see a part of a batch. Folders that neither
-    of the last two manifests names are deleted. With ``children``, ``key`` is a parent
-    whose rows are replaced together by those of its last event.
-    """
+    def __init__(self, spark: SparkSession, path: str, key: str | list[str], order: str = "seq", derive: Callable[[DataFrame], DataFrame] | None = None, children: bool = False, buckets: int = 64, heads: Callable[[DataFrame], DataFrame] | None = None):
+        keys = (key,) if isinstance(key, str) else tuple(key)
 
-    def __init__(self, spark: SparkSession, path: str, key: str | list[str], order: str = "seq", derive: Callable[[DataFrame], DataFrame] | None = None, children: bool = False, buckets: int = 64):
-        self.spark, self.path, self.key, self.order, self.derive, self.children, self.buckets = spark, path, key, order, derive, children, buckets
+        def parts(batch: DataFrame, _: str) -> dict[str, DataFrame]:
+            rows = derive(batch) if derive else batch
+            return {"rows": rows} | ({"heads": folds.heads(heads(batch) if heads else rows, keys[0], order)} if children else {})
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def versions(self) -> list[int]:
-        fs, p = self._fs(f"{self.path}/manifest")
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(p)) if fs.exists(p) else []
-
-    def version(self) -> int | None:
-        return max(self.versions(), default=None)
+        super().__init__(spark, path, {"rows": Table("children" if children else "rows", keys, order)}, parts, keys[0] if children else None, order, buckets)
 
     def _folders(self, version: int | None) -> dict[int, str]:
-        """Folder of each bucket that has rows."""
-        if version is None:
-            return {}
-        rows = self.spark.read.schema("bucket int, folder string").json(f"{self.path}/manifest/{version}").collect()  # at most ``buckets`` rows
-        return {r.bucket: r.folder for r in rows}
-
-    def _stored(self, folders: list[str]) -> DataFrame | None:
-        return self.spark.read.parquet(*[f"{self.path}/{f}" for f in folders]) if folders else None
-
-    def read(self) -> DataFrame | None:
-        return self._stored(sorted(self._folders(self.version()).values()))
-
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """For ``foreachBatch``; a batch that comes again gives the same version."""
-        rows = (self.derive(batch) if self.derive else batch).persist()
-        keys = [self.key] if isinstance(self.key, str) else self.key
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
-        touched = {r[0] for r in rows.select(bucket).distinct().collect()}  # at most ``buckets`` numbers
-        before = max((v for v in self.versions() if v < batch_id), default=None)
-        folders = self._folders(before)
-        if touched:
-            stored = self._stored(sorted(f for b, f in folders.items() if b in touched))
-            fold = folds.replaced_children if self.children else folds.merged
-            fold(stored, rows, self.key, self.order).withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/v{batch_id}")
-        rows.unpersist()
-        folders |= {b: f"v{batch_id}/_bucket={b}" for b in touched}
-        named = self.spark.createDataFrame(sorted(folders.items()), "bucket int, folder string").coalesce(1)
-        named.write.mode("overwrite").json(f"{self.path}/manifest/{batch_id}")
-        self._clean()
-
-    def _clean(self) -> None:
-        """Deletes what neither of the last two versions needs."""
-        old = self.versions()[:-2]
-        needed = {f for v in self.versions()[-2:] for f in self._folders(v).values()}
-        for v in old:
-            gone = [f for f in self._folders(v).values() if f not in needed]
-            for name in [*gone, f"manifest/{v}"]:
-                fs, p = self._fs(f"{self.path}/{name}")
-                fs.delete(p, True)
-
-    def start(self, stream: DataFrame, checkpoint: str, every: str | None = None):
-        """``every`` ("10 seconds") for a live fold; without it, all there is and stop."""
-        writer = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
-        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+        return self._manifest(version)[0]["rows"]
+
+    def read(self, table: str = "rows", version: int | None = None) -> DataFrame | None:
+        return super().read(table, version)
 
 
 def replay(spark: SparkSession, log_path: str, schema: StructType, path: str, key: str | list[str], checkpoint: str) -> DataFrame:
