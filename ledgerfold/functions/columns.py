@@ -211,3 +211,13 @@ def law_link(law_id: Column) -> Column:
 def look_back(day: Column, days: int = 90) -> Column:
     """All dates from ``days`` before to the day itself."""
     return F.sequence(F.date_sub(day, days), day)
+
+
+def roll_call_link(session: Column, slug: Column) -> Column:
+    """Address of an upper-house roll-call page."""
+    return F.concat(F.lit("https://www.sangiin.go.jp/japanese/touhyoulist/"), session.cast("string"), F.lit("/"), slug, F.lit(".htm"))
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space at both ends, full-width too; null as empty."""
+    return F.regexp_replace(or_empty(text), r"^[\s\u3000]+|[\s\u3000]+$", "")

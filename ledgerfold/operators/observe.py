@@ -90,12 +90,17 @@ def watch_upsert(stored: DataFrame, refs: DataFrame) -> DataFrame:
     return both.select("stream_id", F.coalesce("new_url", "url").alias("url"), F.coalesce("enabled", F.lit(True)).alias("enabled"))
 
 
-def revisions(events: DataFrame, content: str = "content_hash") -> DataFrame:
-    """Pairs of consecutive contents: each event with the content before it."""
+def revisions(events: DataFrame, content: str = "content_hash", tail: DataFrame | None = None) -> DataFrame:
+    """Pairs of consecutive contents: each event with the content before it. ``tail``
+    (stream_id, last_content): of streams that a stored log knows, what came before the
+    first of ``events``."""
     before = Window.partitionBy("stream_id").orderBy("stream_seq").rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("earlier", F.last(content, ignorenulls=True).over(before)).where(
-        F.col(content).isNotNull() & F.col("earlier").isNotNull() & (F.col(content) != F.col("earlier"))
-    )
+    earlier = F.last(content, ignorenulls=True).over(before)
+    if tail is not None:
+        events = events.join(tail.select(F.col("stream_id").alias("_of"), F.col("last_content").alias("_known")), F.col("stream_id") == F.col("_of"), "left")
+        earlier = F.coalesce(earlier, F.col("_known"))
+    found = events.withColumn("earlier", earlier).drop("_of", "_known")
+    return found.where(F.col(content).isNotNull() & F.col("earlier").isNotNull() & (F.col(content) != F.col("earlier")))
 
 
 def poll_health(polls: DataFrame, period: str = "INTERVAL 1 DAY", back_off: str = "INTERVAL 1 HOUR") -> DataFrame:

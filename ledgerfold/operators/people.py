@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import identity_confidence, is_person, name_key, or_empty, organization_id, person_id
+from ..functions.columns import identity_confidence, is_person, name_key, or_empty, organization_id, person_id, trimmed
 
 
 def spoken(speeches: DataFrame) -> DataFrame:
@@ -23,20 +23,28 @@ def spoken(speeches: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed value: what every group of members is.
+PARLIAMENTARY_GROUP = "parliamentary_group"
+
+
 def people(speeches: DataFrame) -> DataFrame:
-    """person_id with the latest meeting's name, reading and confidence, and the span of seq it was seen in."""
-    return spoken(speeches).groupBy("person_id").agg(
-        F.max_by("speaker", "at").alias("name"), F.max_by("speaker_yomi", "at").alias("yomi"), F.max_by("identity_confidence", "at").alias("identity_confidence"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
-    )
+    """person_id with name, reading and confidence, and the span of seq it was seen in.
+    Within a meeting the first spelling counts, then the latest meeting."""
+    once = spoken(speeches).groupBy("person_id", "seq").agg(F.min_by(F.struct(trimmed(F.col("speaker")).alias("name"), trimmed(F.col("speaker_yomi")).alias("yomi"), "identity_confidence"), "at").alias("first"))
+    return once.groupBy("person_id").agg(F.max_by("first", "seq").alias("now"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).select("person_id", "now.*", "first_seq", "last_seq")
 
 
 def organizations(speeches: DataFrame) -> DataFrame:
-    return spoken(speeches).where("org_id is not null").groupBy("org_id").agg(F.max_by("speaker_group", "at").alias("name"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    return spoken(speeches).where("org_id is not null").groupBy("org_id").agg(F.max_by(trimmed(F.col("speaker_group")), "at").alias("name"), F.lit(PARLIAMENTARY_GROUP).alias("classification"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
 def memberships(speeches: DataFrame) -> DataFrame:
-    """Spans in which a person spoke for a group."""
-    return spoken(speeches).where("org_id is not null").groupBy("person_id", "org_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    """Spans in which a person spoke for a group, and the role: the first one named in the
+    latest meeting, null if that is empty. Speeches without ``speaker_position`` have none."""
+    own = spoken(speeches if "speaker_position" in speeches.columns else speeches.withColumn("speaker_position", F.lit(None).cast("string")))
+    role = F.nullif(trimmed(F.col("speaker_position")), F.lit(""))
+    once = own.where("org_id is not null").groupBy("person_id", "org_id", "seq").agg(F.min_by(role, "at").alias("role"))
+    return once.groupBy("person_id", "org_id").agg(F.max_by("role", "seq").alias("role"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
 def resolved(votes: DataFrame, speeches: DataFrame, strict: bool = False) -> DataFrame:

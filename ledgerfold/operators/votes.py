@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ROLES, name_key, number_token
 
+# Numerals, what names a motion, what separates names in minutes.
 _NUMERALS = "0-9０-９〇零一二三四五六七八九十百千万"
 MOTION = r"([^。\s]{2,40}?)(?:案件?|の件)(?:について|の採決)"
 SEPARATORS = r"[\s　、,，]+"

@@ -302,7 +302,7 @@ def membership_span(spark, sf):
         F.col("conv_id").cast("string").alias("issue_id"), F.col("conv_id").alias("seq"), F.col("turn").alias("speech_order"), F.col("role").alias("speaker"), F.lit("").alias("speaker_yomi"),
         F.concat(F.lit("g"), (F.col("conv_id") % 7).cast("string")).alias("speaker_group"),
     )
-    return people.memberships(talk)
+    return people.memberships(talk).drop("role")
 
 
 @query("""with o as (select o_custkey, (count(*) filter (o_orderstatus = 'F'))::int as yes, (count(*) filter (o_orderstatus = 'O'))::int as no, count(*)::int as n from orders group by o_custkey)

@@ -18,15 +18,17 @@ def _id(value: str) -> str:
 def attributed(rows: DataFrame, log: DataFrame, watch: DataFrame | None = None, was_ocr: bool = False) -> DataFrame:
     """Adds ``attribution`` (source, stream, seq, time, hashes, permalink, whether the
     text was read from images) from the row's own event. The permalink is the row's own
-    ``url`` if it has one, else the watched address of its stream, else that of the law."""
+    ``url`` if it has one, else the watched address of its stream, else that of the law.
+    ``was_ocr`` is the snapshot's own where the log has that column."""
     stream = F.col("stream_id")
-    facts = log.select(F.col("seq").alias("_seq"), "stream_id", "seq", F.col("observed_at").alias("fetched_at"), "content_hash", "log_hash")
+    read = F.coalesce(F.col("was_ocr"), F.lit(was_ocr)) if "was_ocr" in log.columns else F.lit(was_ocr)
+    facts = log.select(F.col("seq").alias("_seq"), "stream_id", "seq", F.col("observed_at").alias("fetched_at"), "content_hash", "log_hash", read.alias("_ocr"))
     address = F.lit(None).cast("string")
     if watch is not None:
         facts = facts.join(watch.select(F.col("stream_id").alias("_of"), F.col("url").alias("_watched")), stream == F.col("_of"), "left")
         address = F.col("_watched")
     law = F.when(stream_source(stream) == "egov-law", law_link(F.substring_index(stream, ":", -1)))
-    known = facts.select("_seq", F.struct(stream_source(stream).alias("source"), "stream_id", "seq", "fetched_at", "content_hash", "log_hash", or_empty(F.coalesce(address, law)).alias("permalink"), F.lit(was_ocr).alias("was_ocr")).alias("attribution"))
+    known = facts.select("_seq", F.struct(stream_source(stream).alias("source"), "stream_id", "seq", "fetched_at", "content_hash", "log_hash", or_empty(F.coalesce(address, law)).alias("permalink"), F.col("_ocr").alias("was_ocr")).alias("attribution"))
     out = rows.join(known, F.col("seq") == F.col("_seq"), "left").drop("_seq")
     if "url" in rows.columns:
         own = F.when(or_empty(F.col("url")) != "", F.col("url")).otherwise(F.col("attribution.permalink"))
@@ -118,8 +120,3 @@ def get_stream_verification(events: DataFrame, checkpoints: DataFrame, stream: s
     whole = chain.covering(own.groupBy("stream_id").agg(F.max("seq").alias("max_seq"), F.bool_and(F.col("hash_ok") & F.coalesce("content_ok", F.lit(True))).alias("all_ok")), checkpoints)
     marked = own.join(F.broadcast(whole.select(F.col("stream_id").alias("_of"), "covered_by", "all_ok")), F.col("stream_id") == F.col("_of"))  # one row
     return marked.select("seq", "stream_seq", "type", "log_hash", "hash_ok", "content_ok", "covered_by", "all_ok").orderBy("stream_seq")
-
-
-def display_title(title: str, stream: str):
-    """The title, or the stream's own key where there is none."""
-    return F.when(or_empty(F.col(title)) != "", F.col(title)).otherwise(F.substring_index(stream, ":", -1))

@@ -203,7 +203,7 @@ def minutes_people(spark, sf):
 
 @query("""select 'o:' || substr(sha256('党' || conv_id % 4), 1, 16) as org_id, '党' || min(conv_id % 4) as name, min(conv_id)::bigint + 1 as first_seq, max(conv_id)::bigint + 1 as last_seq from conversations where trim(coalesce(role, '')) <> '' group by 1""")
 def minutes_groups(spark, sf):
-    return readmodels.minutes(*_meetings(spark, sf))["organization"]
+    return readmodels.minutes(*_meetings(spark, sf))["organization"].select("org_id", "name", "first_seq", "last_seq")
 
 
 def _vote_speeches(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,6 +11,7 @@ import zlib
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,18 @@ def plain_bytes(payload: Column) -> Column:
     return unpack(payload)
 
 
+def plain_payloads(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``payload`` unpacked. An operator of its own, so that no filter above
+    it makes Spark unpack a payload twice."""
+    at = rows.columns.index("payload")
+
+    def run(batches):
+        for b in batches:
+            yield b.set_column(at, "payload", pa.array([unpacked(x) for x in b.column(at).to_pylist()], pa.binary()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def decoded(raw: bytes | None, encoding: str = "utf-8") -> str:
     """Text of stored bytes, packed or not: UTF-8 where they are that, else ``encoding``."""
     plain = unpacked(raw) or b""
@@ -227,7 +240,11 @@ def roll_calls(pages: DataFrame, encoding: str = "utf-8") -> tuple[DataFrame, Da
     the last value that is not null.
     """
 
-    parts = page_parts(pages, encoding=encoding)
+    return roll_calls_of(page_parts(pages, encoding=encoding))
+
+
+def roll_calls_of(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``roll_calls`` of pages that are parsed already (see ``page_parts``)."""
     joined = F.array_join("cells", " ")
     heading = F.col("kind") != "row"
     events = parts.groupBy("stream_id", "seq").agg(

@@ -8,22 +8,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from ..operators import folds
 from .models import ReadModels, Table
 
-EVENT = "stream_id string, at long, event_id long, type string, content_hash string, prev_content_hash string"
+EVENT = "stream_id string, at long, event_id long, type string, content_hash string, prev_content_hash string, stream_seq long"
 
 
 class Transitions(StatefulProcessor):
-    """Per stream: whether the last observation was there, and the last content."""
+    """Per stream: whether the last observation was there, the last content, and how many
+    events there were."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tail", StructType([StructField("there", BooleanType()), StructField("content", StringType())]))
+        self.state = handle.getValueState("tail", StructType([StructField("there", BooleanType()), StructField("content", StringType()), StructField("events", LongType())]))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """What a stored log knows of the stream."""
+        for r in initialState.itertuples():
+            self.state.update((r.last_type != "vanished", r.last_content, int(r.next_seq) - 1))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        there, last = self.state.get() if self.state.exists() else (False, None)
+        there, last, events = self.state.get() if self.state.exists() else (False, None, 0)
         out = []
         for r in pd.concat(list(rows)).sort_values(["at", "event_id"]).itertuples():
             now = r.content_hash if isinstance(r.content_hash, str) else None
@@ -37,20 +43,24 @@ class Transitions(StatefulProcessor):
             elif now != last:
                 kind = "changed"
             if kind:
-                out.append((key[0], r.at, r.event_id, kind, now, last))
+                events += 1
+                out.append((key[0], r.at, r.event_id, kind, now, last, events))
             there, last = now is not None, now or last
-        self.state.update((there, last))
+        self.state.update((there, last, events))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def transitions(observations: DataFrame) -> DataFrame:
+def transitions(observations: DataFrame, tail: DataFrame | None = None) -> DataFrame:
     """Streaming twin of ``observe.transitions`` over ``stream_id, at, event_id,
     content_hash``. Rows of a batch are put in order; batches must come in order.
-    State is one small row a stream, without expiry; use the RocksDB store."""
-    return observations.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=Transitions(), outputStructType=EVENT, outputMode="Append", timeMode="None")
+    ``tail`` (see ``observe.tail_state``, not a stream): what a stored log knows, from
+    which the first batch goes on, so the events can be appended to that log. State is
+    one small row a stream, without expiry; use the RocksDB store."""
+    known = None if tail is None else tail.select("stream_id", "last_type", "last_content", "next_seq").groupBy("stream_id")
+    return observations.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=Transitions(), outputStructType=EVENT, outputMode="Append", timeMode="None", initialState=known)
 
 
 class Fold(ReadModels):
