@@ -115,7 +115,8 @@ class LogStore:
         ranges = self.state.read("range")
         if ranges is None:
             return None
-        known = sorted(((r.low, r.batch, r.n) for r in ranges.collect() if before is None or r.low < before), reverse=True)  # a row a batch
+        stored = ranges.collect()  # a row a batch
+        known = sorted(((r.low, r.batch, r.n) for r in stored if before is None or r.low < before), reverse=True)
         own = (F.lit(True) if before is None else F.col("seq") < before) & (F.lit(True) if where is None else where)
         taken = 0
         while taken < len(known):
@@ -125,7 +126,7 @@ class LogStore:
             rows = self._events([k[1] for k in known[:taken]]).where(own).orderBy(F.desc("seq")).limit(n)
             if where is None and before is None or taken >= len(known) or (held := rows.count()) >= n:
                 return rows
-        return self._events([k[1] for k in known[:1]]).where(F.lit(False)) if known else None
+        return self._events([r.batch for r in stored[:1]]).where(F.lit(False)) if stored else None
 
     def stream_events(self, stream_id: str) -> DataFrame | None:
         """All events of one stream: its tail, in one bucket, names the batches that have them."""
