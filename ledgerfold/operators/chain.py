@@ -117,6 +117,43 @@ def segment_audit(events: DataFrame, through_seq: int) -> DataFrame:
     return bad.union(linkage(part).where((F.col("problem") != "genesis") & (F.col("seq") > through_seq)))
 
 
+def segment_verdicts(events: DataFrame, checkpoints: DataFrame, audited: DataFrame | None = None) -> DataFrame:
+    """A row for each segment between checkpoints (through_seq; null for what no
+    checkpoint covers yet): n, bad_hashes, bad_links, root_ok (the log's hash at
+    through_seq is the checkpoint's root), joins_ok (the segment's first row links to
+    the root before it), ok.
+
+    A segment's verdict needs its own rows and the two checkpoints around it, so all
+    segments are checked side by side. ``audited`` (through_seq, ok): verdicts that are
+    stored; only what follows the last of them, up to the first that is not ok, is read.
+    """
+    done = 0
+    if audited is not None:
+        bad = audited.where("not ok and through_seq is not null").agg(F.min("through_seq")).first()[0]
+        good = audited.where("ok and through_seq is not null")
+        done = (good if bad is None else good.where(F.col("through_seq") < bad)).agg(F.max("through_seq")).first()[0] or 0
+    own = events.where(F.col("seq") >= done) if done else events
+    rows = recomputed(own).select("seq", "log_prev_hash", "log_hash", "hash_ok")
+    before = rows.select((F.col("seq") + 1).alias("of"), F.col("log_hash").alias("due"))
+    first = events.agg(F.min("seq").alias("first"))  # one row, from the files' own statistics
+    linked = rows.where(F.col("seq") > done).join(before, F.col("seq") == F.col("of"), "left").join(F.broadcast(first))
+    link_ok = F.when(F.col("seq") == F.col("first"), F.col("log_prev_hash") == GENESIS).otherwise(F.coalesce(F.col("due") == F.col("log_prev_hash"), F.lit(False)))
+    marks = checkpoints.where(F.col("through_seq") >= done)
+    laid = covering(linked.select("seq", F.col("seq").alias("max_seq"), "log_prev_hash", "log_hash", "hash_ok", link_ok.alias("link_ok")), marks)
+    per = laid.groupBy(F.col("covered_by").alias("through_seq")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("hash_ok")).alias("bad_hashes"), F.count_if(~F.col("link_ok")).alias("bad_links"),
+        F.max("seq").alias("last"), F.max_by("log_hash", "seq").alias("root"), F.min_by("log_prev_hash", "seq").alias("joins"),
+    )
+    ordered = Window.orderBy("through_seq")
+    due = marks.select("through_seq", F.col("root_hash"), F.lag("root_hash").over(ordered).alias("before"))  # a row a checkpoint
+    newest = marks.agg(F.max_by("root_hash", "through_seq").alias("newest"))  # one row
+    known = per.join(due.where(F.col("through_seq") > done), "through_seq", "full").join(F.broadcast(newest))
+    root_ok = F.when(F.col("through_seq").isNull(), F.lit(True)).otherwise(F.coalesce((F.col("last") == F.col("through_seq")) & (F.col("root") == F.col("root_hash")), F.lit(False)))
+    link_to = F.when(F.col("through_seq").isNull(), F.coalesce("newest", F.lit(GENESIS))).otherwise(F.coalesce("before", F.lit(GENESIS)))
+    out = known.select("through_seq", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "bad_hashes", "bad_links")], root_ok.alias("root_ok"), F.coalesce(F.col("joins") == link_to, F.lit(False)).alias("joins_ok"))
+    return out.withColumn("ok", (F.col("bad_hashes") == 0) & (F.col("bad_links") == 0) & F.col("root_ok") & F.col("joins_ok"))
+
+
 def exported(events: DataFrame, checkpoints: DataFrame, stream: str) -> DataFrame:
     """All events of a stream in order, with the checkpoint that covers its last."""
     own = events.where(F.col("stream_id") == stream)

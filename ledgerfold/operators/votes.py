@@ -102,10 +102,10 @@ def category() -> Column:
 
 
 def coverage(votes: DataFrame, seats: DataFrame, on: str = "name_key") -> DataFrame:
-    """One row: joined rows, those that met a seat, and distinct votes that did."""
-    marked = votes.withColumn("_vote", F.xxhash64(*votes.columns)).join(seats.select(on, F.lit(True).alias("met")), on, "left")
-    return marked.agg(
-        F.count(F.lit(1)).alias("total"), F.count("met").alias("matched"), F.countDistinct(F.when(F.col("met"), F.col("_vote"))).alias("matched_votes")
+    """One row: joined rows, those that met a seat, and votes that did (equal votes each)."""
+    met = votes.join(seats.groupBy(on).agg(F.count(F.lit(1)).alias("_seats")), on, "left")
+    return met.agg(
+        F.coalesce(F.sum(F.coalesce("_seats", F.lit(1))), F.lit(0)).cast("long").alias("total"), F.coalesce(F.sum("_seats"), F.lit(0)).cast("long").alias("matched"), F.count("_seats").alias("matched_votes")
     )
 
 

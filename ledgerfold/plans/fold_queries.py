@@ -3,19 +3,23 @@ the stored log and its pages, differences batch by batch, replays."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import gzip
+from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import folds, observe
-from ..sources.store import LogStore, shared_folder
+from ..operators import chain, diff, folds, observe
+from ..sources import payloads
+from ..sources.store import LogStore, shared_folder, written
 from ..streaming import folds as stream_folds
 from ..streaming.models import Generations, ReadModels, Table
-from . import readmodels
-from .driver_queries import _ORDER, _facts, _log, _observations, _sql, _t, query
-from .text_queries import _log_of, _text
+from . import lookups, readmodels, timeline
+from .driver_queries import _SHOWN, _TL, EVERY, _facts, _log, _observations, _sql, _t, _timeline, query
+from .log_queries import _tampered
+from .text_queries import _bindings, _customers, _law_text, _log_of, _text
 
 _LAST = "last as (select o_custkey, max(o_orderkey) as o_orderkey from orders group by 1)"
 
@@ -281,3 +285,117 @@ def replay_generation(spark, sf):
     same = models.replay(stream, f"{path}/checkpoint", {"line": ["o_custkey", "o_orderkey", "l_linenumber"]})
     found = models.current()
     return found.read("line").select("o_custkey", "o_orderkey", "l_linenumber", F.lit(same["line"]).alias("same"), F.lit(max(models._numbers())).alias("generation"))
+
+
+@query(_sql(f"""{_TL} select 'a' as page, {', '.join(_SHOWN)} from (select * from tl where contains(lower(title), 'azure') or contains(lower(subtitle), 'azure') or contains(lower(category), 'azure') or contains(lower(stream_id), 'azure') order by seq desc limit 201)
+ union all select 'b', {', '.join(_SHOWN)} from (select * from tl where contains(lower(title), 'er') or contains(lower(subtitle), 'er') or contains(lower(category), 'er') or contains(lower(stream_id), 'er') order by seq desc limit 31)
+ union all select 'c', {', '.join(_SHOWN)} from (select * from tl where contains(lower(title), 'user:12') or contains(lower(subtitle), 'user:12') or contains(lower(category), 'user:12') or contains(lower(stream_id), 'user:12') order by seq desc limit 31)"""))
+def timeline_keyword_indexed(spark, sf):
+    """Keyword pages by the index of the streams' texts: a word, a short one, part of an id."""
+    parts = _timeline(spark, sf)
+    texts = timeline.stream_texts(parts, parts.log.select("stream_id").distinct())
+    path = shared_folder(spark, "postings")
+    timeline.postings(texts).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(path)
+    parts = replace(parts, index=spark.read.parquet(path))
+    pages = [timeline.page(parts, n=n, word=word).select(F.lit(name).alias("page"), *_SHOWN) for name, word, n in (("a", "Azure", 200), ("b", "ER", 30), ("c", "user:12", 30))]
+    return pages[0].union(pages[1]).union(pages[2])
+
+
+_SEGMENT = f"(case when seq <= (select max(seq) from tr where seq % {EVERY} = 0) then ((seq + {EVERY - 1}) // {EVERY}) * {EVERY} end)"
+_AUDIT = f"""seg as (select {_SEGMENT} as s, tr.*, lag(event_id) over (order by seq) as pe from tr),
+ sv as (select s, count(*) as n, count(*) filter (event_id % 50 = 0 or event_id % 70 = 0) as bad_hashes, count(*) filter (pe % 50 = 0) as bad_links, max_by(event_id, seq) % 50 <> 0 and coalesce(s % {3 * EVERY} <> 0, true) as root_ok_,
+   min(seq) as low from seg group by s),
+ sw as (select s, n, bad_hashes, bad_links, s is null or root_ok_ as root_ok, (low - 1) % {3 * EVERY} <> 0 or low = 1 as joins_ok from sv)"""
+
+
+@query(_sql(f", {_AUDIT} select coalesce(s, -1)::bigint as through_seq, n, bad_hashes, bad_links, root_ok, joins_ok, bad_hashes = 0 and bad_links = 0 and root_ok and joins_ok as ok from sw"))
+def audited_segments(spark, sf):
+    """Verdicts of all segments between checkpoints of a log whose rows and hashes were
+    changed here and there, every third checkpoint with another root."""
+    log = written(_tampered(spark, sf, "all"))
+    roots = chain.append(_untouched(spark, sf), "all").where(F.col("seq") % EVERY == 0)
+    wrong = F.when(F.col("seq") % (3 * EVERY) == 0, F.sha2("log_hash", 256)).otherwise(F.col("log_hash"))
+    found = chain.segment_verdicts(log, roots.select(F.col("seq").alias("through_seq"), wrong.alias("root_hash")))
+    return found.withColumn("through_seq", F.coalesce("through_seq", F.lit(-1).cast("long")))
+
+
+def _untouched(spark: SparkSession, sf: str) -> DataFrame:
+    return _facts(_log(spark, sf)).withColumn("all", F.lit("log"))
+
+
+@query("select doc_id, text, text is not null as there from documents")
+def packed_payloads(spark, sf):
+    """Documents stored as gzip, as they stand, or not at all, read back."""
+
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else gzip.compress(t.encode()) if len(t) % 2 else t.encode())
+
+    rows = _t(spark, sf, "documents").select("doc_id", pack("text").alias("payload"))
+    return payloads.plain_payloads(rows).select("doc_id", F.col("payload").cast("string").alias("text"), F.col("payload").isNotNull().alias("there"))
+
+
+@query("""select p_partkey::bigint as change_id, x.place::bigint as place, x.eid, x.op from part, lateral (select unnest(case p_partkey % 2 when 0 then
+ [{'place': 1, 'eid': 'b', 'op': 'moved'}, {'place': 2, 'eid': 'd', 'op': 'added'}, {'place': 3, 'eid': 'c', 'op': 'deleted'}, {'place': 4, 'eid': 'a', 'op': 'modified'}] else
+ [{'place': 1, 'eid': 'a', 'op': 'modified'}, {'place': 2, 'eid': 'b', 'op': 'moved'}, {'place': 3, 'eid': 'd', 'op': 'added'}, {'place': 4, 'eid': 'c', 'op': 'deleted'}] end) as x) y""")
+def diff_order(spark, sf):
+    """Node changes stand by ordinal and id: the new ordinal, of what is gone the old one."""
+    k = F.col("p_partkey")
+    node = lambda eid, parent, text, n: F.struct(F.lit(eid).alias("eid"), F.lit(parent).alias("parent_eid"), F.lit("article").alias("node_type"), F.lit("1").alias("num"), F.lit("").alias("caption"), F.lit(text).alias("sentence_text"), (n if hasattr(n, "cast") else F.lit(n)).cast("long").alias("ordinal"))
+    side = lambda *nodes: _t(spark, sf, "part").select(k.alias("change_id"), F.inline(F.array(*nodes)))
+    prev = side(node("a", "", "x", 3), node("b", "", "y", 7), node("c", "", "z", 2), node("e", "", "same", 9))
+    curr = side(node("a", "", "w", F.when(k % 2 == 0, 5).otherwise(0)), node("b", "q", "y", 1), node("d", "", "v", 1), node("e", "", "same", 4))
+    events = _t(spark, sf, "part").select(k.alias("change_id"), F.lit(False).alias("degraded"))
+    found = diff.change_records(events, diff.node_changes(prev, curr))
+    return found.select("change_id", F.posexplode("node_changes").alias("i", "c")).select("change_id", (F.col("i") + 1).cast("long").alias("place"), "c.eid", "c.op")
+
+
+@query("select c_custkey, case when c_custkey % 4 = 0 then null else '<a k=\"' || c_custkey || '\" x=\"1\"><b></b> é</a>' end as canonical from customer")
+def canonical_documents(spark, sf):
+    """The same document in other spellings, and one that does not parse."""
+    c = F.col("c_custkey") % 4
+    text = F.when(c == 0, "<a><b></a>").when(c == 1, _text('<a x="1"  k="', "=k", '"><b/> é</a>')).when(c == 2, _text("<?xml version='1.0'?><a k='", "=k", "' x='1' ><b></b> &#233;</a>")).otherwise(_text('<a k="', "=k", '" x="&#49;"><b />\u0020é</a>'))
+    rows = _customers(spark, sf).select("c_custkey", payloads.canonical_xml(text.cast("binary")).alias("canonical"))
+    return rows.withColumn("canonical", F.col("canonical").cast("string"))
+
+
+@query("""select p_partkey::varchar as law_id, '第' || p_partkey || '号' as law_num, p_name as title, p_partkey % 4 <> 0 as degraded, p_brand as category, 'https://laws.e-gov.go.jp/law/' || p_partkey as url, case p_partkey % 4 when 2 then 3 else 4 end::bigint as nodes from part""")
+def law_read_model(spark, sf):
+    """Law headers with what the landed listing says of them, and their nodes."""
+    laws = _law_text(spark, sf).select(_text("egov-law:", "=p_partkey").alias("stream_id"), (F.col("p_partkey") + 1).alias("seq"), "payload")
+    listing = _t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("local_key"), F.col("p_type").alias("law_type"), F.col("p_brand").alias("category"), F.lit(None).cast("date").alias("enforced_on"))
+    found = readmodels.laws(*_log_of(laws), listing)
+    n = found["law_node"].groupBy("law_id").agg(F.count(F.lit(1)).alias("nodes"))
+    return found["legislative_work"].join(n, "law_id").select("law_id", "law_num", "title", "degraded", "category", "url", "nodes")
+
+
+@query("select c_custkey, c_custkey % 3 = 0 as was_ocr, 'kokkai' as source from customer")
+def attribution_ocr(spark, sf):
+    """Whether a row's text was read from images is its snapshot's own fact; unknown is no."""
+    rows = _customers(spark, sf)
+    ocr = F.when(F.col("c_custkey") % 3 == 0, True).when(F.col("c_custkey") % 3 == 1, False)
+    log = rows.select(F.col("c_custkey").alias("seq"), _text("kokkai:", "=k").alias("stream_id"), F.lit("2026-01-01").cast("timestamp").alias("observed_at"), F.sha2("c_name", 256).alias("content_hash"), F.lit("").alias("log_hash"), ocr.alias("was_ocr"))
+    found = lookups.attributed(rows.select("c_custkey", F.col("c_custkey").alias("seq")), log)
+    return found.select("c_custkey", F.col("attribution.was_ocr").alias("was_ocr"), F.col("attribution.source").alias("source"))
+
+
+@query("select event_id as seq, 'user:' || user_id as stream_id, event_type || '|' || coalesce(props, '') as text from events where event_id > 40 and 'user:' || user_id like 'user:1%' and event_type <> 'error' order by event_id limit 100")
+def log_scan_batch(spark, sf):
+    """The next hundred events of one source after an offset, with their contents."""
+    own = F.concat_ws("|", "event_type", F.coalesce("props", F.lit("")))
+    rows = _t(spark, sf, "events").withColumn("text", own).withColumn("content_hash", F.when(F.col("event_type") != "error", F.sha2("text", 256)))
+    events = rows.select(F.col("event_id").alias("seq"), C.stream_id(F.lit("user"), F.col("user_id").cast("string")).alias("stream_id"), "content_hash")
+    snapshots = rows.where("content_hash is not null").select("content_hash", F.col("text").cast("binary").alias("payload")).dropDuplicates(["content_hash"])
+    return readmodels.log_scan(events, snapshots, after=40, prefix="user:1", limit=100).select("seq", "stream_id", F.col("payload").cast("string").alias("text"))
+
+
+@query("""with p as (select l_suppkey from lineitem group by 1 order by count(*) desc, l_suppkey limit 1)
+ select o_orderkey::varchar as vote_event_id, l_returnflag as option, o_orderdate::date::varchar as date from lineitem join p using (l_suppkey) join orders on l_orderkey = o_orderkey
+ order by o_orderdate::date desc nulls last, o_orderkey::varchar, l_returnflag limit 41 offset 5""")
+def legislator_page(spark, sf):
+    """A page of the record of the member with most votes."""
+    events, cast, meetings, _ = _bindings(spark, sf)
+    who = cast.groupBy("person_id").count().orderBy(F.desc("count"), F.col("person_id").cast("long")).first()[0]
+    persons = _t(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("person_id"), F.col("s_name").alias("name"), F.lit("high").alias("identity_confidence"))
+    events, meetings = events.withColumn("result", F.lit("")), meetings.withColumn("house", F.lit(""))
+    return lookups.list_legislator_votes(persons, cast, events, meetings, who, n=40, token="5").select("vote_event_id", "option", F.col("date").cast("string").alias("date"))

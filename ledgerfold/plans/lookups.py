@@ -98,7 +98,7 @@ def list_legislator_votes(persons: DataFrame, cast: DataFrame, events: DataFrame
     """A page of one person's record."""
     own = F.col("person_id") == _id(person_id)
     rows = legislator_records(persons.where(own), cast.where(own), events, meetings)
-    return paging.offset_page(rows, [F.col("date").desc_nulls_last(), F.col("vote_event_id")], token, n)
+    return paging.offset_page(rows, [F.col("date").desc_nulls_last(), F.col("vote_event_id"), F.col("option")], token, n)
 
 
 def list_roll_calls(events: DataFrame, session: int = 0, n: int = 0, token: str = "") -> DataFrame:

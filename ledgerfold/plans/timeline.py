@@ -1,9 +1,10 @@
 """The timeline: the log with what read models know of each event, filtered and paged.
 
 Filters on the log's own columns, and the cursor, apply to the narrow log; a class
-filter is a semi-join with the changes; only a keyword needs titles before the page
-is cut. A page has 201 rows at most, so its rows are looked up in the read models by
-their keys, which reach the scans, and a count joins nothing that no filter reads.
+filter is a semi-join with the changes; a keyword is a semi-join with the streams that an index
+finds, and needs titles before the page is cut only where there is no index. A page has
+201 rows at most, so its rows are looked up in the read models by their keys, which
+reach the scans, and a count joins nothing that no filter reads.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import or_empty, stream_source
-from ..operators import paging
+from ..operators import keywords, paging
 from ..operators.diff import op_count
 
 SEARCHED = ["title", "subtitle", "category", "stream_id"]
@@ -29,6 +30,8 @@ class Parts:
     laws: DataFrame
     changes: DataFrame
     votes: DataFrame
+    #: Postings of the streams' texts (see ``postings``), for keywords.
+    index: DataFrame | None = None
 
 
 def enriched(log: DataFrame, meetings: DataFrame, laws: DataFrame, changes: DataFrame, votes: DataFrame) -> DataFrame:
@@ -74,6 +77,18 @@ def _shown(titled: DataFrame, changes: DataFrame, votes: DataFrame) -> DataFrame
     )
 
 
+def stream_texts(parts: Parts, streams: DataFrame) -> DataFrame:
+    """What a keyword is looked for in: title, subtitle and category of each stream.
+    ``streams``: their ids (all of them, to make an index)."""
+    rows = streams.select("stream_id", F.lit(0).cast("long").alias("seq"), F.lit("").alias("type"), F.lit(None).cast("timestamp").alias("observed_at"), F.lit("").alias("content_hash"))
+    return _titled(rows, parts.meetings, parts.laws).select(*SEARCHED)
+
+
+def postings(texts: DataFrame) -> DataFrame:
+    """The keyword index of ``stream_texts``; write it sorted by ``gram``."""
+    return keywords.index(texts, "stream_id", SEARCHED)
+
+
 def filtered(parts: Parts, source: str = "", event_type: str = "", classification: str = "", since: str = "", until: str = "", word: str = "", sources: list[str] | None = None) -> DataFrame:
     """Events that pass, as rows of the log; with titles if a keyword asks for them."""
     rows = paging.optional(parts.log.withColumn("source", stream_source(F.col("stream_id"))), source=source, type=event_type)
@@ -81,7 +96,11 @@ def filtered(parts: Parts, source: str = "", event_type: str = "", classificatio
     if classification:
         own = parts.changes.where(F.col("classification") == classification).select(F.col("observation_seq").alias("seq"))
         rows = rows.join(own, "seq", "left_semi")
-    if word.strip():
+    if word.strip() and parts.index is not None:
+        # what a stream is called is the same for all its events: streams are found first, then the log is cut by them
+        own = keywords.matches(lambda streams: stream_texts(parts, streams), parts.index, "stream_id", SEARCHED, word)
+        rows = rows.join(own, "stream_id", "left_semi")
+    elif word.strip():
         rows = paging.keyword(_titled(rows, parts.meetings, parts.laws), SEARCHED, word)
     return rows.select("seq", "stream_id", "type", "observed_at", "content_hash")
 

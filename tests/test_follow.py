@@ -6,7 +6,8 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerfold.operators import folds, observe, people
+from ledgerfold.functions import wire
+from ledgerfold.operators import chain, folds, keywords, observe, people
 from ledgerfold.plans import readmodels
 from ledgerfold.sources.store import LogStore
 from ledgerfold.streaming import folds as stream_folds
@@ -249,3 +250,36 @@ def test_payloads_are_unpacked_once(spark):
     for name in ("meeting", "speech", "vote"):
         plan = readmodels.minutes(events, blobs)[name]._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" not in plan and "ArrowEvalPython" not in plan, name  # read from what was decoded
+
+
+def test_verdicts_of_segments(spark):
+    """A wrong root, a changed row, a row that is gone; a later audit reads new segments only."""
+    facts = [(f"e{i}", f"s{i % 3}", i, i, "observed", "x", "v", f"2024-01-01 00:00:{i % 60:02d}", f"h{i}") for i in range(1, 41)]
+    df = spark.createDataFrame(facts, "event_id string, stream_id string, stream_seq long, seq long, type string, source string, fetcher_version string, at string, content_hash string")
+    log = chain.append(df.select("event_id", "stream_id", "stream_seq", "seq", "type", "source", "fetcher_version", F.to_timestamp("at").alias("observed_at"), F.lit(None).cast("timestamp").alias("source_published_at"), "content_hash", F.lit(None).cast("string").alias("prev_content_hash"), F.lit("all").alias("all")), "all").cache()
+    marks = log.where("seq % 10 = 0 and seq < 40").select(F.col("seq").alias("through_seq"), F.col("log_hash").alias("root_hash"))
+    shown = lambda x: {r.through_seq: (r.n, r.bad_hashes, r.bad_links, r.root_ok, r.joins_ok, r.ok) for r in x.collect()}
+    good = (10, 0, 0, True, True, True)
+    first = chain.segment_verdicts(log, marks)
+    assert shown(first) == {10: good, 20: good, 30: good, None: good}
+    wrong = marks.withColumn("root_hash", F.when(F.col("through_seq") == 20, F.sha2("root_hash", 256)).otherwise(F.col("root_hash")))
+    assert shown(chain.segment_verdicts(log, wrong)) == {10: good, 20: (10, 0, 0, False, True, False), 30: (10, 0, 0, True, False, False), None: good}
+    old = log.withColumn("content_hash", F.when(F.col("seq") == 5, "other").otherwise(F.col("content_hash")))
+    assert shown(chain.segment_verdicts(old, marks))[10] == (10, 1, 0, True, True, False)
+    gone = shown(chain.segment_verdicts(log.where("seq <> 20"), marks))
+    assert gone[20] == (9, 0, 0, False, True, False) and gone[30] == (10, 0, 1, True, True, False)
+    stored = first.where("through_seq <= 20")
+    again = chain.segment_verdicts(old, marks, stored)  # what is audited is not read again
+    assert shown(again) == {30: good, None: good}
+    assert shown(chain.segment_verdicts(log, wrong, chain.segment_verdicts(log, wrong).where("through_seq <= 20")))[20] == (10, 0, 0, False, True, False)
+    assert chain.segment_verdicts(log.limit(0), marks.limit(0)).count() == 0
+
+
+def test_keyword_index_against_every_row(spark):
+    texts = [(f"s{i}", t, c) for i, (t, c) in enumerate([("Ärzte 100%", None), ("100 percent", "x"), ("", ""), (None, "法律_改正"), ("aaab", "baaa"), ("AAB", "日本"), ("x" * 50, "é")])]
+    df = spark.createDataFrame(texts, "key string, title string, category string")
+    postings = keywords.index(df, "key", ["title", "category"]).cache()
+    for word in ("100%", "100", "a", "AA", "aaa", "aaab", "abab", "ärz", "律_", "日本", "_", "x" * 20, "zz", " 100 ", "é"):
+        want = {k for k, *own in texts if any(word.strip().lower() in (x or "").lower() for x in own)}
+        got = keywords.matches(lambda streams: df.join(streams, "key", "left_semi"), postings, "key", ["title", "category"], word)
+        assert {r.key for r in got.collect()} == want, word
