@@ -2,15 +2,18 @@
 
 Filters are directions of a structured random product code: a random rotation,
 then in each of three parts of the vector one of ``m`` random codewords. A vector
-goes to its ``lists`` best filters; the parts' products are sorted, so they are
-found without trying all ``m ** 3`` filters. Vectors that share a filter are
-compared by exact cosine in double precision.
+goes to all filters that it exceeds its own threshold on, which is where it exceeds
+on ``lists`` of them; one threshold for all would leave vectors with few filters or
+none. The parts' products are sorted, so the filters are decoded without trying all
+``m ** 3`` of them. Vectors that share a filter are compared by exact cosine in
+double precision.
 
 The rotation is random, so a pair of given cosine meets as often as random pairs of
 that cosine do, whatever the data. ``lists`` grows with the table until pairs at
 the very threshold meet as often as ``RECALL`` asks for; closer pairs meet more
-often. Where that many lists would compare as much as there is, one filter holds
-all vectors and nothing is missed.
+often. Tables so small that there would be no more filters than lists have one filter.
+So have vectors of so few components that none of the ``TRIES`` numbers of lists is
+enough: caps of this cosine are a large part of their sphere.
 
 Equal vectors are one class, compared once. A pair of classes counts only in the
 first filter that both are in, and gives counts and a link to its group's root, so
@@ -34,7 +37,7 @@ PARTS = 3
 #: Filters a vector is in at least; vectors a filter has on average; rows of a tile.
 LISTS, PER_FILTER, TILE = 32, 192, 1024
 #: Share of the pairs at the threshold that have to meet; pairs that it is measured on.
-RECALL, TRIALS = 0.998, 4000
+RECALL, TRIALS, TRIES = 0.998, 4000, 8
 
 
 class ProductCode:
@@ -110,10 +113,12 @@ class ProductCode:
 
 
 def code_for(dim: int, n: int, threshold: float, lists: float = LISTS, per_filter: int = PER_FILTER, target: float = RECALL) -> ProductCode:
-    """The code with the fewest lists, from ``lists`` on in steps of a quarter, by which
-    pairs at the threshold meet as often as the target asks for among ``n`` vectors."""
-    while lists * per_filter < n:
+    """The code with the fewest lists, from ``lists`` on in ``TRIES`` steps of a quarter, by
+    which pairs at the threshold meet as often as the target asks for among ``n`` vectors."""
+    for _ in range(TRIES):
         code = ProductCode(dim, max(2, int(np.ceil((lists * n / per_filter) ** (1 / PARTS)))), lists)
+        if code.m**PARTS <= lists:
+            break
         if code.recall(threshold) >= target:
             return code
         lists = np.ceil(lists * 1.25)
@@ -156,8 +161,7 @@ def link(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec
     """Per vector: vec_id, n_links, component_id, kept.
 
     ``n_links`` counts the other rows whose cosine with it is at least
-    ``threshold``: all of them where ``lists * per_filter`` reaches the number of
-    vectors, else those that share a filter, which at the threshold itself is
+    ``threshold`` and that share a filter with it, which at the threshold itself is
     ``recall`` of them (equal vectors always); ``component_id`` is the smallest id reachable
     by links. Vectors that are null, zero, or hold a component that is null or
     not finite link with nothing and are their own component, as are vectors of
@@ -166,45 +170,51 @@ def link(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vec"))
     good = finite(F.col("vec")) & F.exists("vec", lambda x: x != 0)
+    # components travel as they are stored: single precision is a double's value in half the bytes
+    single = rows.schema["vec"].dataType.elementType.typeName() == "float"
+    width, kind = (4, "<f4") if single else (8, "<f8")
 
     spark = vectors.sparkSession
     with scratch(spark):
         def key(batches):
             for b in batches:
                 v = b.column(1).to_pylist()
-                raw = [None if x is None else (np.array(x, "<f8") + 0.0).tobytes() for x in v]
+                raw = [None if x is None else (np.array(x, kind) + np.zeros(1, kind)).tobytes() for x in v]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["vec_id", "raw"])
 
         keyed = materialize(
-            rows.select("vec_id", F.when(good, F.col("vec").cast("array<double>")).alias("vec"))
+            rows.select("vec_id", F.when(good, F.col("vec") if single else F.col("vec").cast("array<double>")).alias("vec"))
             .mapInArrow(key, "vec_id long, raw binary")
             .select("vec_id", "raw", F.sha2("raw", 256).alias("digest")),
             shared_dir(spark),
         )
         classes = materialize(
             keyed.where("raw is not null").groupBy("digest").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw"))
-            .withColumn("cls", F.xxhash64("digest"))
+            .withColumn("cls", F.monotonically_increasing_id())  # stays as it is written
         )
-        dims = {r["dim"]: r["n"] for r in classes.groupBy((F.length("raw") / 8).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        dims = {r["dim"]: r["n"] for r in classes.groupBy((F.length("raw") / width).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
         codes = {d: code_for(d, n, threshold, lists, per_filter, recall) for d, n in dims.items()}
 
+        small = all(code.m**PARTS < 1 << 31 for code in codes.values())
+        numbers = pa.int32() if small else pa.int64()
+
         def spread(batches):
             for b in batches:
                 raws = b.column(1).to_pylist()
                 found: list = [None] * len(raws)
-                size = np.array([len(r) // 8 for r in raws])
+                size = np.array([len(r) // width for r in raws])
                 for d in np.unique(size).tolist():
                     own = np.nonzero(size == d)[0]
-                    x = np.frombuffer(b"".join(raws[i] for i in own), "<f8").reshape(-1, d)
+                    x = np.frombuffer(b"".join(raws[i] for i in own), kind).reshape(-1, d).astype(np.float64)
                     x = x / np.abs(x).max(axis=1, keepdims=True)
                     for i, f in zip(own, codes[d].best(x / np.linalg.norm(x, axis=1, keepdims=True)), strict=True):
                         found[i] = f
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.list_(pa.int64()))], ["cls", "raw", "copies", "filters"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.list_(numbers))], ["cls", "raw", "copies", "filters"])
 
-        spread_out = materialize(classes.select("cls", "raw", "copies").mapInArrow(spread, "cls long, raw binary, copies long, filters array<long>"))
-        in_filter = spread_out.select((F.length("raw") / 8).cast("int").alias("dim"), F.explode("filters").alias("filter"))
+        spread_out = materialize(classes.select("cls", "raw", "copies").mapInArrow(spread, f"cls long, raw binary, copies long, filters array<{'int' if small else 'long'}>"))
+        in_filter = spread_out.select((F.length("raw") / width).cast("int").alias("dim"), F.explode("filters").alias("filter"))
         tiles = in_filter.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("dim").alias("of_dim"), F.col("filter").alias("of"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-        each = spread_out.select("*", (F.length("raw") / 8).cast("int").alias("dim"), F.explode("filters").alias("filter"))
+        each = spread_out.select("*", (F.length("raw") / width).cast("int").alias("dim"), F.explode("filters").alias("filter"))
         placed = each.join(tiles, (F.col("filter") == F.col("of")) & (F.col("dim") == F.col("of_dim"))).withColumn("tile", F.pmod(F.hash("cls"), F.col("tiles")))
         met = placed.select("dim", "filter", "tile", "cls", "raw", "copies", "filters", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
             "dim", "filter", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "cls", "raw", "copies", "filters"
@@ -216,7 +226,7 @@ def link(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec
             for group in sorted_groups(batches, order):
                 d, f, i, j = (group.column(k)[0].as_py() for k in order)
                 side = np.asarray(group.column("tile"))
-                x = np.frombuffer(b"".join(group.column("raw").to_pylist()), "<f8").reshape(-1, d)
+                x = np.frombuffer(b"".join(group.column("raw").to_pylist()), kind).reshape(-1, d).astype(np.float64)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 norm = np.linalg.norm(x, axis=1)
                 cls, copies = np.asarray(group.column("cls")), np.asarray(group.column("copies"))

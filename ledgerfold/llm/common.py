@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,7 @@ def materialize(df: DataFrame, path: str | None = None, partition_by: list[str]
     a lost executor costs no recomputation of what came before. Without ``path``, within
     ``scratch``, the table lasts as long as that."""
     spark = df.sparkSession
-    path = path or (f"{_SCRATCH[-1]}/{uuid.uuid4().hex}" if _SCRATCH else shared_dir(spark))
+    path = path or _new_path(spark)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -49,19 +50,26 @@ def materialize(df: DataFrame, path: str | None = None, partition_by: list[str]
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-_SCRATCH: list[str] = []
+#: The folder of the innermost ``scratch`` block of this thread.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+def _new_path(spark: SparkSession) -> str:
+    own = _SCRATCH.get()
+    return f"{own}/{uuid.uuid4().hex}" if own else shared_dir(spark)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A shared folder for tables that are not needed once the block ends; it is deleted
-    then, after failures too. What the block returns must be written elsewhere."""
+    then, after failures too. What the block returns must be written elsewhere. Blocks of
+    other threads have folders of their own."""
     path = shared_dir(spark)
-    _SCRATCH.append(path)
+    outer = _SCRATCH.set(path)
     try:
         yield path
     finally:
-        _SCRATCH.pop()
+        _SCRATCH.reset(outer)
         discard(spark, path)
 
 
@@ -97,7 +105,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     one = edges.where("a is not null and b is not null and a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     ).distinct()
-    path = f"{_SCRATCH[-1]}/{uuid.uuid4().hex}" if _SCRATCH else shared_dir(spark)
+    path = _new_path(spark)
     links = materialize(one, f"{path}/edges")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialize(

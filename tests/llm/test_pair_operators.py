@@ -245,3 +245,58 @@ def test_topk_bounds_hold():
     assert (bounds[0] >= q @ x.T - 1e-6).all() and all((a >= b - 1e-6).all() for a, b in zip(bounds[:1] * 3, bounds[1:], strict=True))
     big = np.full((1, 4), 2.0**30)
     assert topk.exact(big, big)[0, 0] == 4 * 2**60
+
+
+@pytest.mark.parametrize("n", [500, 2_000, 10_000, 50_000])
+def test_caps_filters_at_every_size(n):
+    """More filters than lists at any size, and pairs at the threshold and a little over it meet."""
+    code = caps.code_for(64, n, 0.9)
+    assert code.m**caps.PARTS > code.lists
+    assert min(code.recall(c, trials=2000, seed=5) for c in (0.9, 0.91, 0.92)) >= 0.98
+
+
+def test_caps_of_few_components_try_a_bounded_number_of_codes():
+    assert caps.code_for(3, 200_000, 0.9).m == 1 and caps.code_for(64, 50, 0.9).m == 1
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_caps_on_repeated_ids(spark, kind):
+    """Rows that share an id, equal and different: each is a row, ids are told by the rows."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((150, 16))
+    own = [(i % 100, (v + (0.02 * rng.standard_normal(16) if i % 3 else 0)).tolist()) for i, v in enumerate(np.concatenate([base, base[:90]]))]
+    own += own[:7] + own[:7] + [(None, own[20][1])]
+    df = spark.createDataFrame(own, f"vec_id long, embedding array<{kind}>").repartition(3)
+    got = sorted(map(tuple, caps.link(df).collect()), key=str)
+    x = np.array([v for _, v in own]).astype(np.float32 if kind == "float" else np.float64).astype(np.float64)
+    near = x @ x.T / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1)) >= 0.9
+    np.fill_diagonal(near, False)
+    label = groups([(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)], range(len(own)))
+    least = {}
+    for i, (vec_id, _) in enumerate(own):
+        least[label[i]] = min((y for y in (least.get(label[i]), vec_id) if y is not None), default=None)
+    want = [(vec_id, int(near[i].sum()), least[label[i]], vec_id is None or vec_id == least[label[i]]) for i, (vec_id, _) in enumerate(own)]
+    assert got == sorted(want, key=str)
+
+
+def test_two_operators_in_two_threads(spark):
+    """Each thread's tables lie in its own folder, so neither deletes the other's."""
+    import threading
+
+    failed = []
+
+    def work(i):
+        try:
+            for _ in range(3):
+                with common.scratch(spark):
+                    own = common.materialize(spark.range(100).withColumn("k", F.col("id") % (i + 2)))
+                    assert common.components(own.select(F.col("id").alias("a"), F.col("k").alias("b"))).count() > 0
+        except Exception as e:
+            failed.append(e)
+
+    threads = [threading.Thread(target=work, args=(i,)) for i in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed
