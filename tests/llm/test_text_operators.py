@@ -296,7 +296,6 @@ def plain_model(texts, least=2):
     for n, counts in ((3, tri), (2, bi)):
         for g, v in counts.items():
             after[n].setdefault(g[:-1], []).append(v)
-    stays = {3: lambda v: v >= quality.MIN_TRIGRAM, 2: lambda v: True}
 
     def p(g):
         if len(g) == 1:
@@ -306,8 +305,8 @@ def plain_model(texts, least=2):
         if not all_of:
             return p(g[1:])
         off = lambda v: d[n][min(v, 3) - 1]
-        own = (counts[g] - off(counts[g])) / sum(all_of) if counts[g] and stays[n](counts[g]) else 0.0
-        return own + (1 - sum(v - off(v) for v in all_of if stays[n](v)) / sum(all_of)) * p(g[1:])
+        own = (counts[g] - off(counts[g])) / sum(all_of) if counts[g] else 0.0
+        return own + sum(map(off, all_of)) / sum(all_of) * p(g[1:])
 
     def bits(text):
         return sum(-math.log2(p(g) / rare.get(g[-1], 1)) for g in walk(text))
@@ -331,15 +330,52 @@ def test_quality_equals_plain_kneser_ney(spark, docs):
         for i, t in other:
             assert got[i].n_tokens == len((t or "").split()) and got[i].total == pytest.approx(bits(t), rel=1e-5, abs=1e-5)
     # what the bit filter lets pass by mistake has the same sum
-    grams, whose, n = quality._trigrams(quality._Ids(), known, [t for _, t in other])
-    parts, of = quality.asked(np.full(quality.FILTER_BITS // 8, 255, np.uint8), grams)
-    assert len(parts) == len(grams) and (parts == grams).all()
+    grams, whose, n = quality._trigrams(quality._Tokens(known), [t for _, t in other])
+    parts, of, keys = quality.asked(np.full(quality.FILTER_BITS // 8, 255, np.uint8), grams)
+    assert len(parts) == len(grams) and (parts == grams).all() and (keys == quality.gram_key(grams)).all()
     found = quality.surprise(spark.createDataFrame(pd.DataFrame(np.unique(grams, axis=0).astype(np.int32), columns=["a", "b", "c"])), model).collect()
     value = {(r.a, r.b, r.c): r.value for r in found}
     sums = np.bincount(whose, [value[tuple(g)] for g in grams.tolist()], len(other))
     assert [got[i].total for i, _ in other] == pytest.approx(list(sums), rel=1e-5, abs=1e-5)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
+def test_places_of_keys(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    keys = np.unique(np.concatenate([keys, keys[: n // 3] + np.uint64(1), np.arange(min(n, 40), dtype=np.uint64)]))
+    asked = rng.permutation(np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)]))
+    at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
+    want = np.where(keys[at] == asked, at, -1) if len(keys) else np.full(len(asked), -1)
+    assert (quality._Places(keys).find(asked) == want).all()
+
+
+def test_quality_limits_are_quantiles_of_held_out_scores(spark):
+    """Limit and verdict of every document, ties at the limit among them, from the sorted scores."""
+    rng = random.Random(12)
+    vocabulary = [f"v{int(rng.paretovariate(0.9))}" for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(5, 50))) for _ in range(700)]
+    rows = [(i, t, "aa" if i % 5 < 3 else "bb" if i % 5 == 3 else None if i % 35 else "cc") for i, t in enumerate(texts)]
+    rows += [(2000 + i, texts[i], "aa") for i in range(0, 700, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(r[0], int(r[0] % 11 != 0), 0) for r in rows if r[0] % 7], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(docs, labels, quantile=0.9, margin=0.05).collect()}
+    good = labels.where("quality = 1").where(F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(4)) == 0)
+    held = {r.doc_id for r in good.collect()}
+    lang = {r[0]: r[2] for r in rows}
+
+    def cut(scores):
+        return sorted(scores)[math.ceil(0.9 * len(scores)) - 1] + 0.05
+
+    by_lang = {x: [got[i].surprise for i in held if lang[i] == x] for x in {*lang.values()}}
+    everywhere = cut([got[i].surprise for i in held])
+    limits = {x: cut(v) if len(v) >= quality.MIN_TRUSTED else everywhere for x, v in by_lang.items()}
+    assert sum(len(v) >= quality.MIN_TRUSTED for v in by_lang.values()) == 1  # one language of its own, the others share
+    assert len(got) == len(rows) and {r.kept for r in got.values()} == {True, False}
+    for i, r in got.items():
+        assert r.limit == pytest.approx(limits[lang[i]], abs=1e-9) and r.kept == (r.surprise <= r.limit)
+
+
 def test_quality_edges(docs, empty, spark):
     labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     got = quality.classify(docs, labels)
