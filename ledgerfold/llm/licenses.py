@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 # Known licence sentences, normalised (small letters and digits, single spaces), and their identifiers.
 SENTENCES = {
     "released under the mit license": "mit-short",
@@ -39,6 +41,19 @@ SENTENCES = {
     "spdx license identifier gpl 3 0 or later": "gpl3-later",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-redistribute",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-redistribute",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl-redistribute",
+    "either version 2 of the license or at your option any later version": "version2-later",
+    "either version 2 1 of the license or at your option any later version": "version21-later",
+    "either version 3 of the license or at your option any later version": "version3-later",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2-form",
+    "spdx license identifier mpl 2 0": "mpl2-short",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl1-grant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
@@ -64,6 +79,18 @@ RULES = [
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("GPL-3.0-or-later", ("gpl3-later",)),
     ("GPL-2.0-or-later", ("gpl2-later",)),
+    ("GPL-3.0-or-later", ("gpl-redistribute", "version3-later")),
+    ("GPL-2.0-or-later", ("gpl-redistribute", "version2-later")),
+    ("LGPL-3.0-or-later", ("lgpl-redistribute", "version3-later")),
+    ("LGPL-2.1-or-later", ("lgpl-redistribute", "version21-later")),
+    ("AGPL-3.0-or-later", ("agpl-redistribute", "version3-later")),
+    ("MPL-2.0", ("mpl2-form",)),
+    ("MPL-2.0", ("mpl2-short",)),
+    ("ISC", ("isc-grant",)),
+    ("Unlicense", ("unlicense",)),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("bsl1-grant",)),
+    ("EPL-2.0", ("epl2",)),
     ("MIT", ("mit-short",)),
     ("Apache-2.0", ("apache2-short",)),
     ("GPL-3.0-only", ("gpl3-short",)),
@@ -99,10 +126,14 @@ def cues_of(sentences: dict[str, str]) -> str:
     return "|".join([CUES, *sorted(rest)])
 
 
+def _plain(sentence: Column) -> Column:
+    return F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
+
+
 def known(text: Column, ends: str, sentences: dict[str, str] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     parts = F.split(F.translate(text, UPPER, LOWER), ends)
-    plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    plain = F.transform(parts, _plain)
     fixed = {s: i for s, i in sentences.items() if "*" not in s}
     open_ = {"^" + s.replace("*", "[a-z0-9]+( [a-z0-9]+){0,7}") + "$": i for s, i in sentences.items() if "*" in s}
     ids = F.create_map(*[F.lit(x) for pair in fixed.items() for x in pair]) if fixed else F.lit(None).cast("map<string,string>")
@@ -126,7 +157,10 @@ def matched(ids: Column, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> Co
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
     """Per document: doc_id, licenses (comma-joined, by name), n_sentences (known
     sentences, the larger of both ways to cut), sentence_ids (of the line cut).
-    Null and empty texts have none; rows are independent, repeated ones too."""
+    Null and empty texts have none; rows are independent, repeated ones too. Identifiers
+    and licences may not hold ``<>[]``; ``scan_with_tables`` takes any."""
+    if set("<>[]") & set("".join([*sentences.values(), *(x for licence, ids in rules for x in (licence, *ids))])):
+        raise ValueError("identifiers and licences may not hold <>[]")
     text = F.col(text_col)
     cue = F.coalesce(F.translate(text, UPPER, LOWER).rlike(cues_of(sentences)), F.lit(False))
     none = F.array().cast("array<string>")
@@ -143,6 +177,45 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def scan_with_tables(docs: DataFrame, sentences: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col: str = "text", cues: str = CUES) -> DataFrame:
+    """``scan_licenses`` for tables of any size, by joins: ``sentences`` (sentence, id;
+    without open words) and ``rules`` (place, licence, ids).
+
+    Sentences of texts with a cue meet the known ones by digest of their normal form;
+    a text's identifiers, in order, meet the rules by their first identifier, and a rule
+    holds where the following ones are its own. Of what holds, the earlier rule and then
+    the earlier place takes its identifiers. Columns as there.
+    """
+    text = F.col(text_col)
+    cue = F.coalesce(F.translate(text, UPPER, LOWER).rlike(cues), F.lit(False))
+
+    def digests(ends: str) -> Column:
+        parts = F.split(F.translate(text, UPPER, LOWER), ends)
+        return F.when(cue, F.transform(parts, lambda s: F.md5(_plain(s).cast("binary"))))
+
+    held = docs.select(F.col(id_col).alias("doc_id"), digests(LINE_ENDS).alias("lines"), digests(SENTENCE_ENDS).alias("sentences"))
+    held = materialize(held.withColumn("row", F.monotonically_increasing_id()))
+    each = held.where("lines is not null").select("row", F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), F.col(c).alias("digests")) for c in ("lines", "sentences")])).alias("x"))
+    each = each.select("row", "x.cut", F.posexplode("x.digests").alias("pos", "digest"))
+    known = sentences.groupBy(F.md5(_plain(F.lower("sentence")).cast("binary")).alias("digest")).agg(F.min("id").alias("id"))
+    found = each.join(known, "digest").groupBy("row", "cut").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"))
+    found = materialize(found.select("row", "cut", F.col("s.id").alias("ids")))
+    own = rules.where(F.size("ids") > 0).select("place", "licence", F.col("ids").alias("rule"), F.element_at("ids", 1).alias("id"))
+    at = found.select("row", "cut", "ids", F.posexplode("ids").alias("at", "id")).join(own, "id")
+    holds = at.where(F.slice("ids", F.col("at") + 1, F.size("rule")) == F.col("rule")).select("row", "cut", F.struct("place", "at", (F.col("at") + F.size("rule")).alias("end"), "licence").alias("m"))
+    per = holds.groupBy("row", "cut").agg(F.array_sort(F.collect_list("m")).alias("all"))
+    kind = per.schema["all"].dataType.simpleString()
+
+    def take(taken: Column, m: Column) -> Column:
+        return F.when(F.exists(taken, lambda t: (t["at"] < m["end"]) & (m["at"] < t["end"])), taken).otherwise(F.concat(taken, F.array(m)))
+
+    taken = F.aggregate("all", F.array().cast(kind), take)
+    licences = per.select("row", F.explode(F.transform(taken, lambda m: m["licence"])).alias("licence")).groupBy("row").agg(F.array_sort(F.collect_set("licence")).alias("licences"))
+    counts = found.groupBy("row").agg(F.max(F.size("ids")).cast("long").alias("n"), F.max(F.when(F.col("cut") == "lines", F.array_join("ids", ","))).alias("of_lines"))
+    out = held.select("doc_id", "row").join(licences, "row", "left").join(counts, "row", "left")
+    return out.select("doc_id", F.coalesce(F.array_join("licences", ","), F.lit("")).alias("licenses"), F.coalesce("n", F.lit(0).cast("long")).alias("n_sentences"), F.coalesce("of_lines", F.lit("")).alias("sentence_ids"))
+
+
 def oracle_sql() -> str:
     """The same scan in DuckDB's SQL, from the same fixed values."""
     keys = ", ".join(f"'{s}'" for s in SENTENCES)

@@ -199,6 +199,36 @@ def test_licence_tables_can_be_given(spark, tmp_path):
     assert got == {0: ("Plain", 2), 1: ("", 1), 2: ("Kept", 2), 3: ("", 1), 4: ("", 0), 5: ("", 0), 6: ("", 0)}
 
 
+def test_licence_scan_by_joins_equals_the_one_in_rows(spark, docs, empty):
+    """Every order of known sentences, repeats and overlapping rules; rows that share an id."""
+    rng = random.Random(21)
+    names = list(licenses.SENTENCES)
+    texts = [rng.choice(["\n", ". ", "; "]).join(rng.choice([*names, "other words", names[6], names[7], names[8]]).capitalize() for _ in range(rng.randrange(0, 12))) for _ in range(250)]
+    texts += ["\n".join([names[4], names[6], names[7], names[8], names[6], names[7]]), None, "", "licence"]
+    df = spark.createDataFrame([(i % 200, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    sentences = spark.createDataFrame(list(licenses.SENTENCES.items()), "sentence string, id string")
+    rules = spark.createDataFrame([(i, licence, list(ids)) for i, (licence, ids) in enumerate(licenses.RULES)], "place long, licence string, ids array<string>")
+    for own in (df, docs, empty):
+        a, b = licenses.scan_licenses(own), licenses.scan_with_tables(own, sentences, rules)
+        assert a.columns == b.columns and rows(a, *a.columns) == rows(b, *b.columns)
+    assert len({r.licenses for r in licenses.scan_licenses(df).collect()}) > 30
+
+
+def test_licence_names_with_brackets(spark):
+    df = spark.createDataFrame([(1, "This text is under the odd licence.")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="may not hold"):
+        licenses.scan_licenses(df, sentences={"this text is under the odd licence": "a<b"}, rules=[("[x]", ("a<b",))])
+    own = spark.createDataFrame([("This text is under the odd licence", "a<b")], "sentence string, id string"), spark.createDataFrame([(0, "[x]", ["a<b"])], "place long, licence string, ids array<string>")
+    assert licenses.scan_with_tables(df, *own).first().licenses == "[x]"
+
+
+def test_more_licences(spark):
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation; either version {1} of the License, or (at your option) any later version."
+    texts = [gpl.format("", "3"), gpl.format("Lesser ", "2.1"), gpl.format("Affero ", "3"), "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy", "This is free and unencumbered software released into the public domain.\nAnyone"]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.licenses for r in got.orderBy("doc_id").collect()] == ["GPL-3.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-or-later", "MPL-2.0", "Unlicense"]
+
+
 def test_licenses(spark, docs, empty):
     mit = "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,\nand to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n"
     texts = ["x\nReleased under the MIT License.\ny", "Licensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0.", mit, "we talk about the MIT License and licensing", None]
