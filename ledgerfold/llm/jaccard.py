@@ -61,8 +61,9 @@ N, PERCENT = 5, 80
 PER_BIN, FINE = 4, 512
 #: Keys that a task sorts at once; how many of them make a key hot; classes of a
 #: group in one row; groups compared pair by pair at once; groups, and tiles of larger
-#: ones, that are compared in one task; ranges of the key space for each shuffle partition.
-KEYS_AT_ONCE, HOT, TILE, SMALL, LARGE, RANGES = 1 << 21, 64, 1024, 64, 4096, 4
+#: ones, that are compared in one task; ranges of the key space for each shuffle partition,
+#: and rows for each range, whichever makes more ranges: a range passes a task whole.
+KEYS_AT_ONCE, HOT, TILE, SMALL, LARGE, RANGES, RANGE_ROWS = 1 << 21, 64, 1024, 64, 4096, 4, 20_000
 _SEED = 0x9E3779B97F4A7C15
 
 
@@ -687,7 +688,7 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc
     spark = docs.sparkSession
     path = shared_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // RANGE_ROWS)
     met = materialize(_met(_dealt(rows, n, percent, ranges)), f"{path}/met")
     sets = met.where("n is not null").select("doc_id", "n", "cls", "hist")
     with scratch(spark) as tmp:

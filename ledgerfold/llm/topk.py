@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .vectors import matrices, usable
 
-#: Queries and rows of a block, blocks of a shelf, rows that give the first floors.
-QUERY_BLOCK, ROW_BLOCK, SHELF, SEEDS = 256, 1024, 64, 2048
+#: Queries and rows of a block, blocks of a shelf and components in it at most, rows that give the first floors.
+QUERY_BLOCK, ROW_BLOCK, SHELF, SHELF_COMPONENTS, SEEDS = 256, 1024, 64, 1 << 22, 2048
 LEVELS = (1, 4, 16)
 #: Share of a block's pairs under which single pairs are cheaper than the product of the block.
 FEW = 0.1
@@ -171,7 +171,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
         ids = np.frombuffer(r.ids, "<i8")
         seeds.setdefault(r.dim, (ids, _matrix(r.data, len(ids), r.dim)))
     asked = materialize(blocks(rows.where(is_query).coalesce(1 + rows.rdd.getNumPartitions() // 16), QUERY_BLOCK, scale, k, seeds))
-    shelves = held.groupBy(F.col("dim").alias("of")).agg(F.ceil(F.count(F.lit(1)) / SHELF).cast("int").alias("shelves"))
+    fits = F.greatest(F.lit(1), F.least(F.lit(SHELF), F.floor(F.lit(SHELF_COMPONENTS) / ROW_BLOCK / F.col("of"))))
+    shelves = held.groupBy(F.col("dim").alias("of")).agg(F.count(F.lit(1)).alias("n")).select("of", F.ceil(F.col("n") / fits).cast("int").alias("shelves"))
     placed = held.join(F.broadcast(shelves), F.col("dim") == F.col("of"))  # a row for each length
     there = placed.select("dim", F.pmod(F.xxhash64("block"), F.col("shelves")).cast("int").alias("shelf"), F.lit(0).alias("kind"), "ids", "data", "stats", "floors")
     ask = asked.join(F.broadcast(shelves), F.col("dim") == F.col("of"))
