@@ -25,18 +25,18 @@ def _text(*parts: str | Column) -> Column:
 
 @query("""select c_custkey, (c_custkey % 300)::int as session, make_date((2018 + c_custkey % 7 + 1)::int, (c_custkey % 12 + 1)::int, (c_custkey % 28 + 1)::int)::varchar as date, c_custkey::int as number,
  '甲党' || c_custkey % 9 as party, '予算案' || c_custkey as motion, case c_custkey % 3 when 0 then 'yes' when 1 then 'no' else 'abstain' end as option,
- '山田' || c_custkey as name_key, '山 田' || c_custkey as display from customer""")
+ '岸本' || c_custkey as name_key, '岸 本' || c_custkey as display from customer""")
 def heading_columns(spark, sf):
     """Session, date, number, party, motion and option of headings and cells in their usual spelling."""
     c = F.col("c_custkey")
     full = lambda x: F.translate(x.cast("string"), C.DIGITS, C.FULL_DIGITS)
     heading = F.concat(F.lit("第"), full(c % 300), F.lit("回国会　令和"), full(c % 7 + 1), F.lit("年"), (c % 12 + 1).cast("string"), F.lit("月"), full(c % 28 + 1), F.lit("日"))
     cells = [F.when(c % 3 == i, word).otherwise("") for i, word in ((0, "賛成"), (1, "反対"))]
-    name = _text("山　田", "=c_custkey", F.when(c % 2 == 0, "君").otherwise("さん"))
+    name = _text("岸　本", "=c_custkey", F.when(c % 2 == 0, "君").otherwise("さん"))
     return _t(spark, sf, "customer").select(
         "c_custkey", C.heading_session(heading).alias("session"), C.heading_date(heading).cast("string").alias("date"), C.heading_number(F.concat(F.lit("議席 "), full(c), F.lit("名"))).alias("number"),
-        C.group_heading(F.concat(F.lit(" 甲党"), (c % 9).cast("string"), F.lit("（"), full(c % 40), F.lit("名）"))).alias("party"), C.motion_of_title(_text("予算案", "=c_custkey", "：本会議投票結果")).alias("motion"),
-        C.vote_option(*cells).alias("option"), C.name_key(name).alias("name_key"), C.one_space(_text("  山　田", "=c_custkey", " \n")).alias("display"),
+        C.group_heading(F.concat(F.lit(" 甲党"), (c % 9).cast("string"), F.lit("（"), full(c % 40), F.lit("名）"))).alias("party"), C.motion_of_title(_text("予算案", "=c_custkey", "：採決の結果")).alias("motion"),
+        C.vote_option(*cells).alias("option"), C.name_key(name).alias("name_key"), C.one_space(_text("  岸　本", "=c_custkey", " \n")).alias("display"),
     )
 
 
@@ -124,9 +124,9 @@ def updated_laws_window(spark, sf):
     return payloads.updated_laws(days.select("day", payload.alias("payload")), "1995-03-01", "1996-09-01")
 
 
-@query("select distinct c_custkey || '-0407-v' || lpad((c_custkey % 50)::varchar, 3, '0') as slug from customer")
+@query("select distinct c_custkey || '-1109-v' || lpad((c_custkey % 50)::varchar, 3, '0') as slug from customer")
 def vote_slugs(spark, sf):
-    slug = F.concat(F.col("k"), F.lit("-0407-v"), F.lpad((F.col("c_custkey") % 50).cast("string"), 3, "0"))
+    slug = F.concat(F.col("k"), F.lit("-1109-v"), F.lpad((F.col("c_custkey") % 50).cast("string"), 3, "0"))
     html = F.concat(F.lit('<a href="vote/'), slug, F.lit('.htm">a</a><a href="'), slug, F.lit('.htm">b</a><a href="index.htm">c</a>'))
     return payloads.vote_slugs(_customers(spark, sf).select(html.alias("html")))
 
@@ -138,35 +138,35 @@ def _log_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events, made.select("content_hash", "payload").dropDuplicates(["content_hash"])
 
 
-@query("""with v as (select c_custkey, c_custkey || '-0407-v001' as id from customer)
- select id as vote_event_id, '山田' || c_custkey as name_key, 'yes' as option, '甲党' as parliamentary_group from v union all
+@query("""with v as (select c_custkey, c_custkey || '-1109-v001' as id from customer)
+ select id as vote_event_id, '岸本' || c_custkey as name_key, 'yes' as option, '甲党' as parliamentary_group from v union all
  select id, '佐藤' || c_custkey, 'no', '甲党' from v union all select id, '鈴木' || c_custkey, 'abstain', '乙党' from v""")
 def roll_call_votes(spark, sf):
     """Votes of pages whose party headings carry on to the rows below them."""
     row = lambda a, b, name: f"<tr><td>{a}</td><td>{b}</td><td>{name}"
     page = _text(
-        "<title>予算案：結果</title><h2>第221回国会 令和8年4月7日</h2><h4>甲党（２名）</h4>", row("賛成", "", "山田　"), "=k", "君</td></tr>", row("", "反対", "佐藤"), "=k",
+        "<title>予算案：採決</title><h2>第198回国会 令和3年11月9日</h2><h4>甲党（２名）</h4>", row("賛成", "", "岸本　"), "=k", "君</td></tr>", row("", "反対", "佐藤"), "=k",
         "</td></tr><h4>乙党(1名)</h4>", row("", "", "鈴木"), "=k", "</td></tr>",
     )
-    rows = _customers(spark, sf).select(_text("sangiin-vote:", "=k", "-0407-v001").alias("stream_id"), (F.col("c_custkey") + 1).alias("seq"), page.alias("payload"))
+    rows = _customers(spark, sf).select(_text("sangiin-vote:", "=k", "-1109-v001").alias("stream_id"), (F.col("c_custkey") + 1).alias("seq"), page.alias("payload"))
     return readmodels.roll_calls(*_log_of(rows))["vote"].select("vote_event_id", "name_key", "option", "parliamentary_group")
 
 
-@query("""select c_custkey || '-0407-v001' as vote_event_id, '予算案' || c_custkey as motion, 221::int as session, '2026-04-07' as vote_date, (c_custkey % 90 + 1)::int as yes_count, (c_custkey % 40)::int as no_count from customer""")
+@query("""select c_custkey || '-1109-v001' as vote_event_id, '予算案' || c_custkey as motion, 198::int as session, '2021-11-09' as vote_date, (c_custkey % 90 + 1)::int as yes_count, (c_custkey % 40)::int as no_count from customer""")
 def roll_call_events(spark, sf):
     c = F.col("c_custkey")
-    page = _text("<title>予算案", "=k", "：結果</title><h2>第221回国会 令和8年4月7日</h2><h3>賛成票 ", c % 90 + 1, " 反対票 ", c % 40, "</h3>")
-    rows = _customers(spark, sf).select(_text("sangiin-vote:", "=k", "-0407-v001").alias("stream_id"), (c + 1).alias("seq"), page.alias("payload"))
+    page = _text("<title>予算案", "=k", "：結果</title><h2>第198回国会 令和3年11月9日</h2><h3>賛成票 ", c % 90 + 1, " 反対票 ", c % 40, "</h3>")
+    rows = _customers(spark, sf).select(_text("sangiin-vote:", "=k", "-1109-v001").alias("stream_id"), (c + 1).alias("seq"), page.alias("payload"))
     found = readmodels.roll_calls(*_log_of(rows))["event"]
     return found.select("vote_event_id", "motion", "session", F.col("vote_date").cast("string").alias("vote_date"), "yes_count", "no_count")
 
 
-@query("""select '山田' || c_custkey as name_key, 'representatives' as house, ((c_custkey % 47 + 1) * 100 + 1)::varchar as district_code, '甲党' as parliamentary_group, 'high' as identity_confidence from customer union all
+@query("""select '岸本' || c_custkey as name_key, 'representatives' as house, ((c_custkey % 47 + 1) * 100 + 1)::varchar as district_code, '甲党' as parliamentary_group, 'high' as identity_confidence from customer union all
  select '鈴木' || c_custkey, 'councillors', (c_custkey % 47 + 1)::varchar, '乙党', 'medium' from customer""")
 def roster_pages(spark, sf):
     """Seats of both houses' member pages: markup left open, header cells, rows that are none."""
     name = F.element_at(F.array(*map(F.lit, C.PREFECTURES)), (F.col("c_custkey") % 47 + 1).cast("int"))
-    lower = F.concat(_text("<table><TR><TD>山田　", "=k", "君<TD>やまだ<TD>甲党<TD>"), name, F.lit("１<TD>2</TR><TR><TD>x</TR></table>"))
+    lower = F.concat(_text("<table><TR><TD>岸本　", "=k", "君<TD>きしもと<TD>甲党<TD>"), name, F.lit("１<TD>2</TR><TR><TD>x</TR></table>"))
     upper = F.concat(_text("<tr><th>ア</th><td>鈴木", "=k", "</td><td></td><td>乙党</td><td>"), name, F.lit("</td></tr><tr><td>x</td><td>y</td><td>z</td><td>どこ</td></tr>"))
     rows = _customers(spark, sf)
     pages = [rows.select(_text(f"{s}-roster:", "=k").alias("stream_id"), (F.col("c_custkey") + 1).alias("seq"), p.alias("payload")) for s, p in (("giin", lower), ("sangiin", upper))]
@@ -179,7 +179,7 @@ def _meetings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     speech = F.struct(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("speechID"), F.col("turn").cast("int").alias("speechOrder"), F.col("role").alias("speaker"), F.lit("").alias("speakerYomi"), _text("党", F.col("conv_id") % 4).alias("speakerGroup"), F.coalesce("text", F.lit("")).alias("speech"),
     )
-    one = F.struct(F.col("conv_id").cast("string").alias("issueID"), (F.col("conv_id") % 5 + 1).cast("int").alias("session"), F.lit("衆議院").alias("nameOfHouse"), F.lit("2026-04-07").alias("date"), F.col("speeches").alias("speechRecord"))
+    one = F.struct(F.col("conv_id").cast("string").alias("issueID"), (F.col("conv_id") % 5 + 1).cast("int").alias("session"), F.lit("衆議院").alias("nameOfHouse"), F.lit("2021-11-09").alias("date"), F.col("speeches").alias("speechRecord"))
     held = talk.groupBy("conv_id").agg(F.collect_list(speech).alias("speeches"))
     return _log_of(held.select(_text("kokkai:", "=conv_id").alias("stream_id"), (F.col("conv_id") + 1).alias("seq"), F.to_json(F.struct(F.array(one).alias("meetingRecord"))).alias("payload")))
 
@@ -190,7 +190,7 @@ def minutes_speeches(spark, sf):
     return found.select("issue_id", "speech_id", "speech_order", F.coalesce("speaker", F.lit("")).alias("speaker"), "text")
 
 
-@query("select conv_id::varchar as issue_id, (conv_id % 5 + 1)::int as session, '衆議院' as house, '2026-04-07' as date from (select distinct conv_id from conversations)")
+@query("select conv_id::varchar as issue_id, (conv_id % 5 + 1)::int as session, '衆議院' as house, '2021-11-09' as date from (select distinct conv_id from conversations)")
 def minutes_meetings(spark, sf):
     found = readmodels.minutes(*_meetings(spark, sf))["meeting"]
     return found.select("issue_id", "session", "house", F.col("date").cast("string").alias("date"))

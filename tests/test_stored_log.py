@@ -52,15 +52,15 @@ def packed(text):
 
 
 LAW = '<Law><LawNum>1</LawNum><LawBody><LawTitle>法</LawTitle><MainProvision><Article Num="1"><Paragraph Num="1"><ParagraphSentence><Sentence>{0}</Sentence></ParagraphSentence></Paragraph></Article></MainProvision></LawBody></Law>'
-MEETING = json.dumps({"meetingRecord": [{"issueID": "M", "session": 1, "date": "2026-04-07", "speechRecord": [{"speechID": "s", "speechOrder": 1, "speaker": "山田君", "speech": "x"}]}]})
-ROW = "<tr><td>山田太郎君</td><td>やまだ</td><td>甲党</td><td>{0}</td><td>1</td></tr>"
-PAGE = "<title>予算案：結果</title><h4>甲党（1名）</h4><tr><td>賛成</td><td></td><td>山田</td></tr>"
+MEETING = json.dumps({"meetingRecord": [{"issueID": "M", "session": 1, "date": "2021-11-09", "speechRecord": [{"speechID": "s", "speechOrder": 1, "speaker": "岸本君", "speech": "x"}]}]})
+ROW = "<tr><td>岸本実君</td><td>きしもと</td><td>甲党</td><td>{0}</td><td>1</td></tr>"
+PAGE = "<title>予算案：採決</title><h4>甲党（1名）</h4><tr><td>賛成</td><td></td><td>岸本</td></tr>"
 
 
 @pytest.mark.parametrize("pack", [packed, lambda t: bytearray(t.encode())])
 def test_models_read_what_is_stored(spark, pack):
     """All five models from UTF-8 payloads, gzip or plain, and one damaged payload among them."""
-    contents = [("kokkai:M", MEETING), ("egov-law:L", LAW.format("旧")), ("egov-law:L", LAW.format("新")), ("giin-roster:1", ROW.format("栃木３")), ("sangiin-roster:1", ROW.format("東京").replace("山田太郎", "佐藤花")), ("sangiin-vote:221-0407-v001", PAGE)]
+    contents = [("kokkai:M", MEETING), ("egov-law:L", LAW.format("旧")), ("egov-law:L", LAW.format("新")), ("giin-roster:1", ROW.format("栃木３")), ("sangiin-roster:1", ROW.format("東京").replace("岸本実", "佐藤花")), ("sangiin-vote:198-1109-v001", PAGE)]
     rows = [(i, s, i, f"h{i}", pack(t)) for i, (s, t) in enumerate(contents, 1)] + [(7, "kokkai:N", 1, "h7", bytearray(b"\x1f\x8b\x08broken")), (8, "sangiin-vote:x", 1, "h8", bytearray(b"\x1f\x8b"))]
     df = spark.createDataFrame(rows, "seq long, stream_id string, stream_seq long, content_hash string, payload binary")
     events, blobs = df.drop("payload"), df.select("content_hash", "payload")
@@ -68,9 +68,9 @@ def test_models_read_what_is_stored(spark, pack):
     assert minutes["meeting"].count() == 1 and minutes["speech"].first().text == "x" and minutes["person"].count() == 1
     assert [r.title for r in readmodels.laws(events, blobs)["legislative_work"].collect()] == ["法"]
     assert [(r.change_id, r.classification, r.class_confidence) for r in readmodels.changes(events, blobs).collect()] == [(3, "substantive", "high")]
-    assert {(r.name_key, r.house, r.district_code) for r in readmodels.rosters(events, blobs).collect()} == {("山田太郎", "representatives", "903"), ("佐藤花", "councillors", "13")}
+    assert {(r.name_key, r.house, r.district_code) for r in readmodels.rosters(events, blobs).collect()} == {("岸本実", "representatives", "903"), ("佐藤花", "councillors", "13")}
     votes = readmodels.roll_calls(events, blobs)["vote"].collect()
-    assert [(r.name_key, r.option, r.parliamentary_group) for r in votes] == [("山田", "yes", "甲党")]
+    assert [(r.name_key, r.option, r.parliamentary_group) for r in votes] == [("岸本", "yes", "甲党")]
 
 
 def test_text_of_payloads():
