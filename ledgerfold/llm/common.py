@@ -79,6 +79,21 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within the block Spark deletes what an execution has shuffled as soon as it ends,
+    not when the driver's collector comes by. For steps that each write a table."""
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, before)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """``name``, longer if ``df`` has such a column already, in any case of letters."""
     taken = {c.lower() for c in df.columns}
