@@ -42,12 +42,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import middle
 from .bpe import small_batches
 from .chunks import LISTS, expand, squeeze
-from .common import discard, fresh_name, materialize, scratch, shared_dir, shuffles_removed
+from .common import fresh_name, materialize, scratch, shared_dir, shuffles_removed
 from .common import mix64 as _mix
 
-SAMPLE_DOCS = 10_000
 MIN_COUNT = 2
 QUANTILE = 0.999
 MARGIN = 0.4
@@ -208,16 +208,24 @@ class _Places:
 def fit_words(sample: DataFrame, min_count: int = MIN_COUNT, folder: str | None = None) -> tuple[np.ndarray, list[int]]:
     """Sorted ids of the known words, and the number of words of each make that are rarer.
     They are bounded by the sample: at most its words by ``min_count``."""
+    return vocabulary(counted_words(sample, folder), min_count)
+
+
+def vocabulary(counted: DataFrame, min_count: int = MIN_COUNT) -> tuple[np.ndarray, list[int]]:
+    known = counted.where(F.col("n") >= min_count).select("word").toArrow().column("word")
+    rare = {r[0]: r[1] for r in counted.where(F.col("n") < min_count).groupBy(F.col("word").bitwiseAND(7)).count().collect()}
+    return np.sort(np.asarray(known.combine_chunks(), np.int64)), [rare.get(i, 0) for i in range(len(UNKNOWN))]
+
+
+def counted_words(sample: DataFrame, folder: str | None = None) -> DataFrame:
+    """``word, n``: ids of all words of the sample and how often it has them."""
 
     def run(batches):
         for b in small_batches(batches, 1024):
             counted = Counter(w for t in b.column(0).to_pylist() for w in words(t))
             yield pa.RecordBatch.from_arrays([pa.array(map(word_id, counted), pa.int64()), pa.array(counted.values(), pa.int64())], ["word", "n"])
 
-    counted = materialize(sample.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), folder and f"{folder}/words")
-    known = counted.where(F.col("n") >= min_count).select("word").toArrow().column("word")
-    rare = {r[0]: r[1] for r in counted.where(F.col("n") < min_count).groupBy(F.col("word").bitwiseAND(7)).count().collect()}
-    return np.sort(np.asarray(known.combine_chunks(), np.int64)), [rare.get(i, 0) for i in range(len(UNKNOWN))]
+    return materialize(sample.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), folder and f"{folder}/words")
 
 
 def _discounts(n1: float, n2: float, n3: float, n4: float) -> list[float]:
@@ -569,7 +577,6 @@ def classify(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    sample_docs: int = SAMPLE_DOCS,
     quantile: float = QUANTILE,
     margin: float = MARGIN,
 ) -> DataFrame:
@@ -584,24 +591,24 @@ def classify(
     if every label it has says so.
     """
     with shuffles_removed(docs.sparkSession), scratch(docs.sparkSession) as folder:
-        scored = _scored(folder, docs, labels, id_col, text_col, lang_col, sample_docs)
+        scored = _scored(folder, docs, labels, id_col, text_col, lang_col)
     return _judged(scored, quantile, margin)
 
 
-def _scored(folder: str, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int) -> DataFrame:
+def _scored(folder: str, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """``doc_id, lang, n_tokens, total, trusted`` (held out, with a known good label)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("trusted"))
     held_out = F.pmod(F.xxhash64("trusted", F.lit("held out")), F.lit(4)) == 0
-    chosen = trusted.where(~held_out).orderBy(F.xxhash64("trusted"), "trusted").limit(sample_docs)
-    # at most ``sample_docs`` ids, so they can go to every task
+    fitted = trusted.where(~held_out)
     spark = docs.sparkSession
-    with scratch(spark) as only:  # the sample goes once the model stands
-        sample = materialize(rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("trusted"), "left_semi"), f"{only}/sample")
-        known, rare = fit_words(sample, folder=only)
-        model = fit(sample, known, rare, folder)
-    sums = totals(rows, model, known)
-    discard(spark, f"{folder}/trigrams")  # all that reads the model has been written
+    with scratch(spark) as only:  # the fitted texts go once the model stands
+        sample = materialize(rows.join(fitted, F.col("doc_id") == F.col("trusted"), "left_semi").select("text"), f"{only}/sample")
+        counted = counted_words(sample, only)
+        known, rare = vocabulary(counted)
+        spread = middle.spread_of(counted, known, sample.count(), middle.parts_of(spark), MIN_COUNT)
+        model = middle.fit(sample, known, rare, spread, folder)
+    sums = middle.totals(rows, model)
     langs = docs.groupBy(F.col(id_col).cast("long").alias("of")).agg(F.min(lang_col).alias("lang"))
     return materialize(
         sums.join(langs, F.col("doc_id").eqNullSafe(F.col("of")), "left")

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import bpe, licenses, mixing, pii, quality, token_counts, token_files
+from ledgerfold.llm import bpe, licenses, middle, mixing, pii, quality, token_counts, token_files
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 
@@ -369,6 +369,44 @@ def test_quality_equals_plain_kneser_ney(spark, docs):
     assert [got[i].total for i, _ in other] == pytest.approx(list(sums), rel=1e-5, abs=1e-5)
 
 
+def test_quality_in_parts_equals_plain_kneser_ney(spark, docs, tmp_path):
+    """By the middle word, and with frequent words in several parts, in one round and in more."""
+    rng = random.Random(19)
+    vocabulary = [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 60))) for _ in range(80)] + [None, "", "w1 w1 w1 w1 w1", "Ab cd, XY a-b a1 ## a b a b a b", "p q r p q r p q r"]
+    bits, _, _ = plain_model(texts)
+    sample = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counted = quality.counted_words(sample)
+    known, rare = quality.vocabulary(counted)
+    other = [(i, t) for i, t in enumerate([*texts, "never seen at all", "w1 unseen w1 w2 w1 w2", "w2 w3 " * 4000])] + [(1000 + r.doc_id, r.text) for r in docs.where("doc_id < 13").collect()]
+    rows = spark.createDataFrame(other, "doc_id long, text string").repartition(4)
+    measured = middle.spread_of(counted, known, len(texts), 4, quality.MIN_COUNT)
+    assert len(measured) > 1 and max(measured.values()) > 1
+    for i, (spread, rounds) in enumerate((({}, 1), (measured, 3), ({t: 3 for t in range(1, 60)}, 2))):
+        model = middle.fit(sample, known, rare, spread, f"file://{tmp_path}/{i}")
+        got = {r.doc_id: r for r in middle.totals(rows, model, rounds).collect()}
+        assert len(got) == len(other)
+        for i, t in other:
+            assert got[i].n_tokens == len((t or "").split()) and got[i].total == pytest.approx(bits(t), rel=1e-5, abs=1e-4)
+
+
+def test_quality_is_fitted_on_all_trusted_documents(spark):
+    rng = random.Random(23)
+    texts = [" ".join(f"x{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(3, 7))) for _ in range(14_500)]
+    docs = spark.createDataFrame([(i, t, "aa") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    held = {r[0] for r in labels.where(F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(4)) == 0).collect()}
+    fitted = [t for i, t in enumerate(texts) if i not in held]
+    assert len(fitted) > 10_000
+    bits, _, _ = plain_model(fitted)
+    total = [bits(t) for t in texts]
+    n = [len(t.split()) for t in texts]
+    mean = sum(total[i] for i in held) / sum(n[i] for i in held)
+    want = [(x + quality.PRIOR_TOKENS * mean) / (k + quality.PRIOR_TOKENS) for x, k in zip(total, n, strict=True)]
+    got = {r.doc_id: r.surprise for r in quality.classify(docs, labels).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-5)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
 def test_places_of_keys(n):
     rng = np.random.default_rng(n)
