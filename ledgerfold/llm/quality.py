@@ -10,19 +10,15 @@ further repeat is a full surprise.
 
 A quarter of the trusted documents, by the hash of their ids, is held out: the limits
 are quantiles of their scores, which the model has not been fitted to. It is fitted on
-at most ``sample_docs`` of the others, in hash order of their ids. All counts of it are
-tables, sharded by n-gram.
+all others (``middle``: counted and asked in parts, by the middle word).
 
+For tables of n-grams there is the model as a table (``fit``, ``surprise``, ``totals``).
 The surprise of a word whose trigram the model has not seen is that of its context and
-of its bigram, and so on down: log(left) + log(lower). So each word of the corpus asks
-for one seen n-gram, or for contexts and a shorter one. A bit filter of fixed size,
-made from the model, tells what cannot have been seen; what passes by mistake is taken
-apart when its join finds nothing. The FREQUENT most frequent n-grams of the model go
-to every task, which prices them where they stand; what the corpus sends to the count
-shards are the other n-grams that the model may know, once for each chunk of documents
-that has them, and the documents' sums are made from their own frequencies. Both the
-chunks' dictionaries and the shards travel as packed lists, dealt by n-gram: a list meets
-the shard of its part and goes back as a list of values.
+of its bigram, and so on down: log(left) + log(lower). So each word asks for one seen
+n-gram, or for contexts and a shorter one. A bit filter of fixed size, made from the
+model, tells what cannot have been seen; what passes by mistake is taken apart when its
+join finds nothing. The FREQUENT most frequent n-grams go to every task; the others meet
+the model's shards in packed lists dealt by n-gram, once for each chunk of documents.
 
 A document's score is its mean surprise in bits, drawn towards its language's mean as
 far as it is short; it is kept up to a quantile of the held-out scores of its language.
@@ -73,17 +69,23 @@ def words(text: str | None) -> list[str]:
 def make(word: str) -> int:
     """Small letters 0, a capital before them 1, capitals 2, with digits 3, other 4; one
     mark at the end, hyphens and apostrophes do not count."""
+    if word.isalpha():  # most words
+        return _cased(word)
     core = word.rstrip(".,;:!?")
     letters = core.replace("'", "").replace("’", "").replace("-", "")
     if len(word) - len(core) > 1 or not letters:
         return 4
     if letters.isalpha():
-        if letters == letters.lower():
-            return 0
-        return 1 if letters[1:] == letters[1:].lower() else 2 if letters == letters.upper() else 4
+        return _cased(letters)
     return 3 if any(c.isdigit() for c in letters) and letters.isalnum() else 4
 
 
+def _cased(letters: str) -> int:
+    if letters == letters.lower():
+        return 0
+    return 1 if letters[1:] == letters[1:].lower() else 2 if letters == letters.upper() else 4
+
+
 def word_id(word: str) -> int:
     """63 bits that stand for a word, the last three for its make."""
     return max(xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) >> 1, 16) & ~7 | make(word)
@@ -97,20 +99,29 @@ class _Tokens(dict):
         self.known = known
 
     def __missing__(self, word: str) -> int:
-        own = word_id(word)
-        at = int(np.searchsorted(self.known, own))
-        token = WORD + at if at < len(self.known) and self.known[at] == own else UNKNOWN[0] + (own & 7)
-        got = (own >> 3 & 0x7FFFFFFF) << 32 | token
-        if len(word) <= 64:
-            if len(self) > 200_000:
-                self.clear()
-            self[word] = got
-        return got
+        return int(self._found([word])[0])  # long ones, which are not kept
+
+    def _found(self, new: list[str]) -> np.ndarray:
+        own = np.fromiter(map(word_id, new), np.int64, len(new))
+        at = np.searchsorted(self.known, own)
+        there = np.zeros(len(new), bool)
+        if len(self.known):
+            there = self.known[np.minimum(at, len(self.known) - 1)] == own
+        return (own >> 3 & 0x7FFFFFFF) << 32 | np.where(there, WORD + at, UNKNOWN[0] + (own & 7))
+
+    def learn(self, found: list[list[str]]) -> None:
+        """All new words of some texts at once."""
+        if len(self) > 300_000:
+            self.clear()
+        new = [w for w in set().union(*found) if w not in self and len(w) <= 64]
+        self.update(zip(new, self._found(new).tolist(), strict=True))
 
 
 def _trigrams(tokens: _Tokens, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of all trigrams (two START before each text), the text of each, and words per text."""
-    found = [list(map(tokens.__getitem__, words(t))) for t in texts]
+    split = [words(t) for t in texts]
+    tokens.learn(split)
+    found = [list(map(tokens.__getitem__, x)) for x in split]
     n = np.array([len(f) for f in found], np.int64)
     raw = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))
     whose = np.repeat(np.arange(len(texts)), n)
@@ -602,8 +613,8 @@ def _scored(folder: str, docs: DataFrame, labels: DataFrame, id_col: str, text_c
     held_out = F.pmod(F.xxhash64("trusted", F.lit("held out")), F.lit(4)) == 0
     fitted = trusted.where(~held_out)
     spark = docs.sparkSession
-    with scratch(spark) as only:  # the fitted texts go once the model stands
-        sample = materialize(rows.join(fitted, F.col("doc_id") == F.col("trusted"), "left_semi").select("text"), f"{only}/sample")
+    with scratch(spark) as only:  # the fitted texts go once the model stands; their ids grow with the corpus, so they are sorted, not sent
+        sample = materialize(rows.join(fitted.hint("merge"), F.col("doc_id") == F.col("trusted"), "left_semi").select("text"), f"{only}/sample")
         counted = counted_words(sample, only)
         known, rare = vocabulary(counted)
         spread = middle.spread_of(counted, known, sample.count(), middle.parts_of(spark), MIN_COUNT)
