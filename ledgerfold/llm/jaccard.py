@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import small_batches
-from .common import components, fresh_name, materialize, scratch, shared_dir
+from .common import components, fresh_name, materialize, scratch, shared_dir, shuffles_removed
 from .common import mix64 as _mix
 from .vectors import sorted_groups
 
@@ -689,9 +689,10 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc
     path = shared_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranges = max(RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // RANGE_ROWS)
-    met = materialize(_met(_dealt(rows, n, percent, ranges)), f"{path}/met")
+    with shuffles_removed(spark):
+        met = materialize(_met(_dealt(rows, n, percent, ranges)), f"{path}/met")
     sets = met.where("n is not null").select("doc_id", "n", "cls", "hist")
-    with scratch(spark) as tmp:
+    with shuffles_removed(spark), scratch(spark) as tmp:
         classes = materialize(
             sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("hist").alias("hist")), f"{tmp}/classes"
         )
