@@ -59,6 +59,8 @@ SENT_WORDS = 1 << 20
 #: repetition going on; unknown words by their make; known words from WORD on, by the order of their ids.
 NONE, START, SAME, RUN, UNKNOWN, WORD = -1, 1, 2, 3, (4, 5, 6, 7, 8), 16
 _SLICE = 1 << 16
+#: Steps of a bit that scores are counted by before they are put in order.
+STEPS = 1024
 
 
 def words(text: str | None) -> list[str]:
@@ -637,10 +639,10 @@ def _judged(scored: DataFrame, quantile: float, margin: float) -> DataFrame:
     drawn = scored.join(mean, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
     score = (F.col("total") + PRIOR_TOKENS * F.coalesce("mean", F.lit(overall))) / (F.col("n_tokens") + PRIOR_TOKENS)
     drawn = drawn.withColumn("score", score)
-    cut = F.percentile_approx("score", quantile, 100_000).alias("cut")
     sure = drawn.where("trusted and n_tokens > 0")
-    by_lang = sure.groupBy(F.col("lang").alias("of")).agg(cut, F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TRUSTED)
-    limit = F.coalesce(F.col("cut"), F.lit(sure.agg(cut).first()["cut"]).cast("double"), F.lit(float("inf"))) + margin
+    by_lang = quantiles(sure.select(F.col("lang").alias("of"), "score"), quantile).where(F.col("n") >= MIN_TRUSTED)
+    everywhere = quantiles(sure.select(F.lit(0).alias("of"), "score"), quantile).first()
+    limit = F.coalesce(F.col("cut"), F.lit(everywhere and everywhere["cut"]).cast("double"), F.lit(float("inf"))) + margin
     out = drawn.join(by_lang.select("of", "cut"), F.col("lang").eqNullSafe(F.col("of")), "left")
     some = F.col("n_tokens") > 0
     return out.select(
@@ -654,6 +656,22 @@ def _judged(scored: DataFrame, quantile: float, margin: float) -> DataFrame:
     )
 
 
+def quantiles(scores: DataFrame, quantile: float) -> DataFrame:
+    """``of, n, cut`` of ``of, score``: the number of scores of each group and, in their order,
+    the one at place ``ceil(quantile * n)``, exactly, however many there are. Places are
+    counted over steps of the score, then over the scores of the one step that holds it."""
+    step = F.floor(F.col("score") * STEPS)
+    before = lambda order: Window.partitionBy("of").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = scores.groupBy("of", step.alias("step")).agg(F.count(F.lit(1)).alias("m"))
+    counted = counted.select("*", F.coalesce(F.sum("m").over(before("step")), F.lit(0)).alias("below"), F.sum("m").over(Window.partitionBy("of")).alias("n"))
+    place = F.greatest(F.lit(1), F.ceil(F.col("n") * quantile)) - F.col("below")
+    hit = counted.withColumn("place", place).where("place > 0 and place <= m").select(F.col("of").alias("own"), F.col("step").alias("own_step"), "n", "place")
+    inside = scores.join(hit, F.col("of").eqNullSafe(F.col("own")) & (step == F.col("own_step")))
+    inside = inside.groupBy("of", "n", "place", "score").agg(F.count(F.lit(1)).alias("m"))
+    inside = inside.withColumn("below", F.coalesce(F.sum("m").over(before("score")), F.lit(0)))
+    return inside.where("below < place and place <= below + m").select("of", "n", F.col("score").alias("cut"))
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that ``classify`` keeps, with their columns. Rows that share an
     id stay or go together: they go if every one of them is rejected."""

@@ -444,6 +444,22 @@ def test_quality_limits_are_quantiles_of_held_out_scores(spark):
         assert r.limit == pytest.approx(limits[lang[i]], abs=1e-9) and r.kept == (r.surprise <= r.limit)
 
 
+def test_quality_limits_are_exact_however_many_scores(spark):
+    """More scores than a summary of them would tell apart, with ties and a language of one score."""
+    rng = np.random.default_rng(3)
+    scores = {"aa": rng.normal(9, 1.5, 400_000), "bb": np.repeat(rng.normal(9, 1, 700), 3), None: rng.normal(12, 2, 1000), "cc": np.full(60, 7.25), "dd": np.full(3, 5.0)}
+    rows = pd.DataFrame({"lang": [x for x, v in scores.items() for _ in v], "total": np.concatenate([*scores.values()])})
+    scored = spark.createDataFrame(rows).selectExpr("monotonically_increasing_id() as doc_id", "lang", "1000000000000L as n_tokens", "total * n_tokens as total", "true as trusted").repartition(7).cache()
+    for q in (0.0, 0.5, 0.999, 1.0):
+        drawn = quality._judged(scored, q, 0.0).select("lang", "surprise", "limit", "kept").toPandas()
+        every = np.sort(drawn.surprise.to_numpy())
+        for lang, v in scores.items():
+            own = drawn[drawn.lang.isna()] if lang is None else drawn[drawn.lang == lang]
+            among = np.sort(own.surprise.to_numpy()) if len(v) >= quality.MIN_TRUSTED else every
+            want = among[max(0, math.ceil(q * len(among)) - 1)]
+            assert len(own) == len(v) and set(own.limit) == {want} and (own.kept == (own.surprise <= want)).all()
+
+
 def test_quality_edges(docs, empty, spark):
     labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     got = quality.classify(docs, labels)
