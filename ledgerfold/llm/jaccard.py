@@ -17,10 +17,12 @@ Documents with equal sets are one class. Tasks sort the keys of many documents a
 once and deal them in packed ranges of the key space, so a key costs no row; what
 meets under a key is a group, and groups with the same classes are one. A key that
 is hot where it is made leaves there as groups of its own, and only a representative
-goes on to its range, so no task holds all of a hot key.
+goes on to its range, so no task holds all of a hot key. Keys are dealt in ROUNDS, a
+share of all keys in each, so no more than a share of them is on disk.
 
 Classes of a group are compared with its smallest class, and survivors of a sound
-size and histogram filter are verified on their whole sets. Groups that are not yet
+size and histogram filter (a rough one first, so few whole histograms move) are
+verified on their whole sets. Groups that are not yet
 in one component are compared pair by pair if they are small, else with their most
 central class.
 
@@ -43,7 +45,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import small_batches
-from .common import components, fresh_name, materialize, scratch, shared_dir, shuffles_removed
+from .common import components, discard, fresh_name, materialize, scratch, shared_dir, shuffles_removed
 from .common import mix64 as _mix
 from .vectors import sorted_groups
 
@@ -62,8 +64,8 @@ PER_BIN, FINE = 4, 512
 #: Keys that a task sorts at once; how many of them make a key hot; classes of a
 #: group in one row; groups compared pair by pair at once; groups, and tiles of larger
 #: ones, that are compared in one task; ranges of the key space for each shuffle partition,
-#: and rows for each range, whichever makes more ranges: a range passes a task whole.
-KEYS_AT_ONCE, HOT, TILE, SMALL, LARGE, RANGES, RANGE_ROWS = 1 << 21, 64, 1024, 64, 4096, 4, 20_000
+#: and rows for each range, whichever makes more ranges: a range passes a task whole; rounds of keys.
+KEYS_AT_ONCE, HOT, TILE, SMALL, LARGE, RANGES, RANGE_ROWS, ROUNDS = 1 << 21, 64, 1024, 64, 4096, 4, 20_000, 2
 _SEED = 0x9E3779B97F4A7C15
 
 
@@ -278,6 +280,12 @@ def folded(hist: bytes, size: int) -> np.ndarray:
     return np.frombuffer(hist, np.uint8).reshape(size, -1).sum(axis=1, dtype=np.int32)
 
 
+def rough_histogram(hist: bytes, n: int) -> bytes:
+    """A histogram with an eighth of the bins, of large sets a fourth: enough to part most
+    sets that share little. Counts stop at 255 here too."""
+    return np.minimum(folded(hist, max(1, len(hist) // (8 if n <= FINE else 4))), 255).astype(np.uint8).tobytes()
+
+
 def _stacked(hists: pa.Array, size: int, to: int) -> np.ndarray:
     """Histograms of ``size`` bins as rows of ``to`` bins."""
     raw = np.frombuffer(b"".join(hists.to_pylist()), np.uint8).reshape(len(hists), to, -1)
@@ -321,10 +329,10 @@ def _packed(k: np.ndarray, c: np.ndarray, f: np.ndarray, ranges: int) -> Iterato
         yield _batch(_DEALT, len(cuts), part=part[starts[at]].astype(np.int32), **packed)
 
 
-def _dealt(rows: DataFrame, n: int, percent: int, ranges: int) -> DataFrame:
-    """Rows of documents (``doc_id, n, cls, hist``), of packed keys (``keys, owners,
-    flags``) and of groups of hot keys (``key, tile, owners, flags``), each with the
-    range it goes to. A task indexes each class that it meets once."""
+def _dealt(rows: DataFrame, n: int, percent: int, ranges: int, turn: int, rounds: int) -> DataFrame:
+    """Rows of documents (``doc_id, n, cls, hist``; in the first round), of the round's
+    packed keys (``keys, owners, flags``) and of groups of hot keys (``key, tile, owners,
+    flags``), each with the range it goes to. A task indexes each class that it meets once."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -356,12 +364,15 @@ def _dealt(rows: DataFrame, n: int, percent: int, ranges: int) -> DataFrame:
         for b in small_batches(batches, 512):
             sets = hashed_all(b.column(1).to_pylist(), n)
             cls = [_class(h) for h in sets]
-            part = (docs + np.arange(len(sets))) % ranges
-            docs += len(sets)
-            yield _batch(_DEALT, len(sets), part=part.astype(np.int32), doc_id=b.column(0), n=[len(h) for h in sets], cls=cls, hist=[histogram(h) for h in sets])
+            if turn == 0:
+                part = (docs + np.arange(len(sets))) % ranges
+                docs += len(sets)
+                yield _batch(_DEALT, len(sets), part=part.astype(np.int32), doc_id=b.column(0), n=[len(h) for h in sets], cls=cls, hist=[histogram(h) for h in sets])
             new = {c: h for c, h in zip(cls, sets, strict=True) if c not in seen and len(h)}
             seen.update(new)
             k, d, owner = keys_of_all(list(new.values()), percent)
+            own = k.view(np.uint64) % np.uint64(rounds) == turn
+            k, d, owner = k[own], d[own], owner[own]
             held.append((k, np.array(list(new), np.int64)[owner], d.astype(np.uint8)))
             count += len(k)
             if count >= KEYS_AT_ONCE:
@@ -539,10 +550,10 @@ def may_link(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
     return int(np.abs(folded(a, size) - folded(b, size)).sum()) <= most_different(na, nb, percent)
 
 
-def _filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of classes that sizes and histograms allow."""
+def _filtered(pairs: DataFrame, sets: DataFrame, percent: int, hist: str = "hist") -> DataFrame:
+    """Pairs ``a, b`` of classes that sizes and histograms (``hist`` of ``sets``) allow."""
     for side in ("a", "b"):
-        own = sets.select(F.col("cls").alias(f"c_{side}"), F.col("n").alias(f"n_{side}"), F.col("hist").alias(f"h_{side}"))
+        own = sets.select(F.col("cls").alias(f"c_{side}"), F.col("n").alias(f"n_{side}"), F.col(hist).alias(f"h_{side}"))
         pairs = pairs.join(own, F.col(side) == F.col(f"c_{side}"))
 
     def run(batches):
@@ -560,6 +571,17 @@ def _filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "h_a", "h_b").mapInArrow(run, "a long, b long")
 
 
+def _with_rough(sets: DataFrame) -> DataFrame:
+    """``sets`` with a rough histogram beside ``hist``."""
+
+    def run(batches):
+        for b in batches:
+            found = [rough_histogram(h, n) for h, n in zip(b.column("hist").to_pylist(), b.column("n").to_pylist(), strict=True)]
+            yield b.append_column("rough", pa.array(found, pa.binary()))
+
+    return sets.mapInArrow(run, "cls long, first long, n long, hist binary, rough binary")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs whose texts link, by their whole sets of hashes."""
     for side in ("b", "a"):  # pairs come out by their first class, whose text is then hashed once
@@ -675,7 +697,7 @@ def _tiled(rest: DataFrame, large: int) -> DataFrame:
     return each.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "cls", "deleted", "label")
 
 
-def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
+def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE, rounds: int = ROUNDS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id.
 
     Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets
@@ -689,18 +711,20 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc
     path = shared_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranges = max(RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // RANGE_ROWS)
-    with shuffles_removed(spark):
-        met = materialize(_met(_dealt(rows, n, percent, ranges)), f"{path}/met")
-    sets = met.where("n is not null").select("doc_id", "n", "cls", "hist")
     with shuffles_removed(spark), scratch(spark) as tmp:
-        classes = materialize(
-            sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("hist").alias("hist")), f"{tmp}/classes"
-        )
-        groups = met.where("key is not null").select("key", "tile", "many", "s1", "s2", "n_whole", "members")
+        met = [materialize(_met(_dealt(rows, n, percent, ranges, i, rounds)), f"{tmp}/met{i}") for i in range(rounds)]
+        sets = met[0].where("n is not null")
+        classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("hist").alias("hist"))
+        classes = materialize(_with_rough(classes), f"{tmp}/classes")
+        sets = materialize(sets.select("doc_id", "n", "cls"), f"{path}/sets")
+        groups = reduce(DataFrame.union, met).where("key is not null").select("key", "tile", "many", "s1", "s2", "n_whole", "members")
         groups = materialize(groups.where("not many").dropDuplicates(["s1", "s2"]).union(groups.where("many")).drop("s1", "s2"), f"{tmp}/groups")
+        for i in range(rounds):
+            discard(spark, f"{tmp}/met{i}")
         stars = groups.where("n_whole > 0").select(F.element_at("members", 1).alias("hub"), F.explode("members").alias("cls")).where("cls <> hub")
         stars = stars.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-        near = materialize(_filtered(stars, classes, percent), f"{tmp}/near")
+        near = materialize(_filtered(stars, classes, percent, "rough"), f"{tmp}/roughly")
+        near = materialize(_filtered(near, classes, percent), f"{tmp}/near")
         texts = materialize(_texts(rows, classes, near, n), f"{tmp}/texts")
         labels = components(materialize(_verified(near, texts, n, percent), f"{tmp}/links"))
         members, far = _members(groups), None

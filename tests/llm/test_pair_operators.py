@@ -91,6 +91,42 @@ def test_jaccard_where_a_passage_is_in_all_texts(spark, large):
     assert {r.doc_id: r.component_id for r in jaccard.join(df, large=large).collect()} == component
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_jaccard_in_any_number_of_rounds(docs, rounds):
+    want = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()}
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs, rounds=rounds).collect()} == want
+
+
+def test_keys_of_the_rounds_are_all_keys_once(spark):
+    """Each round moves about its share of what one round moves, and documents move in the first."""
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.integers(0, 999, 120))) for i in range(150)], "doc_id long, text string")
+
+    def dealt(turn, rounds):
+        rows = jaccard._dealt(docs.repartition(1), 5, 80, 4, turn, rounds).collect()
+        keys = [k for r in rows if r.keys for k in np.frombuffer(r.keys, np.int64).tolist()]
+        return sorted(keys), sum(r.n is not None for r in rows), sum(len(r.keys) for r in rows if r.keys)
+
+    whole, some = dealt(0, 1), [dealt(i, jaccard.ROUNDS) for i in range(jaccard.ROUNDS)]
+    assert sorted(k for s in some for k in s[0]) == whole[0] and [s[1] for s in some] == [150] + [0] * (jaccard.ROUNDS - 1)
+    assert max(s[2] for s in some) < 0.6 * whole[2]
+
+
+def test_rough_histograms_part_no_linked_sets():
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 40, 300, 512, 513, 700, 3000):
+        far = jaccard.rough_histogram(jaccard.histogram(rng.integers(0, 1 << 64, n, np.uint64)), n)
+        for _ in range(20):
+            x = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+            y = np.unique(np.concatenate([x[rng.random(n) > 0.1 * rng.random()], rng.integers(0, 1 << 64, n // 9, np.uint64)]))
+            a, b = (jaccard.rough_histogram(jaccard.histogram(h), len(h)) for h in (x, y))
+            both = len(np.intersect1d(x, y))
+            if len(y) and 100 * both >= 80 * (len(x) + len(y) - both):
+                assert jaccard.may_link(a, b, len(x), len(y), 80)
+            if n in (300, 512, 700):
+                assert not jaccard.may_link(a, far, len(x), n, 80)
+
+
 def test_frequent_keys_are_skipped_within_their_bound():
     """Of linked sets that share skipped subsets only, those whose bound holds meet by a deletion."""
     rng = np.random.default_rng(5)
