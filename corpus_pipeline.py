@@ -46,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of the ids and of what they decode to."""
-    return bpe.round_trip(docs, _tokenizer(), with_ids=True)
+    return bpe.round_trip(docs, _tokenizer(), with_ids=True, keep_units=False)
 
 
 STAGES = [("quality", keep_good), ("near duplicates", keep_one), ("personal data", redact), ("mix", mix), ("encode", encode)]

@@ -165,9 +165,12 @@ class Encoder:
 
     def make_room(self) -> None:
         if self.cached > self.cache_bytes:
-            self.after_space.clear()
-            self.first.clear()
-            self.cached = 0
+            self.forget()
+
+    def forget(self) -> None:
+        self.after_space.clear()
+        self.first.clear()
+        self.cached = 0
 
     def segments(self, text: str) -> list[tuple[list[str], int | None]]:
         """Units of each stretch between special strings, with the id that ends it.
@@ -270,9 +273,10 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep_units: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids``:
-    encode, then decode the ids. Null texts count as empty; rows are independent."""
+    encode, then decode the ids. Null texts count as empty; rows are independent. Without
+    ``keep_units`` a worker's cache is emptied after each task, for what runs there next."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches):
@@ -289,6 +293,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 ],
                 names,
             )
+        if not keep_units:
+            enc.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(

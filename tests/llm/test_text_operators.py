@@ -2,11 +2,13 @@ import hashlib
 import math
 import random
 import re
+import shutil
 import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import public_tokenizers as P
 from hypothesis import given, settings
@@ -285,6 +287,19 @@ def test_mixed_rows_hold_what_is_taken(docs, empty):
     assert words == {r.doc_id: r.taken for r in mixing.mix(unique).collect() if r.taken} and mixing.mixed(empty).count() == 0
 
 
+def test_round_trip_leaves_no_units_in_workers(spark, docs, tmp_path):
+    path = shutil.copy(P.path("byte_bpe_50k.tiktoken"), tmp_path)  # no other test's workers know it
+    got = bpe.round_trip(docs, path, with_ids=True, keep_units=False).collect()
+    assert sorted(map(str, got)) == sorted(map(str, bpe.round_trip(docs, P.path("byte_bpe_50k.tiktoken"), with_ids=True).collect()))
+
+    def cached(batches):
+        for b in batches:
+            own = bpe.encoder(path)
+            yield pa.RecordBatch.from_arrays([pa.array([own.cached + len(own.first) + len(own.after_space)])], ["n"])
+
+    assert {r.n for r in spark.range(16).repartition(8).mapInArrow(cached, "n long").collect()} == {0}
+
+
 # --- quality -----------------------------------------------------------------
 
 
