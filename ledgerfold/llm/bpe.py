@@ -3,9 +3,9 @@
 The tokenizers library does the encoding. Its pre-tokens never cross a space that
 a non-space follows, so a text is cut there and each distinct unit of a worker is
 encoded once, in a cache that starts anew when it is full; long units are not kept.
-A unit is cut again at its line ends. Units of Latin letters
-and ASCII marks are two pre-tokens at most and go straight to the library's BPE
-model; all other units go through its whole pipeline, as do whole texts where the
+Before that it is cut at line ends between non-spaces. Units of Latin letters and ASCII
+marks are two pre-tokens at most, each looked up on its own, and go straight to the
+library's BPE model; all other units go through its whole pipeline, as do whole texts where the
 tokenizer is not known to cut at spaces.
 Decoding joins the bytes of the ids; characters that tokens split come together
 again in the bytes, and ``errors="replace"`` handles what stays incomplete.
@@ -99,7 +99,11 @@ class _Units(dict):
         self.encoder, self.lead = encoder, lead
 
     def __missing__(self, unit: str) -> bytes:
-        got = self.encoder.encode_unit(self.lead, unit)
+        plain = None if unit.isalpha() else _PLAIN.fullmatch(unit)
+        if plain and plain[2]:  # often the letters are known without these marks
+            got = self[plain[1]] + self.encoder.first[plain[2]]
+        else:
+            got = self.encoder.encode_unit(self.lead, unit)
         if len(unit) <= KEPT_CHARS:
             self[unit] = got
             self.encoder.cached += UNIT_BYTES + 2 * len(unit) + len(got)
@@ -175,18 +179,29 @@ class Encoder:
     def segments(self, text: str) -> list[tuple[list[str], int | None]]:
         """Units of each stretch between special strings, with the id that ends it.
         The first unit of a stretch stands alone, a space goes before each other."""
+        return [(self.units(p), number) for p, number in self._stretches(text)]
+
+    def _stretches(self, text: str) -> list[tuple[str, int | None]]:
         out = []
         rest = text
         for special, number in self.specials.items():
             if special in rest:
                 *parts, rest = rest.split(special)
-                out += [(self.units(p), number) for p in parts]
-        return [*out, (self.units(rest), None)]
+                out += [(p, number) for p in parts]
+        return [*out, (rest, None)]
 
     @staticmethod
     def units(text: str) -> list[str]:
         return _CUT.split(text) if _UNSURE.search(text) else text.split(" ")
 
+    @staticmethod
+    def lines(text: str) -> list[str]:
+        """The text cut at line ends between non-spaces."""
+        found = text.split("\n")
+        if all(x and not (x[0].isspace() or x[-1].isspace()) for x in found):
+            return found
+        return _LINE_END.split(text)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.cut:
             whole = (self.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts)
@@ -195,12 +210,14 @@ class Encoder:
         for text in texts:
             self.make_room()
             parts = []
-            for units, number in self.segments(text or ""):
-                if units[0]:
-                    parts.append(self.first[units[0]])
-                parts += map(self.after_space.__getitem__, units[1:])
-                if number is not None:
-                    parts.append(array("I", [number]).tobytes())
+            for stretch, number in self._stretches(text or ""):
+                for line in self.lines(stretch):
+                    head, *units = self.units(line)
+                    if head:
+                        parts.append(self.first[head])
+                    parts += map(self.after_space.__getitem__, units)
+                    parts.append(self.line_end)
+                parts[-1] = b"" if number is None else pack([number])
             out.append(b"".join(parts))
         return out
 

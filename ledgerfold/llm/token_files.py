@@ -34,6 +34,16 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(x.astype(np.float64) + 1)).astype(np.uint8)
 
 
+def _mask(bits: np.ndarray) -> np.ndarray:
+    return ((np.uint64(1) << bits) - np.uint64(1)).astype(np.uint32)
+
+
+def _places(starts: np.ndarray, bits: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit in it where each of a block's ``size`` values begins."""
+    at = starts.astype(np.uint64)[:, None] * np.uint64(64) + bits * np.arange(size, dtype=np.uint64)
+    return (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+
+
 def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     n, blocks = len(ids), -(-len(ids) // BLOCK)
     v = np.zeros(blocks * BLOCK, np.uint32)
@@ -51,17 +61,15 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     exc_start = np.concatenate([[0], np.cumsum(wide.sum(axis=1))]).astype("<u4")
     starts = np.concatenate([[0], np.cumsum(width.astype(np.int64) * (BLOCK // 64))]).astype("<u4")
     words = np.zeros(int(starts[-1]), np.uint64)
-    for w in map(int, np.unique(width)):
-        if w:
-            own = np.nonzero(width == w)[0]
-            low = np.ascontiguousarray((v[own] & np.uint32((1 << w) - 1)).T.astype(np.uint64))
-            out = np.zeros((w * (BLOCK // 64), len(own)), np.uint64)
-            for j in range(BLOCK):
-                i, shift = divmod(j * w, 64)
-                out[i] |= low[j] << np.uint64(shift)
-                if shift + w > 64:
-                    out[i + 1] |= low[j] >> np.uint64(64 - shift)
-            words[starts[own][:, None] + np.arange(out.shape[0])] = out.T
+    own = np.nonzero(width)[0]
+    if len(own):
+        bits = width[own].astype(np.uint64)[:, None]
+        low = (v[own] & _mask(bits)).astype(np.uint64)
+        word, shift = _places(starts[own], bits, BLOCK)
+        first = np.flatnonzero(np.diff(word.ravel(), prepend=-1))  # of the values that begin in a word
+        words[word.ravel()[first]] = np.bitwise_or.reduceat((low << shift).ravel(), first)
+        over = np.nonzero(shift + bits > 64)  # one value at most goes on in a word
+        words[word[over] + 1] |= low[over] >> (np.uint64(64) - shift[over])
     head = np.array([BLOCK, blocks, len(exceptions), n], "<u4")
     return b"".join(
         x.tobytes() if isinstance(x, np.ndarray) else x
@@ -83,20 +91,13 @@ def unpack(image: bytes) -> np.ndarray:
 
     base, width, starts, exc_start = take("<u4", blocks), take("u1", blocks), take("<u4", blocks + 1), take("<u4", blocks + 1)
     exceptions, pos = take("<u4", n_exc), take("u1", n_exc)
-    words = take("<u8", int(starts[-1]))
-    v = np.zeros((blocks, size), np.uint32)
-    for w in map(int, np.unique(width)):
-        if w:
-            own = np.nonzero(width == w)[0]
-            got = np.ascontiguousarray(words[starts[own][:, None] + np.arange(w * (size // 64))].T)
-            out, mask = np.empty((size, len(own)), np.uint32), np.uint64((1 << w) - 1)
-            for j in range(size):
-                i, shift = divmod(j * w, 64)
-                x = got[i] >> np.uint64(shift)
-                if shift + w > 64:
-                    x = x | (got[i + 1] << np.uint64(64 - shift))
-                out[j] = x & mask
-            v[own] = out.T
+    words = np.append(take("<u8", int(starts[-1])), np.uint64(0))  # blocks without words point beyond the last one
+    bits = width.astype(np.uint64)[:, None]
+    word, shift = _places(starts[:-1], bits, size)
+    low = words[word] >> shift
+    over = np.nonzero(shift + bits > 64)
+    low[over] |= words[word[over] + 1] << (np.uint64(64) - shift[over])
+    v = low.astype(np.uint32) & _mask(bits)
     v[np.repeat(np.arange(blocks), np.diff(exc_start)), pos] = exceptions
     return (v + base[:, None]).reshape(-1)[:n].astype("<u4")
 
@@ -151,12 +152,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` (binary) from the files: ``start`` counts the
-    ids of all documents before. A row for each shard is summed, no more."""
+    ids of all documents before. A row for each shard is summed and sent to all tasks, no
+    more; the images stay where they are read."""
     segments = spark.read.parquet(path)
     shards = segments.groupBy("shard").agg(F.sum("n_tokens").alias("held"), F.min_by("first_doc", "segment").alias("first_doc"))
     before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select(F.col("shard").alias("own"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset"))
-    found = segments.join(starts, segments.shard == starts.own).select((F.col("offset") + F.col("shard_start")).alias("at"), "doc_ids", "doc_tokens", "image")
+    found = segments.join(F.broadcast(starts), segments.shard == starts.own).select((F.col("offset") + F.col("shard_start")).alias("at"), "doc_ids", "doc_tokens", "image")
 
     def run(batches):
         for batch in batches:

@@ -133,6 +133,19 @@ def test_encoder_of_pieces_clears_its_cache(library):
     assert len(own.first) + len(own.after_space) < 60
 
 
+def test_encoder_asks_for_letters_once(library):
+    """Whatever marks and line ends stand around them; only clean line ends cut a text."""
+    own, asked = bpe.Encoder(JSON), []
+    encode_unit = own.encode_unit
+    own.encode_unit = lambda lead, unit: asked.append((lead, unit)) or encode_unit(lead, unit)
+    texts = ["über alpha, alpha. alpha!\nalpha; alpha\nüber, alpha:", "alpha.\nüber\n\n alpha \nalpha,\n", "\nalpha\r\nalpha"]
+    got = own.encode(texts)
+    assert [list(memoryview(x).cast("I")) for x in got] == [library[0].encode(t, add_special_tokens=False).ids for t in texts]
+    plain = [x for x in asked if "alpha" in x[1] and not re.search(r"\s", x[1])]
+    assert sorted(plain) == [("", "alpha"), (" ", "alpha")]
+    assert not any(re.search(r"\S\n\S", unit) for unit in (*own.first, *own.after_space))
+
+
 def test_offsets_of_documents(spark):
     """Each token covers the characters that its bytes are part of; together all of the text."""
     texts = ["naïve 日本語 🙂 end", "a\nb\n" * 300, "", None]
@@ -162,6 +175,29 @@ def test_blocks_round_trip(ids):
     assert (token_files.unpack(token_files.pack(x)) == x).all()
 
 
+def test_blocks_hold_their_bits_in_order():
+    """One block read bit by bit, as the format says."""
+    for bits in (1, 7, 31, 32):
+        x = np.random.default_rng(bits).integers(0, 2**bits, 128).astype("<u4")
+        x[:2] = 0, 2**bits - 1
+        image = token_files.pack(x, percentile=1.0)
+        base, width, words = int.from_bytes(image[20:24], "little"), image[24], int.from_bytes(image[41:], "little")
+        assert (base, width, len(image)) == (0, bits, 41 + 16 * bits)
+        assert [words >> (i * bits) & (2**bits - 1) for i in range(128)] == x.tolist()
+
+
+def test_images_are_not_shuffled(spark, docs, tmp_path):
+    path, key = str(tmp_path / "tokens"), "spark.sql.autoBroadcastJoinThreshold"
+    token_files.write_token_files(docs, path, JSON)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = token_files.read_token_files(spark, path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_token_files(spark, docs, empty, library, tmp_path):
     hf, _ = library
     path = str(tmp_path / "tokens")
