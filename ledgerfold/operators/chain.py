@@ -74,20 +74,22 @@ def content_chain(events: DataFrame) -> DataFrame:
     return events.withColumn("content_ok", F.when(F.col("content_hash").isNotNull(), F.coalesce("prev_content_hash", F.lit("")) == F.coalesce(due, F.lit(""))))
 
 
-def covering(spans: DataFrame, checkpoints: DataFrame, width: int = 1 << 20) -> DataFrame:
+def covering(spans: DataFrame, checkpoints: DataFrame, width: int = 1 << 16) -> DataFrame:
     """Adds ``covered_by`` to rows with ``max_seq``: the first checkpoint at or after
     it, null if there is none.
 
     Seq is cut in slots of ``width``. Within its slot, a row and the checkpoints
     meet in one ordered window; else it takes the first checkpoint of a later slot,
-    which a prefix over the slots (a row for each) gives. No range join.
+    which a prefix over the slots (a row for each) gives. No range join. Both windows
+    run from high to low, so that their frames grow row by row: a frame that reaches
+    on to the end is summed up anew for each row, which is quadratic in the slot.
     """
     named = spans.withColumn("_row", F.struct("*")).select("_row", F.col("max_seq").alias("_at"), F.lit(None).cast("long").alias("_mark"))
     marks = checkpoints.select(F.lit(None).cast(named.schema["_row"].dataType).alias("_row"), F.col("through_seq").alias("_at"), F.col("through_seq").alias("_mark"))
     laid = named.union(marks).withColumn("_slot", F.floor(F.col("_at") / width))
-    onward = Window.partitionBy("_slot").orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    onward = Window.partitionBy("_slot").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     slots = laid.groupBy("_slot").agg(F.min("_mark").alias("_low"))
-    later = slots.select(F.col("_slot").alias("_s"), F.min("_low").over(Window.orderBy("_slot").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    later = slots.select(F.col("_slot").alias("_s"), F.min("_low").over(Window.orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
     found = laid.withColumn("_own", F.min("_mark").over(onward)).where("_row is not null").join(later, F.col("_slot") == F.col("_s"))
     return found.select("_row.*", F.coalesce("_own", "_later").alias("covered_by"))
 

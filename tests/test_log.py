@@ -1,4 +1,5 @@
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -108,3 +109,17 @@ def test_global_sequence_and_polls(spark):
     polls = spark.createDataFrame([("a", 1, "ok"), ("a", 2, "failed"), ("a", 3, "failed"), ("b", 1, "failed"), ("b", 2, "pending")], "stream_id string, t long, outcome string")
     health = {r.stream_id: (r.failures, r.backoff_until is None) for r in observe.poll_health(polls.select("stream_id", F.timestamp_seconds("t").alias("at"), "outcome")).collect()}
     assert health == {"a": (2, False), "b": (1, True)}
+
+
+def test_covering_checkpoints_of_long_logs(spark):
+    """Slots with many rows: frames that are summed up anew for each row take minutes here."""
+    n, every = 60_000, 7
+    rows = spark.range(1, n + 1, numPartitions=4).select(F.col("id").alias("max_seq"))
+    marks = spark.range(every, n + 1, every).select(F.col("id").alias("through_seq"))
+    last = n // every * every
+    due = F.when(F.col("max_seq") <= last, F.ceil(F.col("max_seq") / every) * every)
+    for width in (1 << 20, 1 << 16, 1 << 4):
+        began = time.time()
+        found = chain.covering(rows, marks, width)
+        assert found.count() == n and found.where(~F.col("covered_by").eqNullSafe(due)).count() == 0
+        assert time.time() - began < 30
