@@ -40,8 +40,11 @@ def append_again(spark, sf):
 
 def _tampered(spark: SparkSession, sf: str, key: str) -> DataFrame:
     """The log with the facts of some rows and the hashes of others changed after the fact."""
+    return _changed(chain.append(_facts(_log(spark, sf)).withColumn("all", F.lit("log")), key))
+
+
+def _changed(log: DataFrame) -> DataFrame:
     n = F.substring_index("event_id", "-", -1).cast("long")
-    log = chain.append(_facts(_log(spark, sf)).withColumn("all", F.lit("log")), key)
     other = F.when(n % 70 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("prev_content_hash"))
     return log.withColumn("prev_content_hash", other).withColumn("log_hash", F.when(n % 50 == 0, F.sha2("log_hash", 256)).otherwise(F.col("log_hash")))
 

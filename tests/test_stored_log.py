@@ -3,12 +3,13 @@
 import gzip
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import wire
 from ledgerfold.operators import chain, folds, observe
-from ledgerfold.plans import lookups, readmodels
+from ledgerfold.plans import driver_queries, fold_queries, lookups, readmodels
 from ledgerfold.sources import lawtree, payloads
 from ledgerfold.sources.store import LogStore
 
@@ -156,3 +157,14 @@ def test_fold_of_children_rewrites_touched_buckets_only(spark, tmp_path):
     assert {r.seq for r in fold.read().where("parent = 3").collect()} == {9}
     fold.apply(rows.limit(0), 6)
     assert fold._folders(6) == after
+
+
+def test_a_changed_root_is_not_a_changed_hash(spark, tmp_path):
+    """The hash at a checkpoint is changed in the log, and its root as well: still two values."""
+    rows = spark.range(1, 1601).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") + 1_700_000_000).cast("timestamp_ntz").alias("ts"), F.col("id").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    names = ["through_seq", "n", "bad_hashes", "bad_links", "root_ok", "joins_ok", "ok"]
+    got = fold_queries.audited_segments(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(driver_queries.ORACLES["audited_segments"]).project(", ".join(names)).fetchall())
