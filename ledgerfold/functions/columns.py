@@ -127,7 +127,7 @@ def vote_option(pros: Column, cons: Column) -> Column:
 def motion_of_title(title: Column) -> Column:
     """What stands before the first colon, the whole title if nothing does."""
     first = F.split(title, "[：:]")[0]
-    return F.trim(F.when(F.length(first) > 0, first).otherwise(title))
+    return F.regexp_replace(F.when(F.length(first) > 0, first).otherwise(title), f"^{SPACES}|{SPACES}$", "")
 
 
 def heading_session(text: Column) -> Column:

@@ -50,5 +50,17 @@ def test_records_are_whole_where_one_person_has_most_votes(spark, tmp_path):
         assert len(got) == {"legislator_votes": 604, "legislator_records": 1014}[name]
 
 
+def test_titles_of_odd_pages(spark, tmp_path):
+    """References that are cut off, wide spaces, a drawing's own title, no title."""
+    titles = ["a&amp", "b &amp;&am", "c&lt", "d &#39", "&lt;e&gt; &amp;lt; &quot;x&quot;", "f & g && h", " i\n\tj ", "k\u3000l\u00a0m", "", "n&#x27;s"]
+    pages = [(i, f"<html><head><title>{t}</title></head><body><td>x</td></body></html>") for i, t in enumerate(titles)]
+    pages += [(50, "<title>first</title><svg><title>drawn</title></svg>"), (51, "<p>none</p>"), (52, None)]
+    spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = driver_queries.QUERIES["roll_call_pages"](spark, str(tmp_path)).select("page_id", "title").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(driver_queries.ORACLES["roll_call_pages"]).project("page_id, title").fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns[0] == "seq" and set(entry.oracle_sql()) <= set(entry.queries())
