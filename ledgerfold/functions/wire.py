@@ -19,26 +19,29 @@ GENESIS = "0" * 64
 TYPE_NUMBERS = {"observed": 1, "changed": 2, "vanished": 3, "restored": 4}
 
 
-def varint(n: Column, width: int = 10) -> Column:
-    """Seven bits a byte, low ones first, the top bit set on all but the last; hex."""
+def varint(n: Column) -> Column:
+    """Seven bits a byte, low ones first, the top bit set on all but the last; hex.
+
+    Numbers of one or two bytes are written out; longer ones, which are rare, go through
+    arrays. So little code is made for a field that the code of a whole event is compiled."""
     n = n.cast("long")
+    groups = F.floor((F.length(F.bin(n)) + 6) / 7).cast("int")
 
-    def byte(i: int) -> Column:
-        rest, part = F.shiftrightunsigned(n, 7 * i + 7) if 7 * i + 7 < 64 else F.lit(0), F.shiftrightunsigned(n, 7 * i).bitwiseAND(127)
-        used = F.lit(True) if i == 0 else F.shiftrightunsigned(n, 7 * i) != 0
-        return F.when(used, F.lpad(F.hex(F.when(rest != 0, part + 128).otherwise(part)), 2, "0")).otherwise("")
+    def byte(i: Column) -> Column:
+        part = F.call_function("shiftrightunsigned", n, i * 7).bitwiseAND(127)
+        return F.lpad(F.hex(F.when(i < groups - 1, part + 128).otherwise(part)), 2, "0")
 
-    return F.lower(F.concat(*[byte(i) for i in range(width)]))
+    two = F.hex(F.shiftleft(n.bitwiseAND(127) + 128, 8) + F.shiftright(n, 7))
+    long = F.array_join(F.transform(F.sequence(F.lit(0), groups - 1), byte), "")
+    return F.when(n.between(0, 127), F.lpad(F.hex(n), 2, "0")).when(n.between(128, 16383), two).otherwise(long)
 
 
 def text_field(number: int, value: Column) -> Column:
-    value = F.coalesce(value, F.lit(""))
-    tag = f"{number << 3 | 2:02x}"
-    return F.when(value == "", "").otherwise(F.concat(F.lit(tag), varint(F.octet_length(value), 5), F.lower(F.hex(value.cast("binary")))))
+    return F.when(value != "", F.concat(F.lit(f"{number << 3 | 2:02x}"), varint(F.octet_length(value)), F.hex(value.cast("binary")))).otherwise("")
 
 
 def number_field(number: int, value: Column) -> Column:
-    return F.when(F.coalesce(value, F.lit(0)) == 0, "").otherwise(F.concat(F.lit(f"{number << 3:02x}"), varint(value)))
+    return F.when(value != 0, F.concat(F.lit(f"{number << 3:02x}"), varint(value))).otherwise("")
 
 
 def facts_prefix() -> Column:
@@ -56,11 +59,11 @@ def facts_prefix() -> Column:
         text_field(9, content_ref(F.col("content_hash"))),
         text_field(10, content_ref(F.col("prev_content_hash"))),
     ]
-    return F.concat(*parts)
+    return F.lower(F.concat(*parts))
 
 
 def wire_hex() -> Column:
-    return F.concat(facts_prefix(), text_field(11, F.col("log_prev_hash")))
+    return F.lower(F.concat(facts_prefix(), text_field(11, F.col("log_prev_hash"))))
 
 
 def verdict_prefix() -> Column:
@@ -73,7 +76,7 @@ def verdict_prefix() -> Column:
         text_field(5, utc_seconds(F.col("decided_at"))),
         text_field(6, F.col("payload")),
     ]
-    return F.concat(*parts)
+    return F.lower(F.concat(*parts))
 
 
 def chained(prefix: Column) -> Column:

@@ -24,22 +24,20 @@ def append(facts: DataFrame, chain_key: str = "source", heads: DataFrame | None
     logs take a chain for each source or stream. ``prefix``: hex of the facts, those of
     observations unless others are given.
     """
-    rows = facts.withColumn("_k", F.col(chain_key)).withColumn("_prefix", facts_prefix() if prefix is None else prefix)
+    rows = facts.withColumn("_k", F.col(chain_key)).withColumn("_prefix", F.unhex(facts_prefix() if prefix is None else prefix))
     if heads is not None:
         rows = rows.join(heads.select(F.col(chain_key).alias("_of"), F.col("log_hash").alias("_head")), F.col("_k") == F.col("_of"), "left").drop("_of")
-    else:
-        rows = rows.withColumn("_head", F.lit(None).cast("string"))
-    names = facts.columns
+    names, known = facts.columns, heads is not None
 
     def link(batches):
         chain, last, begun = None, GENESIS, False
         for b in batches:
             before, own = [], []
-            for key, prefix, head in zip(*(b.column(c).to_pylist() for c in ("_k", "_prefix", "_head")), strict=True):
+            for i, (key, prefix) in enumerate(zip(b.column("_k").to_pylist(), b.column("_prefix").to_pylist(), strict=True)):
                 if not begun or key != chain:
-                    chain, last, begun = key, head or GENESIS, True
+                    chain, last, begun = key, known and b.column("_head")[i].as_py() or GENESIS, True
                 before.append(last)
-                last = hashlib.sha256(bytes.fromhex(prefix) + b"\x5a\x40" + last.encode()).hexdigest()
+                last = hashlib.sha256(prefix + b"\x5a\x40" + last.encode()).hexdigest()
                 own.append(last)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(before, pa.string()), pa.array(own, pa.string())], [*names, "log_prev_hash", "log_hash"])
 
