@@ -168,3 +168,16 @@ def test_a_changed_root_is_not_a_changed_hash(spark, tmp_path):
     names = ["through_seq", "n", "bad_hashes", "bad_links", "root_ok", "joins_ok", "ok"]
     got = fold_queries.audited_segments(spark, str(tmp_path)).select(*names).collect()
     assert sorted(map(tuple, got)) == sorted(con.sql(driver_queries.ORACLES["audited_segments"]).project(", ".join(names)).fetchall())
+
+
+def test_changes_send_nothing_whole_through_the_driver(spark):
+    """Both sides of these joins grow with the log, however small the tables look."""
+    rows = [(i, "egov-law:L", i, f"h{i}", packed(LAW.format(i))) for i in range(1, 4)]
+    df = spark.createDataFrame(rows, "seq long, stream_id string, stream_seq long, content_hash string, payload binary")
+    found = readmodels.changes(df.drop("payload"), df.select("content_hash", "payload"))
+    assert sorted(r.change_id for r in found.collect()) == [2, 3]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    tail = df.select("stream_id", F.col("content_hash").alias("last_content")).limit(1)
+    for made in (observe.revisions(df, tail=tail), observe.new_only(df, "content_hash", df), folds.latest_children(df, "stream_id"), folds.overtaken(df, df, "stream_id")):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
