@@ -202,10 +202,13 @@ def _stored(spark: SparkSession, sf: str, batches: int) -> LogStore:
         F.lit(None).cast("timestamp").alias("source_published_at"), "content_hash", F.col("event_type").cast("binary").alias("payload"),
     )
     low, high = own.agg(F.min("observed_at"), F.max("observed_at")).first()
+    later = [F.col("observed_at") >= F.lit(low + (high - low) * i / batches) for i in range(1, batches)]
+    path, landed = shared_folder(spark, "landed"), own.withColumn("part", sum((x.cast("int") for x in later), F.lit(0)))
+    landed.write.partitionBy("part").parquet(path)  # a folder for each batch, so a batch does not read the others
+    rows = spark.read.schema(landed.schema).parquet(path)
     store = LogStore(spark, shared_folder(spark, "log"), buckets=8)
     for i in [*range(batches), batches - 1]:
-        part = F.col("observed_at") >= F.lit(low + (high - low) * i / batches)
-        store.append(own.where(part & (F.col("observed_at") < F.lit(low + (high - low) * (i + 1) / batches)) if i < batches - 1 else part), i)
+        store.append(rows.where(F.col("part") == i).drop("part"), i)
     return store
 
 

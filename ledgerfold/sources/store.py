@@ -72,16 +72,20 @@ class LogStore:
         """For a job or ``foreachBatch``. ``observations``: event_id, stream_id, source,
         fetcher_version, observed_at, source_published_at, content_hash (null for an
         absence), payload."""
-        narrow = observations.drop("payload")
-        near = lambda table, keys: self.state.near(table, keys, batch_id)
-        tail, offset = near("tail", narrow), self.state.offset(batch_id)
-        found = observe.transitions(narrow, "stream_id", ["observed_at", "event_id"], "content_hash", tail)
-        numbered = observe.global_sequence(found, ["observed_at", "event_id"], F.date_trunc("hour", "observed_at"), offset)
-        contents = observations.where("content_hash is not null").select("content_hash", "payload")
-        snapshots = self._write(observe.new_only(contents, "content_hash", near("content", contents)), "snapshot", batch_id)
-        streams = self._write(observe.new_only(narrow.select("stream_id", "source"), "stream_id", near("stream", narrow)), "stream", batch_id)
-        events = self._write(chain.append(numbered.select(*_FACTS), self.chain_key, near("head", narrow)), "event", batch_id)
-        self._remember(events, snapshots, streams, tail, batch_id)
+        observations = observations.persist()  # asked for keys, contents, streams and events
+        try:
+            narrow = observations.drop("payload")
+            near = lambda table, keys: self.state.near(table, keys, batch_id)
+            tail, offset = near("tail", narrow), self.state.offset(batch_id)
+            found = observe.transitions(narrow, "stream_id", ["observed_at", "event_id"], "content_hash", tail)
+            numbered = observe.global_sequence(found, ["observed_at", "event_id"], F.date_trunc("hour", "observed_at"), offset)
+            contents = observations.where("content_hash is not null").select("content_hash", "payload")
+            snapshots = self._write(observe.new_only(contents, "content_hash", near("content", contents)), "snapshot", batch_id)
+            streams = self._write(observe.new_only(narrow.select("stream_id", "source"), "stream_id", near("stream", narrow)), "stream", batch_id)
+            events = self._write(chain.append(numbered.select(*_FACTS), self.chain_key, near("head", narrow)), "event", batch_id)
+            self._remember(events, snapshots, streams, tail, batch_id)
+        finally:
+            observations.unpersist()
 
     def _remember(self, events: DataFrame, snapshots: DataFrame, streams: DataFrame, tail: DataFrame | None, batch_id: int) -> None:
         """The state after a batch. A stream's last event tells its tail: a content that is
